@@ -18,8 +18,8 @@ def parse_created_at(c: Column) -> Column:
     s = F.trim(c)
     rfc = F.when(s.rlike(RFC_PATTERN),
                  F.try_to_date(F.concat(F.substring(s, 5, 6), F.lit(" "), F.substring(s, -4, 4)),
-                               F.lit("MMM dd yyyy")))
-    iso = F.when(s.rlike(ISO_PATTERN), F.try_to_date(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")))
+                               "MMM dd yyyy"))
+    iso = F.when(s.rlike(ISO_PATTERN), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
     return F.coalesce(rfc, iso)
 
 

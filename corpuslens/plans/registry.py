@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus"]
+MODULES = ["corpus", "posts", "labels", "scores", "temporal", "streams", "catalog"]
 
 
 def _mods():

@@ -72,19 +72,19 @@ def perms_values(num_perm: int = 64) -> str:
 
 
 def minhash_ctes(source: str, id_col: str, text_col: str, bands: int, rows: int,
-                 num_perm: int = 64) -> str:
-    """CTEs sh(id, hs), sig(id, i, v), bnd(id, band, key) over ``source``."""
+                 num_perm: int = 64, p: str = "") -> str:
+    """CTEs {p}sh(id, hs), {p}sig(id, i, v), {p}bnd(id, band, key), {p}edges(src, dst) over ``source``."""
     return f"""
-nw AS (SELECT {id_col} AS id, {words(norm_minhash(text_col))} AS w FROM {source}),
-sh AS (SELECT id, list_distinct(list_transform({shingles('w')}, lambda s: {hash32('s')})) AS hs FROM nw),
-hx AS (SELECT id, unnest(hs) AS h FROM sh),
-sig AS (SELECT hx.id, p.i, min((p.a * hx.h + p.b) % {PRIME}) AS v
-        FROM hx CROSS JOIN {perms_values(num_perm)} GROUP BY hx.id, p.i),
-bnd AS (SELECT id, (i // {rows})::INTEGER AS band,
+{p}nw AS (SELECT {id_col} AS id, {words(norm_minhash(text_col))} AS w FROM {source}),
+{p}sh AS (SELECT id, list_distinct(list_transform({shingles('w')}, lambda s: {hash32('s')})) AS hs FROM {p}nw),
+{p}hx AS (SELECT id, unnest(hs) AS h FROM {p}sh),
+{p}sig AS (SELECT hx.id, p.i, min((p.a * hx.h + p.b) % {PRIME}) AS v
+        FROM {p}hx hx CROSS JOIN {perms_values(num_perm)} GROUP BY hx.id, p.i),
+{p}bnd AS (SELECT id, (i // {rows})::INTEGER AS band,
                md5(((i // {rows})::INTEGER)::VARCHAR || ':' || string_agg(v::VARCHAR, ',' ORDER BY i)) AS key
-        FROM sig WHERE i < {bands * rows} GROUP BY id, i // {rows}),
-bmin AS (SELECT band, key, min(id) AS dst FROM bnd GROUP BY band, key),
-edges AS (SELECT DISTINCT b.id AS src, m.dst FROM bnd b JOIN bmin m USING (band, key) WHERE b.id <> m.dst)"""
+        FROM {p}sig WHERE i < {bands * rows} GROUP BY id, i // {rows}),
+{p}bmin AS (SELECT band, key, min(id) AS dst FROM {p}bnd GROUP BY band, key),
+{p}edges AS (SELECT DISTINCT b.id AS src, m.dst FROM {p}bnd b JOIN {p}bmin m USING (band, key) WHERE b.id <> m.dst)"""
 
 
 def components_ctes(vertex_source: str, id_col: str) -> str:

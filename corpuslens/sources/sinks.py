@@ -18,14 +18,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (df.write.mode(mode).option("header", True).option("escape", "\"")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_any(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     fmt = format_of(path)
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        w = (w.option("header", True).option("escape", "\"")
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     w.save(path)
 
 
