@@ -59,7 +59,7 @@ def parse_created(spark, sf):
     return p.select("id", "createdAt", parse_created_at(F.col("createdAt")).alias("created_date"))
 
 
-SINCE, UNTIL = "2024-01-05", "2024-01-20"
+SINCE, UNTIL = "2024-01-02", "2024-01-03"
 
 
 @register("filter_date_range", P + f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "posts", "labels", "scores", "temporal", "streams", "catalog"]
+MODULES = ["corpus", "posts", "labels", "scores", "temporal", "streams", "catalog", "subwords"]
 
 
 def _mods():

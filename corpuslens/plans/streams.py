@@ -3,8 +3,6 @@ returns the committed result (batch = stream)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from corpuslens.streaming import streams as ST
@@ -24,7 +22,7 @@ def register(name, sql=None):
 
 def _events_stream(spark, sf):
     # the folder holds one file per table; a path glob restricts the stream to the events table
-    return ST.read_stream(spark, os.path.join(sf, "events.parquet"))
+    return ST.read_stream(spark, sf, glob="events.parquet")
 
 
 @register("stream_ingest", "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value FROM events")

@@ -20,8 +20,11 @@ EVENT_SCHEMA = T.StructType([
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA,
-                fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+                fmt: str = "parquet", max_files: int | None = None, glob: str | None = None) -> DataFrame:
+    """File stream over a landing folder (new files are picked up incrementally)."""
     r = spark.readStream.schema(schema).format(fmt)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.load(path)
