@@ -106,13 +106,21 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda x: F.length(x) > 0)
 
 
-def shingles(w: Column, k: int = 4) -> Column:
-    """Word k-shingles from a word array; at most k words give one shingle (the joined words).
+def word_ngrams(w: Column, n: int) -> Column:
+    """Consecutive ``n``-word strings of a word array (empty when it has fewer than n words).
 
-    ``w`` must be a materialised column (an attribute from an earlier ``select``): a lambda body
-    re-evaluates whatever expression it references once per element.
+    Built with ``arrays_zip`` of shifted slices, so the lambda reads only its own element: even
+    if Catalyst inlines ``w`` (e.g. when pushing a filter through the projection), the work
+    stays linear in the text length.
     """
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))),
-                       lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(n <= k, F.array(F.array_join(w, " "))).otherwise(many)
+    if n == 1:
+        return w
+    size = F.size(w)
+    parts = [w.alias("c0")] + [F.slice(w, i + 1, F.greatest(size, F.lit(1))).alias(f"c{i}") for i in range(1, n)]
+    z = F.slice(F.arrays_zip(*parts), 1, F.greatest(size - (n - 1), F.lit(0)))
+    return F.transform(z, lambda s: F.concat_ws(" ", *[s[f"c{i}"] for i in range(n)]))
+
+
+def shingles(w: Column, k: int = 4) -> Column:
+    """Word k-shingles from a word array; at most k words give one shingle (the joined words)."""
+    return F.when(F.size(w) <= k, F.array(F.array_join(w, " "))).otherwise(word_ngrams(w, k))

@@ -35,10 +35,11 @@ def symbols(word: Column) -> Column:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """Adjacent-symbol pair counts weighted by word frequency; ``words`` has ``sym`` and ``n``."""
-    p = words.select("n", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("sym") - 1),
-                                                      lambda i: F.struct(F.element_at("sym", i).alias("a"),
-                                                                         F.element_at("sym", i + 1).alias("b"))))
-                     .alias("p"))
+    sym = F.col("sym")
+    size = F.size(sym)
+    z = F.slice(F.arrays_zip(sym.alias("a"), F.slice(sym, 2, F.greatest(size, F.lit(1))).alias("b")),
+                1, F.greatest(size - 1, F.lit(0)))
+    p = words.select("n", F.explode_outer(z).alias("p"))
     return p.where(F.col("p").isNotNull()).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")) \
         .agg(F.sum("n").alias("n"))
 
