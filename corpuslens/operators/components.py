@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators.ranking import dense_index
-from corpuslens.session import ensure_checkpoint_dir
+from corpuslens.session import ensure_checkpoint_dir, reliable_checkpoint
 
 
 class NotConverged(RuntimeError):
@@ -24,18 +24,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     ``vertices`` has column ``id``; ``edges`` has ``src``, ``dst`` (direction ignored).
     """
     ensure_checkpoint_dir(vertices.sparkSession)
-    und = (edges.select("src", "dst")
-           .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-           .distinct()
-           .checkpoint())
-    labels = vertices.select("id", F.col("id").alias("root")).distinct().checkpoint()
+    und = reliable_checkpoint(edges.select("src", "dst")
+                              .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+                              .distinct())
+    labels = reliable_checkpoint(vertices.select("id", F.col("id").alias("root")).distinct())
     for _ in range(max_rounds):
         # neighbour labels
         cand = und.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "root")
         new = labels.unionByName(cand).groupBy("id").agg(F.min("root").alias("root"))
         # pointer jumping: adopt the label of your label
         hop = new.join(new.select(F.col("id").alias("root"), F.col("root").alias("root2")), "root", "left")
-        new = hop.select("id", F.least("root", F.coalesce("root2", "root")).alias("root")).checkpoint()
+        new = reliable_checkpoint(hop.select("id", F.least("root", F.coalesce("root2", "root")).alias("root")))
         changed = (new.join(labels.withColumnRenamed("root", "old"), "id")
                    .where(F.col("root") != F.col("old")).limit(1).count())
         labels = new

@@ -59,21 +59,28 @@ def signature_aggs(h: Column, num_perm: int = DEFAULT_NUM_PERM) -> list[Column]:
             for i, (a, b) in enumerate(permutations(num_perm))]
 
 
-def with_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
-                    num_perm: int = DEFAULT_NUM_PERM, profile: str | None = "minhash",
-                    max_chars: int | None = None, keep_hashes: bool = False) -> DataFrame:
-    """``(id, sig[, hashes])``: one MinHash signature per document."""
+def shingle_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
+                  profile: str | None = "minhash", max_chars: int | None = None) -> DataFrame:
+    """``(id, hashes)``: distinct shingle hashes per document."""
     w = with_words(df.withColumnRenamed(id_col, "id") if id_col != "id" else df, text_col,
                    profile, max_chars, keep=("id",))
-    h = w.select("id", shingle_hashes(F.col("w"), k).alias("hashes"))
-    cols = ["id", "hashes"] if keep_hashes else ["id"]
+    return w.select("id", shingle_hashes(F.col("w"), k).alias("hashes"))
+
+
+def signatures(hashes: DataFrame, num_perm: int = DEFAULT_NUM_PERM) -> DataFrame:
+    """``(id, sig)`` from a shingle table."""
     # explode_outer: an inner explode makes Catalyst infer a size(array) > 0 filter and push the
-    # whole (lambda-inlined) hash expression below the projection, re-running it per element.
-    ex = h.select(*cols, F.explode_outer("hashes").alias("_h"))
-    extra = [F.first("hashes").alias("hashes")] if keep_hashes else []
-    agg = ex.groupBy("id").agg(*extra, *signature_aggs(F.col("_h"), num_perm))
-    return agg.select("id", *(["hashes"] if keep_hashes else []),
-                      F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig"))
+    # whole (lambda-inlined) hash expression below the projection.
+    ex = hashes.select("id", F.explode_outer("hashes").alias("_h"))
+    agg = ex.groupBy("id").agg(*signature_aggs(F.col("_h"), num_perm))
+    return agg.select("id", F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig"))
+
+
+def with_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
+                    num_perm: int = DEFAULT_NUM_PERM, profile: str | None = "minhash",
+                    max_chars: int | None = None) -> DataFrame:
+    """``(id, sig)``: one MinHash signature per document."""
+    return signatures(shingle_table(df, id_col, text_col, k, profile, max_chars), num_perm)
 
 
 def band_keys(sigs: DataFrame, bands: int = COMPAT_BANDS, rows: int = COMPAT_ROWS) -> DataFrame:
@@ -100,9 +107,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(inter / union)
 
 
-def verify_edges(edges: DataFrame, sigs: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+def verify_edges(edges: DataFrame, hashes: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Exact Jaccard of the shingle-hash sets of both endpoints; keep ``>= threshold``."""
-    h = sigs.select("id", "hashes")
+    h = hashes.select("id", "hashes")
     j = (edges.join(h.withColumnRenamed("id", "src").withColumnRenamed("hashes", "hs"), "src")
          .join(h.withColumnRenamed("id", "dst").withColumnRenamed("hashes", "hd"), "dst"))
     return (j.select("src", "dst", jaccard(F.col("hs"), F.col("hd")).alias("jaccard"))

@@ -14,6 +14,7 @@ from corpuslens.functions.arrays import seeded_order
 from corpuslens.operators import components as C
 from corpuslens.operators import minhash as M
 from corpuslens.operators.ranking import row_index
+from corpuslens.session import reliable_checkpoint
 
 
 def target_size(total: int, ratio: float) -> int:
@@ -26,7 +27,7 @@ def target_size(total: int, ratio: float) -> int:
 def near_dup_components(df: DataFrame, id_col: str, text_col: str, bands: int = M.COMPAT_BANDS,
                         rows: int = M.COMPAT_ROWS, max_chars: int | None = None) -> DataFrame:
     """``(id, root)`` over LSH star edges (compatible mode: candidates are not verified)."""
-    sigs = M.with_signatures(df, id_col, text_col, max_chars=max_chars)
+    sigs = M.with_signatures(df, id_col, text_col, max_chars=max_chars).persist()
     edges = M.star_edges(M.band_keys(sigs, bands, rows))
     return C.connected_components(df.select(F.col(id_col).alias("id")), edges)
 
@@ -58,7 +59,7 @@ def split_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if counts["bad"]:
         raise SplitError(f"{counts['bad']} rows have is_synth outside {{0, 1}}")
     test_n, val_n = target_size(counts["n"], test), target_size(counts["n"], val)
-    comps = near_dup_components(real, id_col, text_col, max_chars=max_chars).checkpoint()
+    comps = reliable_checkpoint(near_dup_components(real, id_col, text_col, max_chars=max_chars))
     roots = comps.select("root").distinct()
     n_clusters = roots.count()
     if test_n + val_n > n_clusters:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.session import ensure_checkpoint_dir
+from corpuslens.session import ensure_checkpoint_dir, reliable_checkpoint
 
 # Word-boundary marker, pad and unknown ids.
 BOUNDARY = "▁"
@@ -56,10 +56,10 @@ def apply_merge(sym: Column, a: str, b: str) -> Column:
     return F.aggregate(sym, F.array().cast("array<string>"), step)
 
 
-def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10) -> list[tuple[str, str, int]]:
+def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 5) -> list[tuple[str, str, int]]:
     """Greedy BPE: repeatedly merge the most frequent pair (ties → lexicographically smallest)."""
     ensure_checkpoint_dir(words.sparkSession)
-    cur = words.select("word", "n", symbols(F.col("word")).alias("sym")).checkpoint()
+    cur = reliable_checkpoint(words.select("word", "n", symbols(F.col("word")).alias("sym")))
     merges = []
     for r in range(num_merges):
         top = pair_counts(cur).orderBy(F.col("n").desc(), "a", "b").limit(1).collect()
@@ -69,7 +69,7 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10)
         merges.append((a, b, n))
         cur = cur.withColumn("sym", apply_merge(F.col("sym"), a, b))
         if (r + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint()
+            cur = reliable_checkpoint(cur)
     return merges
 
 

@@ -59,8 +59,8 @@ def shingles_key(spark, sf):
                     F.col("s")[0].alias("first_shingle"), F.element_at("s", -1).alias("last_shingle"))
 
 
-def _sigs(spark, sf, keep_hashes=False):
-    return M.with_signatures(documents(spark, sf), "doc_id", "text", keep_hashes=keep_hashes)
+def _sigs(spark, sf):
+    return M.with_signatures(documents(spark, sf), "doc_id", "text")
 
 
 @register("minhash_signatures", S.with_(S.minhash_ctes("documents", "doc_id", "text", 5, 12)) + """
@@ -84,15 +84,16 @@ def lsh_candidate_pairs(spark, sf):
   FROM edges e JOIN sh a ON a.id = e.src JOIN sh b ON b.id = e.dst)
 SELECT src, dst, round(jaccard, 6) AS jaccard FROM jac WHERE jaccard >= {M.DEFAULT_THRESHOLD}""")
 def near_dup_pairs(spark, sf):
-    s = _sigs(spark, sf, keep_hashes=True)
+    h = M.shingle_table(documents(spark, sf), "doc_id", "text").persist()  # signatures + both verify joins
+    s = M.signatures(h).persist()  # read by the bucket-minimum aggregate and its join
     e = M.star_edges(M.band_keys(s, M.RECALL_BANDS, M.RECALL_ROWS))
-    v = M.verify_edges(e, s, M.DEFAULT_THRESHOLD)
+    v = M.verify_edges(e, h, M.DEFAULT_THRESHOLD)
     return v.select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
 
 
 def _components(spark, sf):
     d = documents(spark, sf)
-    b = M.band_keys(M.with_signatures(d, "doc_id", "text"), M.COMPAT_BANDS, M.COMPAT_ROWS)
+    b = M.band_keys(M.with_signatures(d, "doc_id", "text").persist(), M.COMPAT_BANDS, M.COMPAT_ROWS)
     return C.connected_components(d.select(F.col("doc_id").alias("id")), M.star_edges(b))
 
 

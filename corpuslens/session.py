@@ -60,3 +60,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    The plan is persisted first so writing the checkpoint files reads the cached partitions
+    instead of recomputing the whole plan a second time; the cache is released afterwards
+    (the checkpoint files, on shared storage, are what survives executor loss).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
