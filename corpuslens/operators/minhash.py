@@ -59,20 +59,32 @@ def signature_aggs(h: Column, num_perm: int = DEFAULT_NUM_PERM) -> list[Column]:
             for i, (a, b) in enumerate(permutations(num_perm))]
 
 
-def shingle_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
-                  profile: str | None = "minhash", max_chars: int | None = None) -> DataFrame:
-    """``(id, hashes)``: distinct shingle hashes per document."""
+def shingle_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
+                 profile: str | None = "minhash", max_chars: int | None = None) -> DataFrame:
+    """``(id, h)``: one row per word k-shingle occurrence with its 32-bit hash.
+
+    Shingles come from ``explode_outer`` over a zip of shifted word slices, so string building
+    and hashing run as codegen'd projections rather than interpreted lambdas. A text of at most
+    k words yields one shingle (its words joined); an empty text yields the shingle ``''``.
+    """
     w = with_words(df.withColumnRenamed(id_col, "id") if id_col != "id" else df, text_col,
                    profile, max_chars, keep=("id",))
-    return w.select("id", shingle_hashes(F.col("w"), k).alias("hashes"))
+    size = F.size("w")
+    parts = [F.col("w").alias("c0")] + [F.slice("w", i + 1, F.greatest(size, F.lit(1))).alias(f"c{i}")
+                                        for i in range(1, k)]
+    z = F.slice(F.arrays_zip(*parts), 1, F.greatest(size - (k - 1), F.lit(1)))
+    ex = w.select("id", F.explode_outer(z).alias("s"))
+    return ex.select("id", hash32(F.concat_ws(" ", *[F.col(f"s.c{i}") for i in range(k)])).alias("h"))
 
 
-def signatures(hashes: DataFrame, num_perm: int = DEFAULT_NUM_PERM) -> DataFrame:
-    """``(id, sig)`` from a shingle table."""
-    # explode_outer: an inner explode makes Catalyst infer a size(array) > 0 filter and push the
-    # whole (lambda-inlined) hash expression below the projection.
-    ex = hashes.select("id", F.explode_outer("hashes").alias("_h"))
-    agg = ex.groupBy("id").agg(*signature_aggs(F.col("_h"), num_perm))
+def shingle_table(rows: DataFrame) -> DataFrame:
+    """``(id, hashes)``: the distinct shingle-hash set of each document (for exact Jaccard)."""
+    return rows.groupBy("id").agg(F.collect_set("h").alias("hashes"))
+
+
+def signatures(rows: DataFrame, num_perm: int = DEFAULT_NUM_PERM) -> DataFrame:
+    """``(id, sig)`` from shingle rows: ``num_perm`` codegen'd ``min`` aggregates, partial map-side."""
+    agg = rows.groupBy("id").agg(*signature_aggs(F.col("h"), num_perm))
     return agg.select("id", F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig"))
 
 
@@ -80,7 +92,7 @@ def with_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     num_perm: int = DEFAULT_NUM_PERM, profile: str | None = "minhash",
                     max_chars: int | None = None) -> DataFrame:
     """``(id, sig)``: one MinHash signature per document."""
-    return signatures(shingle_table(df, id_col, text_col, k, profile, max_chars), num_perm)
+    return signatures(shingle_rows(df, id_col, text_col, k, profile, max_chars), num_perm)
 
 
 def band_keys(sigs: DataFrame, bands: int = COMPAT_BANDS, rows: int = COMPAT_ROWS) -> DataFrame:

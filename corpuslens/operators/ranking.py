@@ -54,3 +54,23 @@ def dense_index(values: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """0-based dense index of the distinct values of ``col`` in ascending order."""
     distinct = values.select(col).distinct()
     return row_index(distinct, [col], name=name).withColumn(name, F.col(name) - 1)
+
+
+def running_sum(df: DataFrame, order_cols: list, value_col: str, name: str = "cum",
+                num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value_col`` in the total order ``order_cols`` (unique last key).
+
+    Same pattern as ``row_index``: range partitions, a local running sum per partition, and an
+    offsets table with one row per partition (bounded by the partition count, so broadcast).
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    r = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    local = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = r.withColumn("_local", F.sum(value_col).over(local))
+    stats = r.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select("_pid", F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))
+    return (r.join(F.broadcast(stats), "_pid")
+            .withColumn(name, F.col("_local") + F.col("_off")).drop("_pid", "_local", "_off"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.arrays import seeded_order
 from corpuslens.operators import components as C
 from corpuslens.operators import minhash as M
-from corpuslens.operators.ranking import row_index
+from corpuslens.operators.ranking import row_index, running_sum
 from corpuslens.session import reliable_checkpoint
 
 
@@ -25,18 +25,35 @@ def target_size(total: int, ratio: float) -> int:
 
 
 def near_dup_components(df: DataFrame, id_col: str, text_col: str, bands: int = M.COMPAT_BANDS,
-                        rows: int = M.COMPAT_ROWS, max_chars: int | None = None) -> DataFrame:
-    """``(id, root)`` over LSH star edges (compatible mode: candidates are not verified)."""
-    sigs = M.with_signatures(df, id_col, text_col, max_chars=max_chars).persist()
+                        rows: int = M.COMPAT_ROWS, max_chars: int | None = None,
+                        verify: bool = False, threshold: float = M.DEFAULT_THRESHOLD) -> DataFrame:
+    """``(id, root)`` over LSH star edges.
+
+    ``verify=False`` is the reference behaviour (every bucket member joins the bucket). With
+    ``verify=True`` an edge is kept only when the exact Jaccard of the two shingle sets reaches
+    ``threshold``; as edges go to the bucket minimum, a near pair whose bucket minimum is
+    unrelated to both can be missed (use ``bands=8, rows=8`` for recall).
+    """
+    sh = M.shingle_rows(df, id_col, text_col, max_chars=max_chars).persist()
+    sigs = M.signatures(sh).persist()
     edges = M.star_edges(M.band_keys(sigs, bands, rows))
+    if verify:
+        edges = M.verify_edges(edges, M.shingle_table(sh), threshold).select("src", "dst")
     return C.connected_components(df.select(F.col(id_col).alias("id")), edges)
 
 
-def pick_groups(groups: DataFrame, n: int, seed: int, stage: str) -> DataFrame:
-    """Exactly ``n`` groups (column ``root``) in seeded pseudo-random order."""
-    ordered = groups.select("root", seeded_order(seed, stage, F.col("root")).alias("_h"))
-    ranked = row_index(ordered, ["_h", "root"], name="_rn")
-    return ranked.where(F.col("_rn") <= n).select("root")
+def pick_groups(groups: DataFrame, n: int, seed: int, stage: str, unit: str = "groups") -> DataFrame:
+    """Groups (column ``root``) in seeded pseudo-random order: exactly ``n`` groups
+    (``unit="groups"``), or the shortest prefix holding at least ``n`` rows (``unit="rows"``,
+    needs a ``size`` column)."""
+    ordered = groups.withColumn("_h", seeded_order(seed, stage, F.col("root")))
+    if unit == "groups":
+        ranked = row_index(ordered, ["_h", "root"], name="_rn")
+        return ranked.where(F.col("_rn") <= n).select("root")
+    if unit == "rows":
+        cum = running_sum(ordered, ["_h", "root"], "size", name="_cum")
+        return cum.where(F.col("_cum") - F.col("size") < n).select("root")
+    raise ValueError("unit must be 'groups' or 'rows'")
 
 
 class SplitError(ValueError):
@@ -45,11 +62,12 @@ class SplitError(ValueError):
 
 def split_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", test: float = 0.10,
                  val: float = 0.10, seed: int = 42, synth_keep: float = 1.0,
-                 max_chars: int | None = None) -> DataFrame:
+                 max_chars: int | None = None, unit: str = "groups", verify: bool = False) -> DataFrame:
     """Assign ``split`` in {train, val, test}: val/test from real rows only, whole clusters each.
 
-    Targets count clusters (groups), derived from the total row count as in the reference.
-    Synthetic rows go to train (optionally an exact seeded sample of them).
+    Targets are derived from the total row count as in the reference and count clusters
+    (``unit="groups"``, compatible) or rows (``unit="rows"``: whole clusters until the row
+    target is reached). Synthetic rows go to train (optionally an exact seeded sample).
     """
     real = df.where(F.col("is_synth") == 0)
     synth = df.where(F.col("is_synth") == 1)
@@ -59,14 +77,15 @@ def split_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if counts["bad"]:
         raise SplitError(f"{counts['bad']} rows have is_synth outside {{0, 1}}")
     test_n, val_n = target_size(counts["n"], test), target_size(counts["n"], val)
-    comps = reliable_checkpoint(near_dup_components(real, id_col, text_col, max_chars=max_chars))
-    roots = comps.select("root").distinct()
+    comps = reliable_checkpoint(near_dup_components(real, id_col, text_col, max_chars=max_chars, verify=verify))
+    roots = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     n_clusters = roots.count()
-    if test_n + val_n > n_clusters:
-        raise SplitError(f"test_n({test_n}) + val_n({val_n}) exceeds the {n_clusters} real clusters")
-    test_roots = pick_groups(roots, test_n, seed, "test")
+    capacity = n_clusters if unit == "groups" else counts["real"]
+    if test_n + val_n > capacity:
+        raise SplitError(f"test_n({test_n}) + val_n({val_n}) exceeds the {capacity} real {unit}")
+    test_roots = pick_groups(roots, test_n, seed, "test", unit)
     rest = roots.join(test_roots, "root", "left_anti")
-    val_roots = pick_groups(rest, val_n, seed, "val")
+    val_roots = pick_groups(rest, val_n, seed, "val", unit)
     assign = (comps.join(test_roots.withColumn("split", F.lit("test")), "root", "left")
               .join(val_roots.withColumn("_v", F.lit("val")), "root", "left")
               .select(F.col("id").alias(id_col), "root",

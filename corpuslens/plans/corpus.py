@@ -84,8 +84,9 @@ def lsh_candidate_pairs(spark, sf):
   FROM edges e JOIN sh a ON a.id = e.src JOIN sh b ON b.id = e.dst)
 SELECT src, dst, round(jaccard, 6) AS jaccard FROM jac WHERE jaccard >= {M.DEFAULT_THRESHOLD}""")
 def near_dup_pairs(spark, sf):
-    h = M.shingle_table(documents(spark, sf), "doc_id", "text").persist()  # signatures + both verify joins
-    s = M.signatures(h).persist()  # read by the bucket-minimum aggregate and its join
+    rows = M.shingle_rows(documents(spark, sf), "doc_id", "text").persist()
+    h = M.shingle_table(rows)  # hash sets for both verify joins
+    s = M.signatures(rows).persist()  # read by the bucket-minimum aggregate and its join
     e = M.star_edges(M.band_keys(s, M.RECALL_BANDS, M.RECALL_ROWS))
     v = M.verify_edges(e, h, M.DEFAULT_THRESHOLD)
     return v.select("src", "dst", F.round("jaccard", 6).alias("jaccard"))

@@ -239,3 +239,21 @@ def leakage_audit(spark, sf):
               .agg(F.count_distinct("id").alias("value"))
               .select(F.lit("synth_rows_near_eval").alias("metric"), "value"))
     return spans.unionByName(leaked)
+
+
+SPLIT_ROWS_SQL = S.with_(*SPLIT_CTES[:6], """
+roots AS (SELECT root, count(*) AS size FROM comps GROUP BY root)""", """
+tr AS (SELECT root FROM (SELECT root, size, sum(size) OVER (ORDER BY md5('42|test|' || CAST(root AS VARCHAR)), root
+                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+                         FROM roots) x, tgt WHERE cum - size < test_n)""", """
+vr AS (SELECT root FROM (SELECT root, size, sum(size) OVER (ORDER BY md5('42|val|' || CAST(root AS VARCHAR)), root
+                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+                         FROM roots WHERE root NOT IN (SELECT root FROM tr)) x, tgt WHERE cum - size < val_n)""",
+                         SPLIT_CTES[-1])
+
+
+@register("split_groups_rows", SPLIT_ROWS_SQL + "SELECT doc_id, split, label, is_synth FROM asg")
+def split_groups_rows(spark, sf):
+    """Row-target variant: whole clusters in seeded order until each split holds >= its row target."""
+    s = SP.split_groups(labeled_fx(spark, sf), "doc_id", "text", 0.10, 0.10, 42, unit="rows")
+    return s.select("doc_id", "split", "label", "is_synth")

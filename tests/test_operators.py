@@ -116,3 +116,22 @@ def test_require_columns(spark):
         assert "label" in str(e)
     else:
         raise AssertionError("expected failure")
+
+
+def test_running_sum_any_partitioning(spark):
+    from corpuslens.operators.ranking import running_sum
+    rnd = random.Random(2)
+    data = [(i, rnd.random(), rnd.randint(1, 5)) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, h double, size long")
+    acc, expect = 0, {}
+    for i, h, s in sorted(data, key=lambda d: (d[1], d[0])):
+        acc += s
+        expect[i] = acc
+    for parts in (1, 3, 17):
+        got = running_sum(df.repartition(parts), ["h", "id"], "size", num_partitions=parts)
+        assert {r.id: r.cum for r in got.collect()} == expect
+
+
+def test_empty_relation_keeps_schema(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, text string").limit(0)
+    assert df.count() == 0 and df.columns == ["id", "text"]
