@@ -40,3 +40,15 @@ def in_date_range(d: Column, since: str | None = None, until: str | None = None)
     if u is not None:
         cond = cond & (d < F.lit(u))
     return cond
+
+
+def filter_dates_with_quarantine(df, created_col: str = "createdAt", since: str | None = None,
+                                 until: str | None = None):
+    """Split a post table into rows inside ``[since, until)`` and rows whose date does not parse.
+
+    Returns ``(kept, quarantine)``; out-of-range rows are in neither (they are filtered, not bad).
+    """
+    d = df.withColumn("created_date", parse_created_at(F.col(created_col)))
+    kept = d.where(in_date_range(F.col("created_date"), since, until))
+    quarantine = d.where(F.col("created_date").isNull())
+    return kept, quarantine

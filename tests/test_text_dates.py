@@ -41,3 +41,11 @@ def test_created_at_formats(spark):
     df = spark.createDataFrame(rows, "t string").select(parse_created_at(F.col("t")).alias("d"))
     got = [r["d"] for r in df.collect()]
     assert got == [dt.date(2024, 12, 21), dt.date(2021, 3, 5), dt.date(2024, 12, 21), None, None, None]
+
+
+def test_date_quarantine(spark):
+    from corpuslens.functions.dates import filter_dates_with_quarantine
+    df = spark.createDataFrame([("2021-06-01T00:00:00Z",), ("junk",), ("2022-06-01",)], "createdAt string")
+    kept, bad = filter_dates_with_quarantine(df, since="2021-01-01", until="2022-01-01")
+    assert [r.createdAt for r in kept.collect()] == ["2021-06-01T00:00:00Z"]
+    assert [r.createdAt for r in bad.collect()] == ["junk"]
