@@ -99,3 +99,38 @@ def nearest_join(left: DataFrame, right: DataFrame, by: str, ts: str, id_col: st
     rid = F.when(take_prev, -prev["nid"]).otherwise(nxt["id"])
     gap = F.when(take_prev, d_prev).otherwise(-d_next)
     return j.select(F.col("lid").alias("left_id"), rid.alias("right_id"), gap.alias("gap_us"))
+
+
+def sessionize(df: DataFrame, key: str, ts: str, gap_seconds: int, bucket: str = "day") -> DataFrame:
+    """Gap-based sessions per ``key``: ``(key, session_start, session_end, n)`` with
+    ``session_end = last event + gap`` (the ``session_window`` convention).
+
+    Skew-safe: events are ordered inside (key, time bucket) partitions only; the previous event
+    of a bucket's first row comes from a per-bucket summary (one row per key and bucket), and the
+    running session number across buckets is an offset over that summary. A key holding a third
+    of all rows is therefore spread over its buckets instead of one task.
+    """
+    gap = gap_seconds * 1_000_000
+    e = df.select(F.col(key).alias("k"), F.unix_micros(F.col(ts)).alias("t"),
+                  F.date_trunc(bucket, F.col(ts)).alias("b"))
+    # per-bucket summary and the last event time of the preceding non-empty bucket
+    summ = e.groupBy("k", "b").agg(F.min("t").alias("b_first"), F.max("t").alias("b_last"))
+    wk = Window.partitionBy("k").orderBy("b")
+    summ = summ.withColumn("prev_last", F.lag("b_last").over(wk))
+    # inside a bucket: previous event time; a new session starts when the gap is reached
+    wb = Window.partitionBy("k", "b").orderBy("t")
+    e = e.withColumn("prev_t", F.lag("t").over(wb))
+    e = e.join(summ.select("k", "b", "prev_last"), ["k", "b"])
+    prev = F.coalesce(F.col("prev_t"), F.col("prev_last"))
+    e = e.withColumn("start", (prev.isNull() | (F.col("t") - prev >= gap)).cast("long"))
+    # session number = starts in earlier buckets (offset over the summary) + starts so far here
+    # among equal timestamps the (single) session start must come first
+    ws = Window.partitionBy("k", "b").orderBy("t", F.col("start").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("local_sid", F.sum("start").over(ws))
+    starts = e.groupBy("k", "b").agg(F.sum("start").alias("n_starts"))
+    off = starts.withColumn("off", F.coalesce(F.sum("n_starts").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                              F.lit(0))).drop("n_starts")
+    e = e.join(off, ["k", "b"]).withColumn("sid", F.col("off") + F.col("local_sid"))
+    s = e.groupBy("k", "sid").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"))
+    return s.select(F.col("k").alias(key), F.timestamp_micros("t0").alias("session_start"),
+                    F.timestamp_micros(F.col("t1") + gap).alias("session_end"), "n")

@@ -118,9 +118,9 @@ g AS (SELECT university, ts, sum(brk) OVER (PARTITION BY university ORDER BY ts,
 SELECT university, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n
 FROM g GROUP BY university, sid""")
 def session_bursts(spark, sf):
-    s = sentiment_fx(spark, sf)
-    g = s.groupBy("university", F.session_window("ts", "30 minutes").alias("sw")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("university", F.col("sw.start").alias("session_start"), F.col("sw.end").alias("session_end"), "n")
+    # same sessions as groupBy(university, session_window(ts, "30 minutes")), but split by day so a
+    # hot institution is not sorted in a single task
+    return TM.sessionize(sentiment_fx(spark, sf), "university", "ts", 30 * 60)
 
 
 @register("nearest_event_join", """

@@ -135,3 +135,32 @@ def test_running_sum_any_partitioning(spark):
 def test_empty_relation_keeps_schema(spark):
     df = spark.createDataFrame([(1, "a")], "id long, text string").limit(0)
     assert df.count() == 0 and df.columns == ["id", "text"]
+
+
+def test_sessionize_equals_brute_force(spark):
+    """A gap of at least 30 minutes starts a new session (Spark's session_window would also merge
+    sessions that touch exactly at the gap; the SQL oracle uses the same rule as here)."""
+    from collections import defaultdict
+
+    from corpuslens.operators.temporal import sessionize
+    rnd = random.Random(9)
+    base = pd.Timestamp("2024-01-01 22:00")
+    rows = [(rnd.choice(["a", "b"]), (base + pd.Timedelta(minutes=rnd.randint(0, 3000))).to_pydatetime())
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "u string, ts timestamp")
+    got = {(r.u, r.session_start, r.session_end, r.n) for r in sessionize(df, "u", "ts", 1800).collect()}
+    by = defaultdict(list)
+    for u, t in rows:
+        by[u].append(t)
+    exp = set()
+    for u, ts in by.items():
+        ts.sort()
+        start, last, n = ts[0], ts[0], 1
+        for t in ts[1:]:
+            if (t - last).total_seconds() >= 1800:
+                exp.add((u, start, last + pd.Timedelta(minutes=30), n))
+                start, n = t, 0
+            last = t
+            n += 1
+        exp.add((u, start, last + pd.Timedelta(minutes=30), n))
+    assert got == exp
