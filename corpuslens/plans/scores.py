@@ -173,7 +173,7 @@ def weighted_log_loss(spark, sf):
 , c AS (SELECT y, count(*) AS n_c FROM scores_fx WHERE is_synth = 0 GROUP BY y),
 cw AS (SELECT max(CASE WHEN y = 0 THEN sum_n / (2 * n_c) END) AS w0, max(CASE WHEN y = 1 THEN sum_n / (2 * n_c) END) AS w1
        FROM (SELECT y, n_c, sum(n_c) OVER () AS sum_n FROM c) t)
-SELECT round(b.threshold, 6) AS threshold, round(b.macro_f1, 6) AS val_macro_f1, 0.3 AS synth_weight,
+SELECT round(b.threshold, 6) AS threshold, round(b.macro_f1, 6) AS val_macro_f1, CAST(0.3 AS DOUBLE) AS synth_weight,
        round(cw.w0, 6) AS w0, round(cw.w1, 6) AS w1 FROM best b, cw""")
 def run_bundle(spark, sf):
     best = E.best_threshold(_sweep(spark, sf)).first()

@@ -37,17 +37,26 @@ def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> Dat
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain everything available (``availableNow``) into a parquet table under the checkpoint
-    folder via ``foreachBatch`` and return it as a batch DataFrame."""
+    folder via ``foreachBatch`` and return it as a batch DataFrame.
+
+    Each micro-batch overwrites its own ``batch_id=<epoch>`` folder, so a retried batch replaces
+    its earlier attempt instead of appending twice (idempotent sink). In ``complete`` mode only the
+    latest epoch holds the current result.
+    """
     out = scratch_path(spark, f"stream-{name}")
     ckpt = scratch_path(spark, f"stream-{name}-ckpt")
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("append" if mode != "complete" else "overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={epoch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    res = spark.read.parquet(out)
+    if mode == "complete":
+        last = res.agg(F.max("batch_id")).first()[0]  # one scalar
+        res = res.where(F.col("batch_id") == last)
+    return res.drop("batch_id")
 
 
 def stream_dedupe(stream: DataFrame, key: str = "event_id", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
