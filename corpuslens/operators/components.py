@@ -29,15 +29,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
                               .distinct())
     labels = reliable_checkpoint(vertices.select("id", F.col("id").alias("root")).distinct())
     for _ in range(max_rounds):
-        # neighbour labels
-        cand = und.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "root")
-        new = labels.unionByName(cand).groupBy("id").agg(F.min("root").alias("root"))
+        # neighbour labels; the previous label rides along so "changed" needs no extra join
+        cand = und.join(labels.withColumnRenamed("id", "src"), "src").select(
+            F.col("dst").alias("id"), "root", F.lit(None).cast("long").alias("old"))
+        agg = (labels.select("id", "root", F.col("root").alias("old")).unionByName(cand)
+               .groupBy("id").agg(F.min("root").alias("root"), F.max("old").alias("old")))
         # pointer jumping: adopt the label of your label
-        hop = new.join(new.select(F.col("id").alias("root"), F.col("root").alias("root2")), "root", "left")
-        new = reliable_checkpoint(hop.select("id", F.least("root", F.coalesce("root2", "root")).alias("root")))
-        changed = (new.join(labels.withColumnRenamed("root", "old"), "id")
-                   .where(F.col("root") != F.col("old")).limit(1).count())
-        labels = new
+        hop = agg.join(agg.select(F.col("id").alias("root"), F.col("root").alias("root2")), "root", "left")
+        new = reliable_checkpoint(hop.select("id", F.least("root", F.coalesce("root2", "root")).alias("root"), "old"))
+        changed = new.where(F.col("root") != F.col("old")).limit(1).count()  # reads the checkpoint
+        labels = new.select("id", "root")
         if changed == 0:
             return labels
     raise NotConverged(f"components did not converge in {max_rounds} rounds")
