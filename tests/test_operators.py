@@ -164,3 +164,12 @@ def test_sessionize_equals_brute_force(spark):
             n += 1
         exp.add((u, start, last + pd.Timedelta(minutes=30), n))
     assert got == exp
+
+
+def test_tag_join_phrases_and_unigrams(spark):
+    from corpuslens.operators import keywords as K
+    df = spark.createDataFrame([(1, "Bugün öğrenci işleri yine rezalet, iyi ki Bilkent var"),
+                                (2, "öğrenci"), (3, "iyi ki"), (4, None)], "id long, text string")
+    got = {(r.id, r.kind, r.code, r.n_hits) for r in K.tag_join(df, "id", "text", K.catalog_df(spark)).collect()}
+    assert got == {(1, "topic", "idari", 1), (1, "topic", "guclu_negatif", 1), (1, "topic", "guclu_pozitif", 1),
+                   (1, "institution", "BILKENT", 1), (3, "topic", "guclu_pozitif", 1)}
