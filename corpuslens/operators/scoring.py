@@ -77,22 +77,23 @@ _MODEL_CACHE: dict = {}
 
 def score_logits(df: DataFrame, input_col: str, keep: list[str],
                  model_factory: Callable = lexicon_model_factory, n_classes: int = 3) -> DataFrame:
-    """Append ``logits array<double>`` computed by the pluggable model on Arrow batches."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-                       + ["logits array<double>"])
+    """Append ``logits array<double>`` computed by the pluggable model on Arrow batches.
+
+    An iterator pandas UDF: only the input column crosses into Python (other columns stay in
+    the JVM), and the model is built once per Python worker and reused across batches.
+    """
     key = getattr(model_factory, "__qualname__", str(model_factory))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<double>")
+    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _MODEL_CACHE.get(key)
         if model is None:
             model = _MODEL_CACHE[key] = model_factory()
         for b in batches:
-            z = model(b[input_col])
-            out = b[keep].copy()
-            out["logits"] = list(z[:, :n_classes])
-            yield out
+            z = model(b)
+            yield pd.Series(list(z[:, :n_classes]))
 
-    return df.select(*dict.fromkeys([*keep, input_col])).mapInPandas(run, schema)
+    return df.select(*keep, logits(F.col(input_col)).alias("logits"))
 
 
 def label_from_logits(df: DataFrame, thresh: float = DEFAULT_ABSTAIN) -> DataFrame:

@@ -126,3 +126,19 @@ def near_dedupe_keep_first(spark, sf):
     d = documents(spark, sf).select("doc_id", "source")
     keep = comps.where(F.col("id") == F.col("root")).select(F.col("id").alias("doc_id"))
     return d.join(keep, "doc_id", "left_semi")
+
+
+_VCC_SQL = S.with_(S.minhash_ctes("documents", "doc_id", "text", 8, 8).replace(
+    "edges AS (SELECT DISTINCT", "cand AS (SELECT DISTINCT"), f"""
+edges AS (SELECT c.src, c.dst FROM cand c JOIN sh a ON a.id = c.src JOIN sh b ON b.id = c.dst
+          WHERE len(list_intersect(a.hs, b.hs)) / len(list_distinct(list_concat(a.hs, b.hs))) >= {M.DEFAULT_THRESHOLD})""",
+                   S.components_ctes("documents", "doc_id"))
+
+
+@register("near_dup_clusters_verified", _VCC_SQL + "SELECT id AS doc_id, root FROM comps")
+def near_dup_clusters_verified(spark, sf):
+    """Clusters over verified edges only (8 x 8 bands, exact Jaccard >= 0.82 on shingle-hash sets)."""
+    from corpuslens.operators.splits import near_dup_components
+    d = documents(spark, sf)
+    comps = near_dup_components(d, "doc_id", "text", M.RECALL_BANDS, M.RECALL_ROWS, verify=True)
+    return comps.select(F.col("id").alias("doc_id"), "root")

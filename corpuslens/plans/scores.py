@@ -206,3 +206,27 @@ def model_agreement(spark, sf):
         return e.select("vec_id", (p >= 0.5).cast("int").alias(f"p{i}"))
     j = model(0).join(model(1), "vec_id")
     return j.groupBy(F.col("p0").alias("pred_a"), F.col("p1").alias("pred_b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# second grid of the reference: 91 thresholds 0.05, 0.06, ..., 0.95
+LIN_START, LIN_STEP, LIN_N = 0.05, 0.01, 91
+
+
+@register("threshold_sweep_linspace", SF + f"""
+, grid AS (SELECT k, CAST({LIN_START} AS DOUBLE) + k * CAST({LIN_STEP} AS DOUBLE) AS threshold FROM range(0, {LIN_N}) t(k)),
+cnt AS (
+  SELECT g.k, g.threshold,
+         count(*) FILTER (WHERE s.y = 1 AND s.prob_pos >= g.threshold) AS tp,
+         count(*) FILTER (WHERE s.y = 0 AND s.prob_pos >= g.threshold) AS fp,
+         count(*) FILTER (WHERE s.y = 1 AND s.prob_pos < g.threshold) AS fn,
+         count(*) FILTER (WHERE s.y = 0 AND s.prob_pos < g.threshold) AS tn
+  FROM grid g, scores_fx s WHERE s.is_synth = 0 GROUP BY g.k, g.threshold)
+SELECT k, round(threshold, 6) AS threshold, tp, fp, fn, tn,
+       round((CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END
+            + CASE WHEN 2 * tn + fn + fp = 0 THEN 0.0 ELSE 2 * tn / (2 * tn + fn + fp) END) / 2, 6) AS macro_f1
+FROM cnt""")
+def threshold_sweep_linspace(spark, sf):
+    real = scores_fx(spark, sf).where(F.col("is_synth") == 0)
+    s = E.threshold_sweep(real, "prob_pos", "y", LIN_START, LIN_STEP, LIN_N)
+    return s.select("k", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn",
+                    F.round("macro_f1", 6).alias("macro_f1"))

@@ -26,3 +26,18 @@ def test_split_groups_properties(spark):
     target = SP.target_size(n, 0.10)
     for split in ("test", "val"):
         assert full.where(F.col("split") == split).select("root").distinct().count() == target
+
+
+def test_split_groups_independent_of_partitioning(spark):
+    from corpuslens.operators import splits as SP
+    from corpuslens.plans.fixtures import labeled_fx
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = labeled_fx(spark, "/root/testdata/sf0.001").repartition(int(parts) + 2)
+            results.append({(r.doc_id, r.split) for r in SP.split_groups(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
