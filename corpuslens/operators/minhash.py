@@ -88,6 +88,11 @@ def signatures(rows: DataFrame, num_perm: int = DEFAULT_NUM_PERM) -> DataFrame:
     return agg.select("id", F.array(*[F.col(f"_m{i}") for i in range(num_perm)]).alias("sig"))
 
 
+def set_rows(sets: DataFrame) -> DataFrame:
+    """``(id, h)`` rows back from a shingle-set table (for signatures over checkpointed sets)."""
+    return sets.select("id", F.explode_outer("hashes").alias("h"))
+
+
 def with_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                     num_perm: int = DEFAULT_NUM_PERM, profile: str | None = "minhash",
                     max_chars: int | None = None) -> DataFrame:

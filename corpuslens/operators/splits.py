@@ -34,11 +34,14 @@ def near_dup_components(df: DataFrame, id_col: str, text_col: str, bands: int =
     ``threshold``; as edges go to the bucket minimum, a near pair whose bucket minimum is
     unrelated to both can be missed (use ``bands=8, rows=8`` for recall).
     """
-    sh = M.shingle_rows(df, id_col, text_col, max_chars=max_chars).persist()
-    sigs = M.signatures(sh).persist()
+    if verify:
+        sets = reliable_checkpoint(M.shingle_table(M.shingle_rows(df, id_col, text_col, max_chars=max_chars)))
+        sigs = reliable_checkpoint(M.signatures(M.set_rows(sets)))
+    else:
+        sigs = reliable_checkpoint(M.with_signatures(df, id_col, text_col, max_chars=max_chars))
     edges = M.star_edges(M.band_keys(sigs, bands, rows))
     if verify:
-        edges = M.verify_edges(edges, M.shingle_table(sh), threshold).select("src", "dst")
+        edges = M.verify_edges(edges, sets, threshold).select("src", "dst")
     return C.connected_components(df.select(F.col(id_col).alias("id")), edges)
 
 

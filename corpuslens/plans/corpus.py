@@ -10,6 +10,7 @@ from corpuslens.operators import dedupe as D
 from corpuslens.operators import minhash as M
 from corpuslens.plans import sqlfrag as S
 from corpuslens.plans.fixtures import documents
+from corpuslens.session import reliable_checkpoint
 
 QUERIES = {}
 ORACLE = {}
@@ -84,9 +85,10 @@ def lsh_candidate_pairs(spark, sf):
   FROM edges e JOIN sh a ON a.id = e.src JOIN sh b ON b.id = e.dst)
 SELECT src, dst, round(jaccard, 6) AS jaccard FROM jac WHERE jaccard >= {M.DEFAULT_THRESHOLD}""")
 def near_dup_pairs(spark, sf):
-    rows = M.shingle_rows(documents(spark, sf), "doc_id", "text").persist()
-    h = M.shingle_table(rows)  # hash sets for both verify joins
-    s = M.signatures(rows).persist()  # read by the bucket-minimum aggregate and its join
+    # one pass over the text: shingle-hash sets, materialised in the shared checkpoint folder and
+    # read by the signatures and both verify joins
+    h = reliable_checkpoint(M.shingle_table(M.shingle_rows(documents(spark, sf), "doc_id", "text")))
+    s = reliable_checkpoint(M.signatures(M.set_rows(h)))  # read by the bucket-minimum aggregate and its join
     e = M.star_edges(M.band_keys(s, M.RECALL_BANDS, M.RECALL_ROWS))
     v = M.verify_edges(e, h, M.DEFAULT_THRESHOLD)
     return v.select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
@@ -94,7 +96,8 @@ def near_dup_pairs(spark, sf):
 
 def _components(spark, sf):
     d = documents(spark, sf)
-    b = M.band_keys(M.with_signatures(d, "doc_id", "text").persist(), M.COMPAT_BANDS, M.COMPAT_ROWS)
+    sig = reliable_checkpoint(M.with_signatures(d, "doc_id", "text"))  # read by the aggregate and its join
+    b = M.band_keys(sig, M.COMPAT_BANDS, M.COMPAT_ROWS)
     return C.connected_components(d.select(F.col("doc_id").alias("id")), M.star_edges(b))
 
 

@@ -12,6 +12,7 @@ from corpuslens.operators import splits as SP
 from corpuslens.plans import sqlfrag as S
 from corpuslens.plans.fixtures import label3_fx, labeled_fx
 from corpuslens.sources import sinks as W
+from corpuslens.session import reliable_checkpoint
 from corpuslens.sources.schemas import require_columns
 
 QUERIES = {}
@@ -222,7 +223,7 @@ SELECT 'synth_rows_near_eval', count(DISTINCT id) FROM b WHERE role = 'synth' AN
 def leakage_audit(spark, sf):
     """Clusters spanning two splits, and synthetic train rows sharing an LSH bucket with val/test
     (the reference clusters real rows only, so such synthetic near-copies can leak)."""
-    s = _split(spark, sf).persist()
+    s = reliable_checkpoint(_split(spark, sf))
     spans = (s.where(F.col("root").isNotNull()).groupBy("root").agg(F.count_distinct("split").alias("k"))
              .where(F.col("k") > 1).agg(F.count(F.lit(1)).alias("value"))
              .select(F.lit("clusters_spanning_splits").alias("metric"), "value"))

@@ -13,6 +13,7 @@ from corpuslens.operators import train as TR
 from corpuslens.plans import sqlfrag as S
 from corpuslens.plans.fixtures import documents, labeled_fx
 from corpuslens.plans.labels import SPLIT_SQL
+from corpuslens.session import reliable_checkpoint
 from corpuslens.sources import sinks as W
 
 QUERIES = {}
@@ -72,7 +73,7 @@ MAXLEN = 50
 
 @register("subword_encode")
 def subword_encode(spark, sf):
-    texts = _train_texts(spark, sf).persist()
+    texts = reliable_checkpoint(_train_texts(spark, sf))
     wf = SW.word_frequencies(texts)
     merges = SW.learn_merges(wf, NUM_MERGES)
     vocab = SW.vocabulary(wf, merges)

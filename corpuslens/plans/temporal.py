@@ -120,7 +120,7 @@ FROM g GROUP BY university, sid""")
 def session_bursts(spark, sf):
     # same sessions as groupBy(university, session_window(ts, "30 minutes")), but split by day so a
     # hot institution is not sorted in a single task
-    return TM.sessionize(sentiment_fx(spark, sf), "university", "ts", 30 * 60)
+    return TM.sessionize(sentiment_fx(spark, sf), "university", "ts", 30 * 60, bucket="hour")
 
 
 @register("nearest_event_join", """
@@ -135,7 +135,8 @@ def nearest_event_join(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     left = ev.where(F.col("event_type") == "click")
     right = ev.where(F.col("event_type") == "view")
-    return TM.nearest_join(left, right, "user_id", "ts", "event_id", bucket="day")
+    # hour buckets: a hot user is spread over its hours; neighbours in other hours come from the summary
+    return TM.nearest_join(left, right, "user_id", "ts", "event_id", bucket="hour")
 
 
 LOG_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("epoch", "loss", "eval_loss", "eval_macro_f1")])
