@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.session import ensure_checkpoint_dir, reliable_checkpoint
@@ -73,11 +73,20 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 5) -
     return merges
 
 
-def vocabulary(words: DataFrame, merges: list[tuple[str, str, int]]) -> list[str]:
-    """Ids: 0 pad, 1 unknown, then base symbols in code-point order, then merged tokens in rank order."""
-    base = (words.select(F.explode(symbols(F.col("word"))).alias("s")).distinct().orderBy("s")
-            .select("s"))
-    base_syms = [r["s"] for r in base.collect()]  # bounded by the alphabet size
+def vocabulary(words: DataFrame, merges: list[tuple[str, str, int]], character_coverage: float = 1.0) -> list[str]:
+    """Ids: 0 pad, 1 unknown, then base symbols in code-point order, then merged tokens in rank order.
+
+    ``character_coverage < 1`` keeps only the most frequent characters whose cumulative share of
+    all character occurrences stays within the coverage (the rest encode as unknown). The
+    character table is bounded by the alphabet size, so its window and collect are small.
+    """
+    chars = (words.select("n", F.explode(symbols(F.col("word"))).alias("s"))
+             .groupBy("s").agg(F.sum("n").alias("c")))
+    w = Window.orderBy(F.col("c").desc(), "s").rowsBetween(Window.unboundedPreceding, -1)
+    chars = chars.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))) \
+        .withColumn("total", F.sum("c").over(Window.partitionBy()))
+    kept = chars.where((F.col("before") < F.col("total") * F.lit(character_coverage)) | (F.col("s") == BOUNDARY))
+    base_syms = sorted(r["s"] for r in kept.select("s").collect())
     return ["<pad>", "<unk>"] + base_syms + [a + b for a, b, _ in merges]
 
 

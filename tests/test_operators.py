@@ -173,3 +173,12 @@ def test_tag_join_phrases_and_unigrams(spark):
     got = {(r.id, r.kind, r.code, r.n_hits) for r in K.tag_join(df, "id", "text", K.catalog_df(spark)).collect()}
     assert got == {(1, "topic", "idari", 1), (1, "topic", "guclu_negatif", 1), (1, "topic", "guclu_pozitif", 1),
                    (1, "institution", "BILKENT", 1), (3, "topic", "guclu_pozitif", 1)}
+
+
+def test_vocabulary_character_coverage(spark):
+    from corpuslens.operators.subword import vocabulary
+    words = spark.createDataFrame([("aaab", 10), ("c", 1)], "word string, n long")
+    full = vocabulary(words, [])
+    assert full[:2] == ["<pad>", "<unk>"] and set(full[2:]) == {"▁", "a", "b", "c"}
+    # a: 30 of 52 occurrences, ▁: 11, b: 10, c: 1 -> 0.7 coverage keeps a and the boundary
+    assert set(vocabulary(words, [], character_coverage=0.7)[2:]) == {"▁", "a"}
