@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.arrays import hash32
 from corpuslens.functions.text import normalize, shingles, split_words
+from corpuslens.operators.joins import salted_join
 
 # Prime modulus of the permutation family (2^32 + 15).
 PRIME = 4294967311
@@ -109,11 +110,22 @@ def band_keys(sigs: DataFrame, bands: int = COMPAT_BANDS, rows: int = COMPAT_ROW
     return sigs.select("id", F.posexplode_outer(keys).alias("band", "key"))
 
 
-def star_edges(bands_df: DataFrame) -> DataFrame:
-    """Candidate edges ``(src, dst)``: each bucket member to the bucket minimum, ``src > dst``."""
-    mins = bands_df.groupBy("band", "key").agg(F.min("id").alias("dst"))
-    return (bands_df.join(mins, ["band", "key"])
-            .where(F.col("id") != F.col("dst"))
+# Buckets with more members than this are split over HOT_SALTS tasks when joined back.
+HOT_BUCKET_ROWS = 100_000
+HOT_SALTS = 64
+
+
+def star_edges(bands_df: DataFrame, hot_rows: int = HOT_BUCKET_ROWS, salts: int = HOT_SALTS) -> DataFrame:
+    """Candidate edges ``(src, dst)``: each bucket member to the bucket minimum, ``src > dst``.
+
+    The bucket minimum and size come from one partial aggregate. Joining it back is salted for
+    buckets above ``hot_rows`` members (blank or boilerplate texts can put a third of all rows in
+    one bucket), so no bucket is processed by a single task.
+    """
+    stats = bands_df.groupBy("band", "key").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("_n"))
+    hot = stats.where(F.col("_n") > hot_rows).select("band", "key")
+    joined = salted_join(bands_df, stats.drop("_n"), ["band", "key"], hot, salts, F.col("id"))
+    return (joined.where(F.col("id") != F.col("dst"))
             .select(F.col("id").alias("src"), "dst")
             .distinct())
 

@@ -182,3 +182,24 @@ def test_vocabulary_character_coverage(spark):
     assert full[:2] == ["<pad>", "<unk>"] and set(full[2:]) == {"▁", "a", "b", "c"}
     # a: 30 of 52 occurrences, ▁: 11, b: 10, c: 1 -> 0.7 coverage keeps a and the boundary
     assert set(vocabulary(words, [], character_coverage=0.7)[2:]) == {"▁", "a"}
+
+
+def test_star_edges_salted_equals_plain(spark):
+    from corpuslens.operators import minhash as M
+    rnd = random.Random(4)
+    rows = [(i, b, f"k{rnd.choice([0, 0, 0, 1, 2, 3]) if b == 0 else rnd.randint(0, 50)}")
+            for i in range(300) for b in range(2)]
+    bands = spark.createDataFrame(rows, "id long, band int, key string")
+    plain = {tuple(r) for r in M.star_edges(bands, hot_rows=10**9).collect()}
+    salted = {tuple(r) for r in M.star_edges(bands, hot_rows=20, salts=7).collect()}
+    assert salted == plain and len(plain) > 0
+
+
+def test_components_salted_equals_plain(spark):
+    # a star with a 60-edge centre and a chain, salted at 10 rows per key
+    edges = [(0, i) for i in range(1, 61)] + [(100 + i, 101 + i) for i in range(30)]
+    v = spark.range(0, 140).select(F.col("id"))
+    e = spark.createDataFrame(edges, "src long, dst long")
+    plain = {r.id: r.root for r in C.connected_components(v, e).collect()}
+    salted = {r.id: r.root for r in C.connected_components(v, e, hot_rows=10, salts=5).collect()}
+    assert salted == plain and plain[60] == 0 and plain[130] == 100
