@@ -29,8 +29,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     """``(id, root)`` with root = smallest id in the component; isolated vertices are their own root.
 
     ``vertices`` has column ``id``; ``edges`` has ``src``, ``dst`` (direction ignored). Star edges
-    give a bucket minimum a huge degree and a giant component a huge root: both joins are
-    salted for such keys (``operators.joins.salted_join``), so none is handled by one task.
+    give a bucket minimum a huge degree: the neighbour-label join is salted for such vertices
+    (``operators.joins.salted_join``; the hot set is found once, the edges never change). A
+    giant component's root is hot in the pointer-jumping join, a left join whose skewed side
+    AQE splits; salting it as well would cost an extra aggregation every round.
     """
     ensure_checkpoint_dir(vertices.sparkSession)
     und = reliable_checkpoint(edges.select("src", "dst")
@@ -38,18 +40,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
                               .distinct())
     hot_src = reliable_checkpoint(und.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
                                   .where(F.col("_n") > hot_rows).select("src"))
+    n_hot = hot_src.count()
     labels = reliable_checkpoint(vertices.select("id", F.col("id").alias("root")).distinct())
     for _ in range(max_rounds):
         # neighbour labels; the previous label rides along so "changed" needs no extra join
-        cand = salted_join(und, labels.withColumnRenamed("id", "src"), ["src"], hot_src, salts, F.col("dst"))
+        cand = salted_join(und, labels.withColumnRenamed("id", "src"), ["src"], hot_src, salts, F.col("dst"), n_hot)
         cand = cand.select(F.col("dst").alias("id"), "root", F.lit(None).cast("long").alias("old"))
         agg = (labels.select("id", "root", F.col("root").alias("old")).unionByName(cand)
                .groupBy("id").agg(F.min("root").alias("root"), F.max("old").alias("old")))
-        # pointer jumping: adopt the label of your label (every root is itself a vertex)
-        hot_root = labels.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select("root")
-        hop = salted_join(agg, agg.select(F.col("id").alias("root"), F.col("root").alias("root2")), ["root"],
-                          hot_root, salts, F.col("id"))
-        new = reliable_checkpoint(hop.select("id", F.least("root", "root2").alias("root"), "old"))
+        # pointer jumping: adopt the label of your label
+        hop = agg.join(agg.select(F.col("id").alias("root"), F.col("root").alias("root2")), "root", "left")
+        new = reliable_checkpoint(hop.select("id", F.least("root", F.coalesce("root2", "root")).alias("root"), "old"))
         changed = new.where(F.col("root") != F.col("old")).limit(1).count()  # reads the checkpoint
         labels = new.select("id", "root")
         if changed == 0:

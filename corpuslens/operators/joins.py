@@ -16,9 +16,12 @@ MAX_HOT_KEYS = 100_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, salts: int,
-                salt_source: Column) -> DataFrame:
-    """Inner join on ``keys``; rows of keys listed in ``hot`` are split over ``salts`` sub-keys."""
-    n_hot = hot.count()  # one scalar: size check before broadcasting
+                salt_source: Column, n_hot: int | None = None) -> DataFrame:
+    """Inner join on ``keys``; rows of keys listed in ``hot`` are split over ``salts`` sub-keys.
+
+    ``n_hot`` (the size of ``hot``) may be passed when already known, e.g. in a loop."""
+    if n_hot is None:
+        n_hot = hot.count()  # one scalar: size check before broadcasting
     if n_hot == 0:
         return big.join(small, keys)
     flag = hot.select(*keys).distinct().withColumn("_hot", F.lit(True))
