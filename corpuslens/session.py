@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -74,3 +77,17 @@ def reliable_checkpoint(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers once per application, so that jobs run
+    wherever the driver was started. The driver serves the archive; no shared folder is needed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpuslens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    tmp = tempfile.mkdtemp(prefix="corpuslens-pkg-")  # must stay: the driver serves the file from here
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    shutil.copytree(root, os.path.join(tmp, "zip", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(tmp, "corpuslens"), "zip", os.path.join(tmp, "zip")))
+    sc._corpuslens_shipped = True
