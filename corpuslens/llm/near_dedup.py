@@ -8,11 +8,12 @@
 3. Star round: every vertex of a band bucket is paired with the bucket's smallest id. A second round
    pairs the buckets still split over several components with a few more shared hubs.
 4. Buckets still split after that are settled exactly: every vertex outside the bucket's largest
-   component is compared with all vertices of other components. Two bounds that no true pair fails
-   thin these pairs before any set is shipped: sizes within the threshold after leaving out shingles
-   no other undecided vertex has, and (for all rounds) an estimate from the minima at least five
-   standard deviations under the threshold.
-5. Every pair is confirmed on the full shingle sets: 100 * |A and B| >= threshold * |A or B|.
+   component is compared with all vertices of other components.
+5. Each pair first passes a parity sketch: 1,024 bits, each flipped by the shingles that hash to it.
+   Two sketches differ in at most as many bits as the sets have shingles apart, so a pair that
+   differs in more than the threshold allows is no link; no true link is lost. This test is part
+   of the join that forms the pairs.
+6. Every pair left is confirmed on the full shingle sets: 100 * |A and B| >= threshold * |A or B|.
 
 Buckets, components and pairs have no caps. Pairs inside a component that is already connected are
 never formed, because only the components are asked for.
@@ -26,10 +27,11 @@ links by any of their sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import as_bytes, by_bytes, stored, with_group_stats
@@ -37,6 +39,7 @@ from corpuslens.llm.components import star_components
 from corpuslens.llm.tokens import U64, mix, numbers, shingle_hashes, word_hashes
 
 BANDS, ROWS = 32, 4
+SKETCH = 16  # longs of 64 bits
 EXTRA_HUBS = 16
 
 
@@ -57,6 +60,25 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(grouped + numbers(14, BANDS)).view(np.int64)
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of shingles hash to it."""
+    bits = 64 * SKETCH
+    odd = np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH)])
+
+
+def _possible(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """No pair that reaches the threshold fails this: sets of similarity t or more differ in size by a factor t
+    at most, and in at most (1 - t) / (1 + t) of the sum of their sizes."""
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & (_apart(a, b) * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent))
+
+
 def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     for frame in by_bytes(frames, "text"):
         words, at = word_hashes([as_bytes(t).lower() for t in frame["text"]])
@@ -64,7 +86,7 @@ def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame
 
 
 def signatures(docs: DataFrame, k: int = 2) -> DataFrame:
-    """``id, n, fp1, fp2, signature, bands`` of ``docs(id, text)``."""
+    """``id, n, fp1, fp2, sketch, bands`` of ``docs(id, text)``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, sets in _sets(frames, k):
@@ -73,11 +95,11 @@ def signatures(docs: DataFrame, k: int = 2) -> DataFrame:
                 "id": frame["id"], "n": [len(s) for s in sets],
                 "fp1": [int(s.sum(dtype=U64).view(np.int64)) for s in sets],
                 "fp2": [int(mix(s).sum(dtype=U64).view(np.int64)) for s in sets],
-                "signature": [None if g is None else g.tobytes() for g in signs],
+                "sketch": [parity_sketch(s) if len(s) else None for s in sets],
                 "bands": [None if g is None else _band_keys(g) for g in signs],
             })
 
-    return docs.mapInPandas(run, "id long, n long, fp1 long, fp2 long, signature binary, bands array<long>")
+    return docs.mapInPandas(run, "id long, n long, fp1 long, fp2 long, sketch array<long>, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int = 2) -> DataFrame:
@@ -90,35 +112,18 @@ def shingle_sets(docs: DataFrame, k: int = 2) -> DataFrame:
     return docs.mapInPandas(run, "id long, shingles array<long>")
 
 
-def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs of whose minima at least ``least`` agree; signatures are 4-byte groups."""
-
-    @F.pandas_udf("int")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype="int32")
-        x = np.frombuffer(b"".join(a), dtype=np.uint32).reshape(len(a), -1)
-        y = np.frombuffer(b"".join(b), dtype=np.uint32).reshape(len(b), -1)
-        return pd.Series((x == y).sum(axis=1).astype(np.int32))
-
-    return pairs.where(agree("sig_a", "sig_b") >= least).drop("sig_a", "sig_b")
-
-
 def _confirmed(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``src, dst`` of the pairs whose full sets reach the threshold."""
-    share = percent / 100
-    least = int(BANDS * ROWS * (share - 5 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5))
-    sign = vertices.select("id", "n", "signature")
-    a = sign.select(F.col("id").alias("src"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
-    b = sign.select(F.col("id").alias("dst"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"))
-    likely = (pairs.join(b, "dst").join(a, "src")
-              .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    likely = _agreeing(likely, least).select("src", "dst")
+    a = vertices.select(F.col("id").alias("src"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    b = vertices.select(F.col("id").alias("dst"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    near = pairs.join(b, "dst").alias("p").join(
+        a.alias("a"), (F.col("p.src") == F.col("a.src")) & _possible("sketch_a", "sketch_b", "n_a", "n_b", percent))
+    near = near.select("p.src", "dst")
     sa = sets.select(F.col("id").alias("src"), F.col("shingles").alias("set_a"))
     sb = sets.select(F.col("id").alias("dst"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    return likely.join(sb, "dst").join(sa, "src").where(both * 100 >= either * percent).select("src", "dst")
+    return near.join(sb, "dst").join(sa, "src").where(both * 100 >= either * percent).select("src", "dst")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -141,34 +146,19 @@ def _hub_pairs(open_members: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst")).distinct()
 
 
-def _rest_pairs(open_members: DataFrame, vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in a bucket, bar those that bounds on sizes rule out.
-
-    Shingles that only one undecided vertex has cannot be shared, so vertex x with ``n`` shingles,
-    ``u`` of them its own, overlaps by at most ``n - u``. With J >= t the overlap is at least
-    t / (1 + t) of the sum of sizes, so a partner has at most ``(n - u) * (1 + t) / t - n`` shingles.
-    """
-    t = percent / 100
-    ids = open_members.select("id").distinct()
-    tokens = ids.join(sets, "id").select("id", F.explode("shingles").alias("s"))
-    alone = tokens.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("_hi")).where("id = _hi")
-    own = alone.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    reach = (ids.join(vertices.select("id", "n"), "id").join(own, "id", "left")
-             .withColumn("u", F.coalesce("u", F.lit(0)))
-             .select("id", "n", ((F.col("n") - F.col("u")) * ((1 + t) / t) - F.col("n") + 1e-6).alias("reach"))
-             .where(F.col("reach") >= F.col("n") * t - 1e-6))
-    rows = stored(open_members.join(reach, "id"), "open")
+def _rest_pairs(open_members: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in a bucket that can reach the threshold; each has a vertex
+    outside the bucket's largest component."""
+    rows = stored(open_members.join(vertices.select("id", "n", "sketch"), "id"), "open")
     sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("_big"))
-    small = (rows.join(largest, "band").where("root <> _big")
-             .select("band", F.col("id").alias("src"), F.col("root").alias("ra"), F.col("n").alias("na"),
-                     F.col("reach").alias("ea"), F.lit(True).alias("_s")))
-    other = (rows.join(largest, "band")
-             .select("band", F.col("id").alias("dst"), F.col("root").alias("rb"), F.col("n").alias("nb"),
-                     F.col("reach").alias("eb"), (F.col("root") != F.col("_big")).alias("_t")))
-    pairs = (small.join(other, "band")
-             .where("ra <> rb and nb <= ea and na <= eb and (not _t or src < dst)"))
-    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    placed = rows.join(largest, "band").withColumn("_out", F.col("root") != F.col("_big"))
+    a = placed.where("_out").select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "sketch")])
+    b = placed.select(F.col("band").alias("band_b"), "_out", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "sketch")])
+    pairs = a.join(b, (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b"))
+                   & (~F.col("_out") | (F.col("id_a") < F.col("id_b")))
+                   & _possible("sketch_a", "sketch_b", "n_a", "n_b", percent))
+    return pairs.select(F.least("id_a", "id_b").alias("src"), F.greatest("id_a", "id_b").alias("dst")).distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 2,
@@ -181,22 +171,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                             F.xxhash64("id"))
     same = stored(same, "sets")
     reps = same.where("id = rep").select("id", "fp1", "fp2").distinct()
-    vertices = (linkable.join(reps, ["id", "fp1", "fp2"]).select("id", "n", "signature", "bands")
-                .dropDuplicates(["id", "n", "signature"]))
+    vertices = (linkable.join(reps, ["id", "fp1", "fp2"]).select("id", "n", "sketch", "bands")
+                .dropDuplicates(["id", "n", "sketch"]))
     banded = vertices.select("id", F.explode("bands").alias("band"))
     shared = (banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_hi"))
               .where("hub < _hi").select("band", "hub"))
     members = stored(banded.join(shared, "band"), "buckets")
     near = members.select("id").distinct()
     sets = stored(shingle_sets(source.join(near, "id", "left_semi"), k), "shingles")
-    vertices = stored(vertices.select("id", "n", "signature").join(near, "id", "left_semi"), "vertices")
+    vertices = stored(vertices.select("id", "n", "sketch").join(near, "id", "left_semi"), "vertices")
 
     first = members.where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
     links = stored(_confirmed(first, vertices, sets, percent), "links")
     open_members = stored(_labelled(members, links), "open")
     links = stored(links.unionByName(_confirmed(_hub_pairs(open_members), vertices, sets, percent)), "links")
     open_members = stored(_labelled(open_members, links), "open")
-    last = _confirmed(_rest_pairs(open_members, vertices, sets, percent), vertices, sets, percent)
+    last = _confirmed(_rest_pairs(open_members, vertices, percent), vertices, sets, percent)
     roots = star_components(links.unionByName(last))
 
     found = (same.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
