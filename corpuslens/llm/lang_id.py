@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 20_000, 256
 BACKOFF = math.log(0.4)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 200_000  # unseen words a task remembers before it starts afresh
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -73,23 +74,26 @@ class Model:
         self.langs = sorted(langs)
         self.words = self._table(words)
         self.grams = self._table(grams)
-        self.nothing = np.zeros(len(self.langs))
-        self.seen: dict[str, np.ndarray] = {}
+        self._restart()
 
     def _table(self, rows: list[tuple]) -> dict[str, np.ndarray]:
         """Add-half frequencies among entries of the same kind (words, or grams of one length)."""
         at = {lang: i for i, lang in enumerate(self.langs)}
         counts: dict[str, np.ndarray] = {}
-        for kind, lang, item, n, total in rows:
-            row = counts.get(item)
-            if row is None:
-                row = counts[item] = np.zeros((2, len(at)))
-            row[0, at[lang]] = n
         totals: dict[int, np.ndarray] = {}
+        kinds: dict[str, int] = {}
         for kind, lang, item, n, total in rows:
+            counts.setdefault(item, np.zeros(len(at)))[at[lang]] = n
             totals.setdefault(kind, np.zeros(len(at)))[at[lang]] = total
-        kinds = {item: kind for kind, _, item, _, _ in rows}
-        return {item: np.log((row[0] + 0.5) / (totals[kinds[item]] + 1.0)) for item, row in counts.items()}
+            kinds[item] = kind
+        return {item: np.log((row + 0.5) / (totals[kinds[item]] + 1.0)) for item, row in counts.items()}
+
+    def _restart(self) -> None:
+        """Known words are the first rows of the matrix of scores; unseen ones join them when met."""
+        self.row = {word: i for i, word in enumerate(self.words)}
+        self.scores = np.zeros((len(self.words) + 1024, len(self.langs)))
+        if self.words:
+            self.scores[:len(self.words)] = list(self.words.values())
 
     def _backoff(self, piece: str, depth: int) -> np.ndarray:
         """Log frequency of a piece, or of the shorter pieces in it if it is unknown."""
@@ -97,34 +101,37 @@ class Model:
         if known is not None:
             return known + BACKOFF * depth
         if len(piece) == 1:
-            return self.nothing
+            return np.zeros(len(self.langs))
         return (self._backoff(piece[:-1], depth + 1) + self._backoff(piece[1:], depth + 1)) / 2
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        known = self.seen.get(word)
-        if known is None:
-            edged = f" {word} "
-            ends = range(max(1, len(edged) - LONGEST + 1))
-            known = sum((self._backoff(edged[i:i + LONGEST], 0) for i in ends), np.zeros(len(self.langs))) / len(ends)
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            self.seen[word] = known
-        return known
-
-    def predict(self, text: object) -> tuple[str, float]:
-        if not isinstance(text, str) or not self.langs:
-            return UNDECIDED, 0.0
-        counts = Counter(WORD.findall(text.lower()))
-        if not counts:
-            return UNDECIDED, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            total += n * self.word(word)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum())
+    def _unseen(self, word: str) -> np.ndarray:
+        edged = f" {word} "
+        ends = range(max(1, len(edged) - LONGEST + 1))
+        return sum((self._backoff(edged[i:i + LONGEST], 0) for i in ends), np.zeros(len(self.langs))) / len(ends)
+
+    def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
+        """Languages and posteriors of a batch of texts."""
+        words = [WORD.findall(t.lower()) if isinstance(t, str) and self.langs else [] for t in texts]
+        flat = list(chain.from_iterable(words))
+        if len(self.row) > len(self.words) + CACHE_WORDS:
+            self._restart()
+        for word in set(flat).difference(self.row):
+            if len(self.row) == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[len(self.row)] = self._unseen(word)
+            self.row[word] = len(self.row)
+        rows = np.fromiter(map(self.row.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        some = sizes > 0
+        names, best = [UNDECIDED] * len(texts), np.zeros(len(texts))
+        if some.any():
+            first = (np.cumsum(sizes) - sizes)[some]
+            total = np.add.reduceat(self.scores[rows], first, axis=0)
+            top = total.argmax(axis=1)
+            best[some] = 1.0 / np.exp(np.minimum(total - total.max(axis=1, keepdims=True), 0)).sum(axis=1)
+            for i, k in zip(np.flatnonzero(some), top):
+                names[i] = self.langs[k]
+        return names, best
 
 
 def _largest(counts: DataFrame, kind, most: int) -> list[tuple]:
@@ -162,7 +169,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for part in texts:
-            yield pd.DataFrame([own.predict(t) for t in part], columns=["lang_pred", "score"])
+            for piece in by_bytes(iter([part.to_frame("text")]), "text"):
+                names, scores = own.predict(piece["text"].tolist())
+                yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return (docs.select(*keep, judge(F.col(text).cast("string")).alias("_judged"))
