@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from corpuslens.llm.common import as_bytes, by_bytes, stored
 MAX_LENGTH = 2048
 END_ID = 1
 GROUPS = 4096  # hash groups a bucket is numbered in; the offset table has GROUPS rows per length
-CACHE_WORDS = 200_000  # words whose ids a task remembers before it starts afresh
+CACHE_WORDS = 400_000  # chunks whose ids a worker remembers before it starts afresh
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,18 +46,42 @@ class WordEncoder:
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        # a special token cuts a text before any other step, so it can part chunks that are encoded together
+        self.parting, self.parting_id = min((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        words = [c.decode("utf-8", "replace") for c in chunks]
+        plain = [i for i, w in enumerate(words) if self.parting not in w]
+        for at in range(0, len(plain), 1000):
+            some = plain[at:at + 1000]
+            ids = np.array(self.tokenizer.encode(self.parting.join(words[i] for i in some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.parting_id)
+            for i, first, end in zip(some, np.append(0, cuts + 1), np.append(cuts, len(ids))):
+                self.known[chunks[i]] = ids[first:end].tobytes()
+        for i in set(range(len(words))).difference(plain):
+            self.known[chunks[i]] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit numbers, the end id last."""
         chunks = [t.split() for t in texts]
-        new = list({c for row in chunks for c in row if c not in self.known})
+        new = set(chain.from_iterable(chunks)).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list({c for row in chunks for c in row})
-        coded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, dtype="<u4")) for c, e in zip(new, coded))
-        end = np.array([END_ID], dtype="<u4")
-        return [np.concatenate([*map(self.known.__getitem__, row), end]) for row in chunks]
+            self.known.clear()
+            new = set(chain.from_iterable(chunks))
+        self._learn(list(new))
+        end = END_ID.to_bytes(4, "little")
+        return [b"".join(map(self.known.__getitem__, row)) + end for row in chunks]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per Python worker: the next task it runs finds the words of the last."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def piece_lengths(total: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -73,14 +98,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         raise ValueError("the longest piece must be a power of two")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path or tokenizer_path())
+        encoder = encoder_of(path or tokenizer_path())
         for frame in by_bytes(frames, "text"):
             out: list[tuple] = []
-            texts = [as_bytes(t) for t in frame["text"]]
-            for doc, ids in zip(frame["doc_id"], encoder.encode(texts)):
-                at = 0
-                for n in piece_lengths(len(ids), longest):
-                    out.append((doc, at, n, len(ids), ids[at:at + n].tobytes()))
+            for doc, ids in zip(frame["doc_id"], encoder.encode([as_bytes(t) for t in frame["text"]])):
+                at, total = 0, len(ids) // 4
+                for n in piece_lengths(total, longest):
+                    out.append((doc, at, n, total, ids[4 * at:4 * (at + n)]))
                     at += n
             made = pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "ids_le"])
             yield made.astype({"doc_id": frame["doc_id"].dtype})
