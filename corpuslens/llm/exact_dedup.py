@@ -2,8 +2,8 @@
 
 Only DataFrame functions. Rows whose length occurs once never get a prefix hash looked up, rows
 whose (length, prefix hash) occurs once never get their text read for a full hash. The level tables
-hold one row per surviving group, never per row, and Spark broadcasts them only if their measured
-size allows. Group results reach the rows through a salted join, so a text that makes up a third
+hold one row per surviving group, never per row. They are counted: up to ``SMALL_KEYS`` pairs are
+broadcast, so that texts that are unique are never shuffled; more are joined by shuffle. Group results reach the rows through a salted join, so a text that makes up a third
 of the table is dealt over many tasks.
 
 Texts are equal when they are identical after lower-casing A-Z. A null text counts as empty. Of
@@ -17,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import ascii_lower, with_group_stats
+from corpuslens.llm.common import ascii_lower, stored, with_group_stats
 
 PREFIX_CHARS = 256
+SMALL_KEYS = 1_000_000  # up to so many surviving key pairs are broadcast, more are joined by shuffle
 
 
 def _normalised(text: str):
@@ -34,6 +35,8 @@ def _levels(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     lengths = keyed.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len")
     alike = (keyed.join(lengths, "_len", "left_semi").select("_len", prefix.alias("_pfx"))
              .groupBy("_len", "_pfx").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len", "_pfx"))
+    alike = stored(alike, "alike")
+    alike = F.broadcast(alike) if alike.count() <= SMALL_KEYS else alike
     return keyed.withColumn("_pfx", prefix), alike
 
 
@@ -72,10 +75,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     rows = docs.toDF(*names)  # columns of any name cannot clash with the keys below
     ident, body = names[docs.columns.index(id_col)], names[docs.columns.index(text)]
     keyed, alike = _levels(rows, body)
-    flag = alike.withColumn("_alike", F.lit(True))
-    marked = keyed.join(flag, ["_len", "_pfx"], "left")
-    unique = marked.where("_alike is null").select(*names)
-    hashed = marked.where("_alike").withColumn("_sha", F.sha2(_normalised(body), 256))
+    unique = keyed.join(alike, ["_len", "_pfx"], "left_anti").select(*names)
+    hashed = keyed.join(alike, ["_len", "_pfx"], "left_semi").withColumn("_sha", F.sha2(_normalised(body), 256))
     stays = (with_group_stats(hashed.select(*names, "_sha"), ["_sha"], {"_keep": ("max", ident)}, F.xxhash64(ident))
              .where(F.col(ident).eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"]).select(*names))
     return unique.unionByName(stays).toDF(*docs.columns)
