@@ -26,7 +26,7 @@ from corpuslens.llm.common import as_bytes, by_bytes, stored
 from corpuslens.llm.tokens import U64, mix, numbers, word_hashes
 
 BITS = 16
-SAMPLE, EPOCHS, LEAST = 8_000, 12, 0.5
+SAMPLE, EPOCHS, LEAST = 4_000, 12, 0.5
 LABELLERS = ("repeats", "streaks", "symbols", "marks", "marked", "letterless", "capitals", "shouts", "variety", "sentences",
              "word_length", "lines", "length")
 _MARKS = re.compile(rb"([!-/:-@\[-`{-~])\1(?=[ \t-\r]|\Z)")  # a word that ends in a doubled mark
@@ -142,20 +142,21 @@ def train(rows: list[tuple[str, float]], epochs: int = EPOCHS) -> np.ndarray:
     weights = np.zeros((2 << BITS) + 1)
     if not rows:
         return weights
-    raws = [as_bytes(t) for t, _ in rows]
-    words, at = word_hashes(raws)
-    one, two = features(raws, words, at)
+    known = []  # per text its buckets and their shares; texts are hashed one at a time to bound memory
+    for text, target in rows:
+        raw = [as_bytes(text)]
+        words, at = word_hashes(raw)
+        if len(words):
+            one, two = features(raw, words, at)
+            cells, counts = np.unique(np.concatenate([one, (1 << BITS) + two]), return_counts=True)
+            known.append((np.append(cells, len(weights) - 1).astype(np.int32),
+                          np.append(counts / len(words), 1.0).astype(np.float32), target))
     speed = np.full(len(weights), 1e-8)
-    order = np.random.default_rng(7).permutation(len(rows))
+    order = np.random.default_rng(7).permutation(len(known))
     for _ in range(epochs):
-        for i in order:
-            a, b = at[i], at[i + 1]
-            if a == b:
-                continue
-            cells, counts = np.unique(np.concatenate([one[a:b], (1 << BITS) + two[a:b]]), return_counts=True)
-            cells, share = np.append(cells, len(weights) - 1), np.append(counts / (b - a), 1.0)
+        for cells, share, target in (known[i] for i in order):
             guess = 1 / (1 + np.exp(-np.clip(weights[cells] @ share, -30, 30)))
-            step = (guess - rows[i][1]) * share
+            step = (guess - target) * share
             speed[cells] += step * step
             weights[cells] -= 0.5 * step / np.sqrt(speed[cells])
     return weights
