@@ -36,6 +36,11 @@ def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE_RUN, " "))
 
 
+def strip(c: Column) -> Column:
+    """Python ``str.strip()``: every kind of white space goes at both ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize_minhash(c: Column) -> Column:
     t = F.lower(c)
     t = F.regexp_replace(t, URL_HTTP, "URL")

@@ -26,10 +26,13 @@ def domain_violations(df: DataFrame, col: str, allowed: list) -> DataFrame:
 
 
 def check_domain(df: DataFrame, col: str, allowed: list) -> None:
-    """Fail mode: abort naming the offending values (they are bounded by the distinct count)."""
-    bad = domain_violations(df, col, allowed).limit(100).collect()
-    if bad:
-        raise DomainError(f"unexpected {col} values: {sorted(r[0] for r in bad)}; allowed {allowed}")
+    """Fail mode: abort with the number of offending values and the first of them; ``domain_violations``
+    has them all."""
+    bad = domain_violations(df, col, allowed)
+    n = bad.count()
+    if n:
+        first = [r[0] for r in bad.orderBy(col).limit(20).collect()]
+        raise DomainError(f"{n} unexpected {col} values, the first: {first}; allowed {allowed}")
 
 
 def shares(df: DataFrame, by: list[str], label_col: str = "label") -> DataFrame:

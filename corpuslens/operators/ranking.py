@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.session import reliable_checkpoint
+
 # Offsets tables up to this many rows are broadcast; larger ones are shuffle-joined.
 BROADCAST_ROWS = 1_000_000
 
@@ -32,10 +34,11 @@ def row_index(df: DataFrame, order_cols: list, group_cols: list[str] | None = No
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*[F.col(g) for g in group_cols], *[F.col(c) if isinstance(c, str) else c for c in order_cols]]
-    r = (df.repartitionByRange(n, *keys)
-         .sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+    # written once: range bounds are sampled, so a second evaluation could cut the partitions elsewhere
+    r = reliable_checkpoint(df.repartitionByRange(n, *keys)
+                            .sortWithinPartitions(*keys)
+                            .withColumn("_pid", F.spark_partition_id())
+                            .withColumn("_mid", F.monotonically_increasing_id()))
     stats = r.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
@@ -68,7 +71,7 @@ def running_sum(df: DataFrame, order_cols: list, value_col: str, name: str = "cu
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     r = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
     local = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("_local", F.sum(value_col).over(local))
+    r = reliable_checkpoint(r.withColumn("_local", F.sum(value_col).over(local)))  # see row_index
     stats = r.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select("_pid", F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))

@@ -76,7 +76,7 @@ def split_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     synth = df.where(F.col("is_synth") == 1)
     counts = df.agg(F.count(F.lit(1)).alias("n"),
                     F.count(F.when(F.col("is_synth") == 0, 1)).alias("real"),
-                    F.count(F.when(~F.col("is_synth").isin(0, 1), 1)).alias("bad")).first()
+                    F.count(F.when(F.coalesce(~F.col("is_synth").isin(0, 1), F.lit(True)), 1)).alias("bad")).first()
     if counts["bad"]:
         raise SplitError(f"{counts['bad']} rows have is_synth outside {{0, 1}}")
     test_n, val_n = target_size(counts["n"], test), target_size(counts["n"], val)

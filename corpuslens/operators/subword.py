@@ -90,9 +90,13 @@ def vocabulary(words: DataFrame, merges: list[tuple[str, str, int]], character_c
     return ["<pad>", "<unk>"] + base_syms + [a + b for a, b, _ in merges]
 
 
+CACHE_WORDS = 200_000  # words a task remembers before it starts afresh
+
+
 def encode(df: DataFrame, text_col: str, keep: list[str], merges: list[tuple[str, str, int]],
-           vocab: list[str], maxlen: int) -> DataFrame:
-    """``ids array<int>`` padded/truncated to ``maxlen`` (unknown → 1, pad → 0) via ``mapInPandas``.
+           vocab: list[str], maxlen: int | None = None) -> DataFrame:
+    """``ids array<int>`` of the whole text (unknown → 1) via ``mapInPandas``; with ``maxlen`` padded (0) or
+    cut to that length.
 
     The merge table is bounded by the vocabulary size and ships with the closure.
     """
@@ -120,9 +124,11 @@ def encode(df: DataFrame, text_col: str, keep: list[str], merges: list[tuple[str
                 seq: list[int] = []
                 for w in (t or "").split():
                     if w not in cache:
+                        if len(cache) >= CACHE_WORDS:
+                            cache.clear()
                         cache[w] = [ids.get(s, UNK_ID) for s in bpe(w)]
                     seq.extend(cache[w])
-                seqs.append((seq + [PAD_ID] * maxlen)[:maxlen])
+                seqs.append((seq + [PAD_ID] * maxlen)[:maxlen] if maxlen else seq)
             out["ids"] = seqs
             yield out
     return df.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, schema)

@@ -66,7 +66,8 @@ def nearest_join(left: DataFrame, right: DataFrame, by: str, ts: str, id_col: st
     """
     trunc = lambda c: F.date_trunc(bucket, c)
     L = left.select(F.col(id_col).alias("lid"), F.col(by).alias("k"), F.col(ts).alias("t"))
-    R = right.select(F.col(id_col).alias("rid"), F.col(by).alias("k"), F.col(ts).alias("t"))
+    # a null key matches nothing; its left rows stay
+    R = right.where(F.col(by).isNotNull()).select(F.col(id_col).alias("rid"), F.col(by).alias("k"), F.col(ts).alias("t"))
     u = (L.select("k", "t", F.lit(1).alias("side"), "lid", F.lit(None).cast("long").alias("rid"))
          .unionByName(R.select("k", "t", F.lit(0).alias("side"), F.lit(None).cast("long").alias("lid"), "rid"))
          .withColumn("b", trunc(F.col("t"))))

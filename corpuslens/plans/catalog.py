@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import strip
 from corpuslens.operators import keywords as K
 from corpuslens.operators import scoring as SC
 from corpuslens.plans import sqlfrag as S
@@ -149,17 +150,17 @@ def ingest_json_pages(spark, sf):
                     F.col("author.userName").alias("userName"))
 
 
-@register("flatten_nested_defaults", """
+@register("flatten_nested_defaults", f"""
 SELECT 'tweet' AS "type", CAST(conv_id * 1000 + turn AS VARCHAR) AS id,
        trim('https://x.example/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)) AS url,
-       trim(text) AS text, '2024-01-15T12:00:00Z' AS createdAt,
+       {S.strip("text")} AS text, '2024-01-15T12:00:00Z' AS createdAt,
        CASE WHEN turn % 5 = 4 OR turn % 3 = 2 THEN '' ELSE 'loc' || CAST(conv_id % 7 AS VARCHAR) END AS location,
-       CASE WHEN turn % 5 = 4 THEN '' ELSE trim(role) END AS authorUserName
-FROM conversations WHERE length(trim(coalesce(text, ''))) > 0""")
+       CASE WHEN turn % 5 = 4 THEN '' ELSE {S.strip("role")} END AS authorUserName
+FROM conversations WHERE length({S.strip("coalesce(text, '')")}) > 0""")
 def flatten_nested_defaults(spark, sf):
     p = _landed_pages(spark, sf)
-    d = lambda c: F.coalesce(F.trim(c), F.lit(""))
-    out = p.select("type", d(F.col("id")).alias("id"), d(F.col("url")).alias("url"), F.trim("text").alias("text"),
+    d = lambda c: F.coalesce(strip(c), F.lit(""))
+    out = p.select("type", d(F.col("id")).alias("id"), d(F.col("url")).alias("url"), strip(F.col("text")).alias("text"),
                    d(F.col("createdAt")).alias("createdAt"), d(F.col("author.location")).alias("location"),
                    d(F.col("author.userName")).alias("authorUserName"))
     return out.where(F.length(F.coalesce("text", F.lit(""))) > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.functions.dates import in_date_range, parse_created_at
-from corpuslens.functions.text import normalize
+from corpuslens.functions.text import normalize, strip
 from corpuslens.operators import dedupe as D
 from corpuslens.operators import keywords as K
 from corpuslens.operators import scoring as SC
@@ -30,20 +30,19 @@ def register(name, sql=None):
 
 
 P = S.with_(S.POSTS_FX)
-TRUNC = 256  # reference default truncation of the classical and basic trainer profiles
 
 
-def _norm_key(profile, sql_expr, max_chars=None):
+def _norm_key(profile, sql_expr):
     @register(f"normalize_{profile}", P + f"SELECT id, {sql_expr} AS text_norm FROM posts_fx")
     def fn(spark, sf):
-        return posts_fx(spark, sf).select("id", normalize(F.col("text"), profile, max_chars).alias("text_norm"))
+        return posts_fx(spark, sf).select("id", normalize(F.col("text"), profile).alias("text_norm"))
     return fn
 
 
 _norm_key("minhash", S.norm_minhash("text"))
 _norm_key("predict", S.norm_predict("text"))
-_norm_key("classical", S.norm_classical("text", TRUNC), TRUNC)
-_norm_key("basic", S.norm_basic("text", TRUNC), TRUNC)
+_norm_key("classical", S.norm_classical("text"))
+_norm_key("basic", S.norm_basic("text"))
 
 SQL_CREATED = ("coalesce(CASE WHEN regexp_matches(trim(createdAt), " + S.q(
     r"^[A-Za-z]{3} [A-Za-z]{3} [0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4} [0-9]{4}$")
@@ -70,12 +69,12 @@ def filter_date_range(spark, sf):
     return p.where(in_date_range(F.col("created_date"), SINCE, UNTIL))
 
 
-@register("filter_blank", P + """
-SELECT id FROM posts_fx WHERE length(trim(coalesce(text, ''))) > 0 AND length(trim(coalesce(createdAt, ''))) > 0""")
+@register("filter_blank", P + f"""
+SELECT id FROM posts_fx WHERE length({S.strip("coalesce(text, '')")}) > 0 AND length({S.strip("coalesce(createdAt, '')")}) > 0""")
 def filter_blank(spark, sf):
     p = posts_fx(spark, sf)
-    return p.where((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-                   & (F.length(F.trim(F.coalesce("createdAt", F.lit("")))) > 0)).select("id")
+    return p.where((F.length(strip(F.coalesce("text", F.lit("")))) > 0)
+                   & (F.length(strip(F.coalesce("createdAt", F.lit("")))) > 0)).select("id")
 
 
 @register("filter_content_kind", f"""
@@ -95,9 +94,9 @@ CAP = 10
 SELECT id, university, "group" FROM (
   SELECT id, university, "group",
          row_number() OVER (PARTITION BY university, "group" ORDER BY ts DESC, seq) AS rn
-  FROM posts_fx WHERE length(trim(text)) > 0) t WHERE rn <= {CAP}""")
+  FROM posts_fx WHERE length({S.strip("text")}) > 0) t WHERE rn <= {CAP}""")
 def cap_latest_per_combo(spark, sf):
-    p = posts_fx(spark, sf).where(F.length(F.trim("text")) > 0)
+    p = posts_fx(spark, sf).where(F.length(strip(F.col("text"))) > 0)
     return D.cap_per_group(p, ["university", "group"], [F.col("ts").desc(), F.col("seq")], CAP) \
         .select("id", "university", "group")
 

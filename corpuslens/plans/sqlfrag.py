@@ -18,6 +18,10 @@ def collapse(expr: str) -> str:
     return f"trim({rr(expr, T.SPACE_RUN, ' ')})"
 
 
+def strip(expr: str) -> str:
+    return rr(expr, f"^{T.SPACE}+|{T.SPACE}+$", "")
+
+
 def norm_minhash(c: str) -> str:
     t = f"lower({c})"
     t = rr(t, T.URL_HTTP, "URL")

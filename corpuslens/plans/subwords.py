@@ -78,7 +78,7 @@ def subword_encode(spark, sf):
     merges = SW.learn_merges(wf, NUM_MERGES)
     vocab = SW.vocabulary(wf, merges)
     enc = SW.encode(labeled_fx(spark, sf).select("doc_id", normalize_classical(F.col("text")).alias("text")),
-                    "text", ["doc_id"], merges, vocab, MAXLEN)
+                    "text", ["doc_id"], merges, vocab)
     return enc.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 

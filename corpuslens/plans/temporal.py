@@ -79,16 +79,12 @@ def sentiment_trend(spark, sf):
 
 
 @register("heatmap_pivot", SX + """
-SELECT university,
-       count(*) FILTER (WHERE weekofyear(ts) = 1) AS w1, count(*) FILTER (WHERE weekofyear(ts) = 2) AS w2,
-       count(*) FILTER (WHERE weekofyear(ts) = 3) AS w3, count(*) FILTER (WHERE weekofyear(ts) = 4) AS w4,
-       count(*) FILTER (WHERE weekofyear(ts) = 5) AS w5
-FROM sentiment_fx GROUP BY university""")
+SELECT university, strftime(ts, '%G-W%V') AS week, count(*) AS n FROM sentiment_fx GROUP BY ALL""")
 def heatmap_pivot(spark, sf):
-    s = sentiment_fx(spark, sf).select("university", F.concat(F.lit("w"), F.weekofyear("ts").cast("string")).alias("wk"))
-    # explicit pivot values: no extra pass to discover the distinct weeks
-    p = s.groupBy("university").pivot("wk", [f"w{i}" for i in range(1, 6)]).agg(F.count(F.lit(1)))
-    return p.fillna(0)
+    # long form: every ISO week of every year has its row, whatever weeks the data hold
+    year = F.extract(F.lit("YEAROFWEEK"), F.col("ts"))
+    week = F.format_string("%04d-W%02d", year, F.weekofyear("ts"))
+    return sentiment_fx(spark, sf).groupBy("university", week.alias("week")).agg(F.count(F.lit(1)).alias("n"))
 
 
 PHASES = [("early", "2024-01-01", "2024-01-10"), ("mid", "2024-01-10", "2024-01-20"), ("late", "2024-01-20", "2024-02-01")]

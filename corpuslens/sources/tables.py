@@ -10,13 +10,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Tables whose rows get costly per-row text work.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when a scan yields fewer partitions than the cluster runs
+    """Round-robin repartition of a text table, only when a scan yields fewer partitions than the cluster runs
     in parallel (e.g. a file with a single row group, which Spark cannot split). Large inputs
     already arrive as many splits, so at scale this adds no shuffle; for a one-split file it
     keeps the per-row text work from running in a single task."""
-    # a few tasks per core so uneven row sizes (documents of 1 to 20,000 words) balance out
-    target = 3 * df.sparkSession.sparkContext.defaultParallelism
+    target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
@@ -26,4 +29,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into the reader."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df

@@ -35,16 +35,18 @@ def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> Dat
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
+                 out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Drain everything available (``availableNow``) into a parquet table under the checkpoint
     folder via ``foreachBatch`` and return it as a batch DataFrame.
 
     Each micro-batch overwrites its own ``batch_id=<epoch>`` folder, so a retried batch replaces
     its earlier attempt instead of appending twice (idempotent sink). In ``complete`` mode only the
-    latest epoch holds the current result.
+    latest epoch holds the current result. Give ``out`` and ``checkpoint`` to go on where an earlier call
+    with the same folders ended.
     """
-    out = scratch_path(spark, f"stream-{name}")
-    ckpt = scratch_path(spark, f"stream-{name}-ckpt")
+    out = out or scratch_path(spark, f"stream-{name}")
+    ckpt = checkpoint or scratch_path(spark, f"stream-{name}-ckpt")
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={epoch_id}")
