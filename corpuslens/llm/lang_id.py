@@ -67,6 +67,13 @@ def gram_counts(words: DataFrame) -> DataFrame:
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
+def _room(table: np.ndarray, rows: int) -> np.ndarray:
+    """The table with space for ``rows`` rows, doubled as often as that takes."""
+    while len(table) < rows:
+        table = np.concatenate([table, np.zeros_like(table)])
+    return table
+
+
 class Model:
     """Log frequencies by language of a bounded number of words and n-grams."""
 
@@ -94,6 +101,8 @@ class Model:
         self.scores = np.zeros((len(self.words) + 1024, len(self.langs)))
         if self.words:
             self.scores[:len(self.words)] = list(self.words.values())
+        self.piece_row: dict[str, int] = {}
+        self.piece_scores = np.zeros((1024, len(self.langs)))
 
     def _backoff(self, piece: str, depth: int) -> np.ndarray:
         """Log frequency of a piece, or of the shorter pieces in it if it is unknown."""
@@ -104,10 +113,27 @@ class Model:
             return np.zeros(len(self.langs))
         return (self._backoff(piece[:-1], depth + 1) + self._backoff(piece[1:], depth + 1)) / 2
 
-    def _unseen(self, word: str) -> np.ndarray:
+    def _pieces(self, word: str) -> list[str]:
+        """The longest n-grams of a word with its edges, or all of it if it is shorter."""
         edged = f" {word} "
-        ends = range(max(1, len(edged) - LONGEST + 1))
-        return sum((self._backoff(edged[i:i + LONGEST], 0) for i in ends), np.zeros(len(self.langs))) / len(ends)
+        return [edged[i:i + LONGEST] for i in range(max(1, len(edged) - LONGEST + 1))]
+
+    def _learn(self, words: list[str]) -> None:
+        """Score unseen words: the mean over their pieces, each of which is backed off once and remembered."""
+        pieces = [self._pieces(w) for w in words]
+        flat = list(chain.from_iterable(pieces))
+        new = list(set(flat).difference(self.piece_row))
+        self.piece_scores = _room(self.piece_scores, len(self.piece_row) + len(new))
+        for piece in new:
+            self.piece_scores[len(self.piece_row)] = self._backoff(piece, 0)
+            self.piece_row[piece] = len(self.piece_row)
+        sizes = np.array([len(p) for p in pieces])
+        rows = np.fromiter(map(self.piece_row.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sums = np.add.reduceat(self.piece_scores[rows], np.cumsum(sizes) - sizes, axis=0)
+        first = len(self.row)
+        self.scores = _room(self.scores, first + len(words))
+        self.scores[first:first + len(words)] = sums / sizes[:, None]
+        self.row.update(zip(words, range(first, first + len(words))))
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         """Languages and posteriors of a batch of texts."""
@@ -115,11 +141,8 @@ class Model:
         flat = list(chain.from_iterable(words))
         if len(self.row) > len(self.words) + CACHE_WORDS:
             self._restart()
-        for word in set(flat).difference(self.row):
-            if len(self.row) == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[len(self.row)] = self._unseen(word)
-            self.row[word] = len(self.row)
+        if new := sorted(set(flat).difference(self.row)):
+            self._learn(new)
         rows = np.fromiter(map(self.row.__getitem__, flat), dtype=np.int64, count=len(flat))
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         some = sizes > 0
