@@ -16,10 +16,20 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str, labels: list[int]) -> DataFrame:
-    """Long form ``(y, y_pred, n)`` with every cell of the fixed label order, zeros kept."""
+    """Long form ``(y, y_pred, n)`` with every cell of the fixed label order, zeros kept.
+
+    A row whose label or prediction is null or outside ``labels`` fails the job; it would otherwise
+    be missing from support and accuracy.
+    """
     spark = df.sparkSession
     cells = spark.createDataFrame([(a, b) for a in labels for b in labels], "y int, y_pred int")
-    counts = df.groupBy(F.col(y).cast("int").alias("y"), F.col(yhat).cast("int").alias("y_pred")) \
+
+    def known(name: str) -> Column:
+        value = F.col(name).cast("int")
+        text = F.concat(F.lit(f"{name} is outside {labels}: "), F.coalesce(value.cast("string"), F.lit("null")))
+        return F.when(value.isin(labels), value).otherwise(F.raise_error(text).cast("int"))
+
+    counts = df.groupBy(known(y).alias("y"), known(yhat).alias("y_pred")) \
         .agg(F.count(F.lit(1)).alias("n"))
     # both sides are at most |labels|^2 rows
     return cells.join(F.broadcast(counts), ["y", "y_pred"], "left") \

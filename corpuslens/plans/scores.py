@@ -86,9 +86,7 @@ def confusion_matrix(spark, sf):
     return E.confusion_matrix(s, "y", "y_pred", [0, 1])
 
 
-REPORT_SQL = SF + """
-, p AS (SELECT y, CASE WHEN prob_pos >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scores_fx),
-lab AS (SELECT * FROM (VALUES (0), (1)) t(label)),
+REPORT_SQL = """
 per AS (SELECT label,
                count(*) FILTER (WHERE y = label) AS support,
                count(*) FILTER (WHERE y = label AND y_pred = label) AS tp,
@@ -107,7 +105,9 @@ UNION ALL SELECT 'macro avg', round(mp, 4), round(mr, 4), round(mf, 4), n::BIGIN
 UNION ALL SELECT 'weighted avg', round(wp, 4), round(wr, 4), round(wf, 4), n::BIGINT FROM tot"""
 
 
-@register("classification_report", REPORT_SQL)
+@register("classification_report", SF + """
+, p AS (SELECT y, CASE WHEN prob_pos >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scores_fx),
+lab AS (SELECT * FROM (VALUES (0), (1)) t(label)),""" + REPORT_SQL)
 def classification_report(spark, sf):
     s = scores_fx(spark, sf).withColumn("y_pred", (F.col("prob_pos") >= 0.5).cast("int"))
     return E.classification_report(s, "y", "y_pred", [0, 1])
@@ -141,6 +141,24 @@ def argmax_class(spark, sf):
     return p.select("vec_id", "pred", F.round("pmax", 6).alias("pmax"))
 
 
+def _three_classes(spark, sf):
+    return logits3_fx(spark, sf).select("y", argmax(softmax(F.col("logits"))).alias("y_pred"))
+
+
+@register("confusion_matrix_3class", ARGMAX_SQL + """
+, cells AS (SELECT a.y, b.y_pred FROM (VALUES (0), (1), (2)) a(y), (VALUES (0), (1), (2)) b(y_pred)),
+c AS (SELECT y, pred AS y_pred, count(*) AS n FROM a GROUP BY ALL)
+SELECT cells.y, cells.y_pred, coalesce(c.n, 0) AS n FROM cells LEFT JOIN c USING (y, y_pred)""")
+def confusion_matrix_3class(spark, sf):
+    return E.confusion_matrix(_three_classes(spark, sf), "y", "y_pred", [0, 1, 2])
+
+
+@register("classification_report_3class", "WITH p AS (" + ARGMAX_SQL + """ SELECT y, pred AS y_pred FROM a),
+lab AS (SELECT * FROM (VALUES (0), (1), (2)) t(label)),""" + REPORT_SQL)
+def classification_report_3class(spark, sf):
+    return E.classification_report(_three_classes(spark, sf), "y", "y_pred", [0, 1, 2])
+
+
 @register("abstain_low_confidence", ARGMAX_SQL + f"""
 , x AS (SELECT vec_id, CASE pred WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 9 END AS ext, pmax FROM a)
 SELECT vec_id, ext AS pred, CASE WHEN ext IN (0, 1) AND pmax < {SC.DEFAULT_ABSTAIN} THEN 9 ELSE ext END AS tags FROM x""")

@@ -63,3 +63,32 @@ def stream_sliding(spark, sf):
     out = ST.run_to_table(spark, t, "sliding", mode="complete")
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n",
                       F.round("value_sum", 6).alias("value_sum"))
+
+
+# append mode: a window is final once the watermark (newest event less the delay) has reached its end
+CLOSED = "(SELECT date_trunc('millisecond', max(CAST(ts AS TIMESTAMP))) - INTERVAL 1 DAY FROM events)"
+
+
+@register("stream_tumbling_append", f"""
+SELECT time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP)) AS window_start,
+       time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP)) + INTERVAL 6 HOUR AS window_end,
+       count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS n_pos,
+       count(*) FILTER (WHERE event_type = 'error') AS n_neg
+FROM events WHERE time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP)) + INTERVAL 6 HOUR <= {CLOSED} GROUP BY 1, 2""")
+def stream_tumbling_append(spark, sf):
+    t = ST.tumbling(_events_stream(spark, sf), size="6 hours", delay="1 day")
+    out = ST.run_to_table(spark, t, "tumbling-append")
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "n_pos", "n_neg")
+
+
+@register("stream_sessions", f"""
+WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE ts IS NOT NULL),
+f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh
+      FROM e),
+g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f),
+o AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n
+      FROM g GROUP BY user_id, s)
+SELECT * FROM o WHERE session_end <= {CLOSED}""")
+def stream_sessions(spark, sf):
+    out = ST.run_to_table(spark, ST.sessions(_events_stream(spark, sf)), "sessions")
+    return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")

@@ -35,6 +35,10 @@ def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> Dat
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
+def _timed(df: DataFrame, ts: str, delay: str | None) -> DataFrame:
+    return with_event_time(df, ts, delay) if delay else df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
                  out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Drain everything available (``availableNow``) into a parquet table under the checkpoint
@@ -66,15 +70,27 @@ def stream_dedupe(stream: DataFrame, key: str = "event_id", ts: str = "ts", dela
 
 
 def tumbling(stream: DataFrame, ts: str = "ts", size: str = "1 day", label: str = "event_type",
-             positive: str = "purchase", negative: str = "error") -> DataFrame:
+             positive: str = "purchase", negative: str = "error", delay: str | None = None) -> DataFrame:
+    """Counts per window. With ``delay`` a watermark closes windows, so that append mode emits each
+    once and state is bounded by the open windows; without it only complete mode will do."""
     w = F.window(ts, size)
-    return (stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return (_timed(stream, ts, delay)
             .groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"),
                                        F.count_if(F.col(label) == positive).alias("n_pos"),
                                        F.count_if(F.col(label) == negative).alias("n_neg")))
 
 
-def sliding(stream: DataFrame, ts: str = "ts", size: str = "7 days", slide: str = "1 day") -> DataFrame:
+def sliding(stream: DataFrame, ts: str = "ts", size: str = "7 days", slide: str = "1 day",
+            delay: str | None = None) -> DataFrame:
+    """Overlapping windows; ``delay`` as in ``tumbling``."""
     w = F.window(ts, size, slide)
-    return (stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return (_timed(stream, ts, delay)
             .groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")))
+
+
+def sessions(stream: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "1 hour",
+             delay: str = "1 day") -> DataFrame:
+    """Sessions of a key: rows at most ``gap`` apart. A session is emitted once, when the watermark
+    passes its end (last row plus ``gap``); state holds the open sessions only."""
+    return (with_event_time(stream, ts, delay).groupBy(key, F.session_window(ts, gap).alias("w"))
+            .agg(F.count(F.lit(1)).alias("n")))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import normalize, strip
+from corpuslens.operators import evaluate as E
 from corpuslens.operators import splits as SP
 from corpuslens.operators.labels import DomainError, check_domain
 from corpuslens.operators.ranking import row_index, running_sum
@@ -62,3 +63,20 @@ def test_stream_resumes_where_it_ended(spark, tmp_path):
         spark.range(lot * 10, lot * 10 + 10).write.mode("append").parquet(src)
         got = run_to_table(spark, spark.readStream.schema(schema).parquet(src), "resume", out=out, checkpoint=ckpt)
         assert got.count() == got.distinct().count() == (lot + 1) * 10
+
+
+@pytest.mark.parametrize("row", [(0, 7), (None, 1), (1, None)])
+def test_labels_outside_the_list_fail(spark, row):
+    df = spark.createDataFrame([(0, 0), (1, 1), row], "y int, p int")
+    with pytest.raises(Exception, match="outside"):
+        E.confusion_matrix(df, "y", "p", [0, 1]).collect()
+
+
+def test_three_class_report(spark):
+    pairs = [(0, 0), (0, 1), (1, 1), (2, 2), (2, 2), (2, 0)]
+    df = spark.createDataFrame(pairs, "y int, p int")
+    cells = {(r.y, r.y_pred): r.n for r in E.confusion_matrix(df, "y", "p", [0, 1, 2]).collect()}
+    assert cells == {(a, b): pairs.count((a, b)) for a in range(3) for b in range(3)}
+    report = {r.row: r for r in E.classification_report(df, "y", "p", [0, 1, 2]).collect()}
+    assert report["2"].support == 3 and report["2"].recall == 0.6667 and report["2"].precision == 1.0
+    assert report["accuracy"].f1_score == 0.6667

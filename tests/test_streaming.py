@@ -43,3 +43,30 @@ def test_late_rows_are_dropped_by_watermark(spark):
     assert ids == [1, 2]  # the duplicate is removed by state, the late row by the watermark
     dropped = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
     assert dropped >= 1
+
+
+def _rows_at(hours):
+    t0 = dt.datetime(2024, 1, 10, 12, 0, 0)
+    return [(i, t0 + dt.timedelta(hours=h), u, "view", 1.0, "{}") for i, (u, h) in enumerate(hours)]
+
+
+def test_sessions_close_over_restarts(spark):
+    """Two starts with the same folders: a session that spans them is emitted once, whole."""
+    land, out, ck = (tempfile.mkdtemp(prefix=f"corpuslens-{n}-") for n in ("land", "out", "ck"))
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for hours in ([(1, 0), (1, 0.5), (2, 0)], [(1, 1.25), (2, 9), (3, 48)]):
+        spark.createDataFrame(_rows_at(hours), schema).coalesce(1).write.mode("append").parquet(land)
+        stream = ST.read_stream(spark, land, max_files=1)
+        got = ST.run_to_table(spark, ST.sessions(stream), "t_sessions", out=f"{out}/t", checkpoint=ck)
+    closed = sorted((r.user_id, r.n) for r in got.collect())
+    assert closed == [(1, 3), (2, 1), (2, 1)]  # user 3 is still open
+
+
+def test_tumbling_append_emits_closed_windows_once(spark):
+    land, out, ck = (tempfile.mkdtemp(prefix=f"corpuslens-{n}-") for n in ("land", "out", "ck"))
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for hours in ([(1, 0), (1, 1)], [(1, 2), (1, 30)], [(1, 90)]):
+        spark.createDataFrame(_rows_at(hours), schema).coalesce(1).write.mode("append").parquet(land)
+        stream = ST.read_stream(spark, land, max_files=1)
+        got = ST.run_to_table(spark, ST.tumbling(stream, delay="1 day"), "t_append", out=f"{out}/t", checkpoint=ck)
+    assert sorted(r.n for r in got.collect()) == [1, 3]
