@@ -27,7 +27,8 @@ DEFAULT_NUM_PERM = 64
 DEFAULT_THRESHOLD = 0.82
 # (bands, rows) that minimise false-positive + false-negative area for threshold 0.82, 64 perms.
 COMPAT_BANDS, COMPAT_ROWS = 5, 12
-RECALL_BANDS, RECALL_ROWS = 8, 8
+# Verified clustering: a pair at the threshold shares no band with a chance of (1 - 0.82**4)**16, 7e-5.
+RECALL_BANDS, RECALL_ROWS = 16, 4
 
 
 def _md5_32(s: str) -> int:
@@ -136,10 +137,54 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(inter / union)
 
 
-def verify_edges(edges: DataFrame, hashes: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Exact Jaccard of the shingle-hash sets of both endpoints; keep ``>= threshold``."""
+def _hot(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys)
+
+
+def verify_edges(edges: DataFrame, hashes: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+                 hot_rows: int = HOT_BUCKET_ROWS, salts: int = HOT_SALTS) -> DataFrame:
+    """Exact Jaccard of the shingle-hash sets of both endpoints; keep ``>= threshold``.
+
+    An endpoint with more than ``hot_rows`` edges is salted in its join. ``edges`` is read three
+    times, so it should be materialised."""
     h = hashes.select("id", "hashes")
-    j = (edges.join(h.withColumnRenamed("id", "src").withColumnRenamed("hashes", "hs"), "src")
-         .join(h.withColumnRenamed("id", "dst").withColumnRenamed("hashes", "hd"), "dst"))
+    j = salted_join(edges, h.withColumnsRenamed({"id": "src", "hashes": "hs"}), ["src"],
+                    _hot(edges, ["src"], hot_rows), salts, F.col("dst"))
+    j = salted_join(j, h.withColumnsRenamed({"id": "dst", "hashes": "hd"}), ["dst"],
+                    _hot(edges, ["dst"], hot_rows), salts, F.col("src"))
     return (j.select("src", "dst", jaccard(F.col("hs"), F.col("hd")).alias("jaccard"))
             .where(F.col("jaccard") >= F.lit(threshold)))
+
+
+def set_classes(sets: DataFrame, hot_rows: int = HOT_BUCKET_ROWS, salts: int = HOT_SALTS) -> DataFrame:
+    """``(id, rep)``: documents with equal shingle sets share ``rep``, the smallest of their ids."""
+    keyed = sets.select("id", F.md5(F.array_join(F.array_sort("hashes").cast("array<string>"), ",")).alias("_set"))
+    reps = keyed.groupBy("_set").agg(F.min("id").alias("rep"))
+    return salted_join(keyed, reps, ["_set"], _hot(keyed, ["_set"], hot_rows), salts, F.col("id")).select("id", "rep")
+
+
+def bucket_pairs(buckets: DataFrame, threshold: float = DEFAULT_THRESHOLD, hot_rows: int = 2_000,
+                 salts: int = HOT_SALTS) -> DataFrame:
+    """Pairs ``(src, dst)``, ``src > dst``, of a bucket that can reach ``threshold``.
+
+    ``buckets`` has ``id, n, band, key`` and may have ``root``; pairs with the same root are then left
+    out. A Jaccard similarity is at most the ratio of the set sizes ``n``, so no true pair is lost.
+    Meant for distinct sets (``set_classes``): what is left in a bucket then are mostly true pairs."""
+    rooted = ["root"] if "root" in buckets.columns else []
+    a = buckets.select("band", "key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", *rooted)])
+    b = buckets.select("band", "key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", *rooted)])
+    both = salted_join(a, b, ["band", "key"], _hot(buckets, ["band", "key"], hot_rows), salts, F.col("id_a"))
+    apart = F.col("id_a") > F.col("id_b")
+    if rooted:
+        apart = apart & (F.col("root_a") != F.col("root_b"))
+    fits = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= F.lit(threshold)
+    return both.where(apart & fits).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct()
+
+
+def class_buckets(sets: DataFrame, classes: DataFrame, bands: int = RECALL_BANDS,
+                  rows: int = RECALL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Shingle sets of the class representatives, and their buckets ``id, n, band, key``."""
+    reps = classes.where(F.col("id") == F.col("rep")).select("id")
+    own = sets.join(reps, "id", "left_semi")
+    keyed = band_keys(signatures(set_rows(own)), bands, rows)
+    return own, keyed.join(own.select("id", F.size("hashes").alias("n")), "id")

@@ -30,19 +30,28 @@ def near_dup_components(df: DataFrame, id_col: str, text_col: str, bands: int =
     """``(id, root)`` over LSH star edges.
 
     ``verify=False`` is the reference behaviour (every bucket member joins the bucket). With
-    ``verify=True`` an edge is kept only when the exact Jaccard of the two shingle sets reaches
-    ``threshold``; as edges go to the bucket minimum, a near pair whose bucket minimum is
-    unrelated to both can be missed (use ``bands=8, rows=8`` for recall).
+    ``verify=True`` the components are those of all in-bucket pairs whose exact Jaccard reaches
+    ``threshold`` (use ``RECALL_BANDS``, ``RECALL_ROWS``): documents with equal sets count as one,
+    each is verified against its bucket's minimum, and buckets that still span several components
+    have all pairs across these verified.
     """
-    if verify:
-        sets = reliable_checkpoint(M.shingle_table(M.shingle_rows(df, id_col, text_col, max_chars=max_chars)))
-        sigs = reliable_checkpoint(M.signatures(M.set_rows(sets)))
-    else:
+    vertices = df.select(F.col(id_col).alias("id"))
+    if not verify:
         sigs = reliable_checkpoint(M.with_signatures(df, id_col, text_col, max_chars=max_chars))
-    edges = M.star_edges(M.band_keys(sigs, bands, rows))
-    if verify:
-        edges = M.verify_edges(edges, sets, threshold).select("src", "dst")
-    return C.connected_components(df.select(F.col(id_col).alias("id")), edges)
+        return C.connected_components(vertices, M.star_edges(M.band_keys(sigs, bands, rows)))
+    sets = reliable_checkpoint(M.shingle_table(M.shingle_rows(df, id_col, text_col, max_chars=max_chars)))
+    classes = reliable_checkpoint(M.set_classes(sets))
+    own, buckets = M.class_buckets(sets, classes, bands, rows)
+    buckets = reliable_checkpoint(buckets)
+    star = reliable_checkpoint(M.star_edges(buckets.select("id", "band", "key")))
+    copies = classes.where(F.col("id") != F.col("rep")).select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    links = reliable_checkpoint(M.verify_edges(star, own, threshold).select("src", "dst").unionByName(copies))
+    rooted = reliable_checkpoint(buckets.join(C.connected_components(vertices, links), "id"))
+    split = (rooted.groupBy("band", "key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+             .where("_lo < _hi").select("band", "key"))
+    rest = reliable_checkpoint(M.bucket_pairs(rooted.join(split, ["band", "key"], "left_semi"), threshold))
+    more = M.verify_edges(rest, own, threshold).select("src", "dst")
+    return C.connected_components(vertices, links.unionByName(more))
 
 
 def pick_groups(groups: DataFrame, n: int, seed: int, stage: str, unit: str = "groups") -> DataFrame:

@@ -78,20 +78,34 @@ def lsh_candidate_pairs(spark, sf):
     return M.star_edges(b)
 
 
-@register("near_dup_pairs", S.with_(S.minhash_ctes("documents", "doc_id", "text", 8, 8)) + f"""
-, jac AS (
+# all in-bucket pairs of documents with different shingle sets; of equal sets the smallest id stands for all
+_PAIRS_SQL = S.with_(S.minhash_ctes("documents", "doc_id", "text", M.RECALL_BANDS, M.RECALL_ROWS).replace(
+    "edges AS (SELECT DISTINCT", "star AS (SELECT DISTINCT"), f"""
+cls AS (SELECT id, hs, min(id) OVER (PARTITION BY list_sort(hs)) AS rep FROM sh),
+rep_bnd AS (SELECT b.* FROM bnd b JOIN cls c ON c.id = b.id AND c.rep = b.id),
+cand AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM rep_bnd a JOIN rep_bnd b USING (band, key) WHERE a.id > b.id),
+jac AS (
   SELECT e.src, e.dst,
          len(list_intersect(a.hs, b.hs)) / len(list_distinct(list_concat(a.hs, b.hs))) AS jaccard
-  FROM edges e JOIN sh a ON a.id = e.src JOIN sh b ON b.id = e.dst)
-SELECT src, dst, round(jaccard, 6) AS jaccard FROM jac WHERE jaccard >= {M.DEFAULT_THRESHOLD}""")
+  FROM cand e JOIN sh a ON a.id = e.src JOIN sh b ON b.id = e.dst),
+edges AS (SELECT src, dst, jaccard FROM jac WHERE jaccard >= {M.DEFAULT_THRESHOLD}
+          UNION ALL SELECT id, rep, 1.0 FROM cls WHERE id <> rep)""")
+
+
+@register("near_dup_pairs", _PAIRS_SQL + "SELECT src, dst, round(jaccard, 6) AS jaccard FROM edges")
 def near_dup_pairs(spark, sf):
+    """Links between documents with different shingle sets (16 x 4 bands, exact Jaccard >= 0.82), and of each
+    document to the first with an equal set."""
     # one pass over the text: shingle-hash sets, materialised in the shared checkpoint folder and
-    # read by the signatures and both verify joins
-    h = reliable_checkpoint(M.shingle_table(M.shingle_rows(documents(spark, sf), "doc_id", "text")))
-    s = reliable_checkpoint(M.signatures(M.set_rows(h)))  # read by the bucket-minimum aggregate and its join
-    e = M.star_edges(M.band_keys(s, M.RECALL_BANDS, M.RECALL_ROWS))
-    v = M.verify_edges(e, h, M.DEFAULT_THRESHOLD)
-    return v.select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
+    # read by the classes, the signatures and both verify joins
+    sets = reliable_checkpoint(M.shingle_table(M.shingle_rows(documents(spark, sf), "doc_id", "text")))
+    classes = reliable_checkpoint(M.set_classes(sets))
+    own, buckets = M.class_buckets(sets, classes)
+    pairs = reliable_checkpoint(M.bucket_pairs(reliable_checkpoint(buckets)))
+    links = M.verify_edges(pairs, own)
+    copies = classes.where(F.col("id") != F.col("rep"))
+    return (links.select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
+            .unionByName(copies.select(F.col("id").alias("src"), F.col("rep").alias("dst"), F.lit(1.0).alias("jaccard"))))
 
 
 def _components(spark, sf):
@@ -131,16 +145,12 @@ def near_dedupe_keep_first(spark, sf):
     return d.join(keep, "doc_id", "left_semi")
 
 
-_VCC_SQL = S.with_(S.minhash_ctes("documents", "doc_id", "text", 8, 8).replace(
-    "edges AS (SELECT DISTINCT", "cand AS (SELECT DISTINCT"), f"""
-edges AS (SELECT c.src, c.dst FROM cand c JOIN sh a ON a.id = c.src JOIN sh b ON b.id = c.dst
-          WHERE len(list_intersect(a.hs, b.hs)) / len(list_distinct(list_concat(a.hs, b.hs))) >= {M.DEFAULT_THRESHOLD})""",
-                   S.components_ctes("documents", "doc_id"))
+_VCC_SQL = _PAIRS_SQL.rstrip() + "," + S.components_ctes("documents", "doc_id") + "\n"
 
 
 @register("near_dup_clusters_verified", _VCC_SQL + "SELECT id AS doc_id, root FROM comps")
 def near_dup_clusters_verified(spark, sf):
-    """Clusters over verified edges only (8 x 8 bands, exact Jaccard >= 0.82 on shingle-hash sets)."""
+    """Clusters over verified edges only (16 x 4 bands, exact Jaccard >= 0.82 on shingle-hash sets)."""
     from corpuslens.operators.splits import near_dup_components
     d = documents(spark, sf)
     comps = near_dup_components(d, "doc_id", "text", M.RECALL_BANDS, M.RECALL_ROWS, verify=True)
