@@ -13,8 +13,10 @@ id are packed each on its own.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,8 @@ from corpuslens.llm.common import as_bytes, by_bytes, stored
 MAX_LENGTH = 2048
 END_ID = 1
 GROUPS = 4096  # hash groups a bucket is numbered in; the offset table has GROUPS rows per length
-CACHE_WORDS = 400_000  # chunks whose ids a worker remembers before it starts afresh
+PUNCTUATION = punctuation.encode()
+CACHE_WORDS = 400_000  # chunks and stems whose ids a worker remembers, twice: in this generation and the last
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -46,30 +49,70 @@ class WordEncoder:
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # a special token cuts a text before any other step, so it can part chunks that are encoded together
-        self.parting, self.parting_id = min((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.parting, self.parting_id = min(special.items())
+        self.special = re.compile(b"|".join(re.escape(s.lower().encode()) for s in special))
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        words = [c.decode("utf-8", "replace") for c in chunks]
-        plain = [i for i, w in enumerate(words) if self.parting not in w]
-        for at in range(0, len(plain), 1000):
-            some = plain[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(self.parting.join(words[i] for i in some), add_special_tokens=False).ids, dtype="<u4")
+        self.before: dict[bytes, bytes] = {}  # the last generation of known
+
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Take over what the last generation knows of the words; the others are returned."""
+        self.known.update((w, self.before[w]) for w in words if w in self.before)
+        return words.difference(self.known)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; no word holds the parting token."""
+        out = []
+        for at in range(0, len(words), 1000):
+            found = self.tokenizer.encode(self.parting.join(words[at:at + 1000]), add_special_tokens=False).ids
+            ids = np.array(found, dtype="<u4")
             cuts = np.flatnonzero(ids == self.parting_id)
-            for i, first, end in zip(some, np.append(0, cuts + 1), np.append(cuts, len(ids))):
-                self.known[chunks[i]] = ids[first:end].tobytes()
-        for i in set(range(len(words))).difference(plain):
-            self.known[chunks[i]] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out += [ids[i:j].tobytes() for i, j in zip(np.append(0, cuts + 1), np.append(cuts, len(ids)))]
+        return out
+
+    def _letter_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters. Each is one word to the tokenizer too, so blanks can part them."""
+        out = []
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            edges = np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))
+            out += [ids[i:j].tobytes() for i, j in pairwise(edges)]
+        return out
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """The tokenizer lower-cases, and parts a letter or digit from punctuation after it, so a chunk is
+        its lower-cased stem and the ASCII punctuation that ends it; stems repeat more often than chunks."""
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for c in chunks:
+            low = c.lower()  # A-Z only
+            stem = low.rstrip(PUNCTUATION)
+            if self.special.search(low):
+                self.known[c] = np.array(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids,
+                                         dtype="<u4").tobytes()
+            elif stem[-1:].isalnum():  # ASCII letters and digits only
+                parts[c] = stem, low[len(stem):]
+            else:
+                parts[c] = low, b""
+        new = self._recall({p for both in parts.values() for p in both if p}.difference(self.known))
+        letters = [p for p in new if p.isalpha()]  # ASCII only
+        rest = [p for p in new if not p.isalpha()]
+        self.known.update(zip(letters, self._letter_ids([p.decode() for p in letters])))
+        self.known.update(zip(rest, self._ids([p.decode("utf-8", "replace") for p in rest])))
+        self.known[b""] = b""
+        for c, (stem, tail) in parts.items():
+            self.known[c] = self.known[stem] + self.known[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers, the end id last."""
         chunks = [t.split() for t in texts]
         new = set(chain.from_iterable(chunks)).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+            self.before, self.known = self.known, {}
             new = set(chain.from_iterable(chunks))
-        self._learn(list(new))
+        self._learn(self._recall(new))
         end = END_ID.to_bytes(4, "little")
         return [b"".join(map(self.known.__getitem__, row)) + end for row in chunks]
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -31,6 +32,17 @@ def test_word_encoder_equals_whole_text_encoding(small_docs):
     assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in own.encode([t.encode() for t in texts])] == encode(texts)
 
 
+def test_word_encoder_stems_and_generations(monkeypatch):
+    """Random chunks of letters, punctuation, marks and special tokens, with a cache that turns over often."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    own, rnd = packing.WordEncoder(packing.tokenizer_path()), random.Random(3)
+    signs = list("aAbzZ09.,'!-_<|>()sStTrRéÉßİıſKﬁñ\u0301\u0307Ωσς你好😀½²\u00a0\u2003\u0085\u200b%$@#") + [
+        own.parting, own.parting.upper() + ".", "it's", "I'M."]
+    texts = [" ".join("".join(rnd.choices(signs, k=rnd.randint(1, 9))) for _ in range(6)) for _ in range(1500)]
+    found = [x for at in range(0, len(texts), 20) for x in own.encode([t.encode() for t in texts[at:at + 20]])]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in found] == encode(texts)
+
+
 @pytest.mark.parametrize("total,longest,want", [(1, 8, [1]), (8, 8, [8]), (29, 8, [8, 8, 8, 4, 1]), (7, 8, [4, 2, 1])])
 def test_piece_lengths(total, longest, want):
     assert packing.piece_lengths(total, longest) == want
