@@ -1,14 +1,16 @@
 """Main text of web pages by site template removal.
 
-Every element subtree gets a hash of its tags and text. Spark counts, per host, on how many pages
-each subtree occurs; one that is on at least ``share`` of the host's pages (and on ``min_pages``) is
-site template and is deleted from all of them. A host has at most (subtrees a page) / share of
+Every element subtree gets a hash of its tags and text. Spark counts, per host, in how many different
+page bodies (the kept text before templates go) each subtree occurs, so that copies of a page count
+once; one that is in at least ``share`` of the host's bodies (and in ``min_pages``) is
+site template and is deleted from all pages. A host has at most (subtrees a page) / share of
 these, so its list joins the pages as one row. Elements that never hold an article's text (menus,
 forms, scripts, adverts and so on, by tag, role, class or id) go without counting.
 
-If the page has an ``article`` (else a ``main``), only its content counts. There, headings,
-paragraphs, lists and the like are the writer's own words: they stay even where they recur;
-other recurring containers go. Without either, all recurring subtrees of the body go.
+If the page has an ``article`` (else a ``main``), only its content counts, and an element round it is
+never template. There, headings, paragraphs, lists and the like are the writer's own words: they
+stay even where they recur; other recurring containers go. Without either, all recurring subtrees
+of the body go.
 
 Null and empty pages give an empty text. Unclosed, misnested and cut off markup is read as browsers do
 in the cases that occur in practice; nothing is too long or too deep. Rows that repeat an id are
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,9 +77,10 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
 class Page:
     """Text pieces of a page, in order, and its element subtrees as ranges of pieces.
 
-    ``pieces[i]`` is text, or None where a block begins or ends. ``subtrees`` holds
-    ``(hash, first piece, end piece, inside the writer's text)`` of elements with text outside
-    boilerplate.
+    ``pieces[i]`` is text, or None where a block begins or ends. ``spans`` are the outermost ranges
+    that count: articles, else mains, else everything. ``subtrees`` holds
+    ``(hash, first piece, end piece, may be template)`` of elements with text outside boilerplate;
+    only elements within a span that are neither round one nor the writer's own words may.
     """
 
     def __init__(self, source: str):
@@ -87,6 +91,21 @@ class Page:
         self._dropped = 0
         self._articles = 0
         self._read(source)
+        self.spans: list[tuple[int, int]] = []
+        for span in sorted(self.regions["article"] or self.regions["main"], key=lambda x: (x[0], -x[1])):
+            if not self.spans or span[0] >= self.spans[-1][1]:
+                self.spans.append(span)
+        self.spans = self.spans or [(0, len(self.pieces))]
+        named = bool(self.regions["article"] or self.regions["main"])
+        self.subtrees = [(own, first, end, may and self._within(first, end, named))
+                         for own, first, end, may in self.subtrees]
+
+    def _within(self, first: int, end: int, named: bool) -> bool:
+        """Does the range lie in a span, without holding all of a named one?"""
+        at = bisect_left(self.spans, (first + 1,)) - 1
+        if at < 0 or end > self.spans[at][1]:
+            return False
+        return not named or (first, end) != self.spans[at]
 
     def _text(self, raw: str) -> None:
         if self._dropped or not raw:
@@ -132,7 +151,8 @@ class Page:
             if text and not bad and not self._dropped:
                 own = digest.digest()
                 inside = self._articles > 0 and (tag in FLOW or tag in INLINE) or tag in self.regions
-                self.subtrees.append((int.from_bytes(own, "little", signed=True), first, len(self.pieces), inside))
+                may = not inside and tag not in ("html", "body")
+                self.subtrees.append((int.from_bytes(own, "little", signed=True), first, len(self.pieces), may))
                 if self._open:
                     self._open[-1][2].update(b"e" + own)
                     self._open[-1][3] = True
@@ -175,32 +195,40 @@ class Page:
     def text(self, templates: set[int]) -> str:
         """The kept text: blocks in page order, white space squeezed, joined by one space."""
         keep = np.zeros(len(self.pieces), dtype=bool)
-        spans = self.regions["article"] or self.regions["main"] or [(0, len(self.pieces))]
-        for first, end in spans:
+        for first, end in self.spans:
             keep[first:end] = True
-        for own, first, end, inside in self.subtrees:
-            if not inside and own in templates:
+        for own, first, end, may in self.subtrees:
+            if may and own in templates:
                 keep[first:end] = False
         joined = "".join(" " if p is None or not k else p for p, k in zip(self.pieces, keep))
         return " ".join(joined.split())
 
+    def body(self) -> int:
+        """Hash of the kept text before templates go: copies of a page have the same."""
+        own = hashlib.blake2b(self.text(set()).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        return int.from_bytes(own, "little", signed=True)
+
 
 def host_of(url):
     return F.coalesce(ascii_lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.lit(""))
 
 
 def site_templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, templates``: hashes of subtrees on many pages of the host. ``pages`` has ``host, html``."""
+    """``host, templates``: hashes of subtrees in many different bodies of the host. ``pages`` has ``host, html``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in by_bytes(frames, "html"):
-            found = [sorted({s[0] for s in Page(h).subtrees if not s[3]}) if isinstance(h, str) else []
-                     for h in frame["html"]]
-            yield pd.DataFrame({"host": frame["host"], "subtrees": found})
-
-    seen = stored(pages.mapInPandas(run, "host string, subtrees array<long>"), "subtrees")
-    total = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = (seen.select("host", F.explode("subtrees").alias("subtree"))
+            hosts, read = [], []
+            for host, h in zip(frame["host"], frame["html"]):
+                if isinstance(h, str):
+                    hosts.append(host)
+                    read.append(Page(h))
+            yield pd.DataFrame({"host": hosts, "body": [p.body() for p in read],
+                                "subtrees": [sorted({s[0] for s in p.subtrees if s[3]}) for p in read]})
+
+    seen = stored(pages.mapInPandas(run, "host string, body long, subtrees array<long>").distinct(), "subtrees")
+    total = seen.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = (seen.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
               .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
     return (counts.join(total, "host").where(F.col("n") >= F.col("pages") * share)
             .groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("templates")))

@@ -133,6 +133,25 @@ def test_site_templates_go_by_host(spark):
     assert out[3] == "own words 3" and out[24] == "Follow us page 4" and out[52] == "Shared line. n2"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Six copies among eight pages of a host, with and without an article, and with other text beside it."""
+    def page(text, beside="", tag="article"):
+        return f"<html><body><nav>Menu</nav><div><{tag}><div><div>{text}</div></div></{tag}></div>{beside}</body></html>"
+
+    rows = [(i, "http://a.b/", page("Copied words" if i < 6 else f"own words {i}")) for i in range(8)]
+    rows += [(10 + i, "http://c.d/", page("Copied words" if i < 6 else f"own words {i}", tag="div")) for i in range(8)]
+    rows += [(20 + i, "http://e.f/", page("Copied words" if i < 6 else f"own words {i}", f"<div>beside {i}</div>")) for i in range(8)]
+    out = {r.page_id: r.text for r in html_extract.main_text(page_table(spark, rows)).collect()}
+    for first in (0, 10, 20):
+        assert [out[first + i] for i in range(8)] == ["Copied words"] * 6 + ["own words 6", "own words 7"]
+
+
+def test_articles_side_by_side_keep_their_wrapper(spark):
+    rows = [(i, "http://a.b/", f"<div><article>Lead</article></div><article>own words {i}</article>") for i in range(8)]
+    out = {r.page_id: r.text for r in html_extract.main_text(page_table(spark, rows)).collect()}
+    assert out == {i: f"Lead own words {i}" for i in range(8)}
+
+
 def test_urls(spark):
     rows = [(1, "https://Sub.Example.org/es/1?q", None), (2, "http://example.org/en/12#x", ""), (3, "http://x.org", None), (4, "http://x.org/", None),
             (5, "ftp://notcom/fr/", None), (6, "http://a.com/fr/://z", None), (7, "http://a.com/de/1", None), (8, None, None), (9, "no host", None),
