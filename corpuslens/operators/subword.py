@@ -1,9 +1,10 @@
 """Subword statistics, byte-pair merges and fixed-vocabulary encoding.
 
 Vocabulary learning is the one inherently sequential step (each merge depends on the previous
-one). It runs as a bounded driver loop of Spark jobs over the *distinct-word* table (small by
-Heaps' law), with a reliable ``checkpoint()`` every few rounds; only the winning pair (two
-strings) travels to the driver per round.
+ones). It runs as a driver loop of Spark jobs over the *distinct-word* table (small by Heaps' law),
+with a reliable ``checkpoint()`` every round. A round applies many top pairs that cannot overlap in
+a word, so the rounds grow with the logarithm of the counts and not with the vocabulary; only the
+round's candidates (at most a few for each merge still to come) travel to the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.session import ensure_checkpoint_dir, reliable_checkpoint
+from corpuslens.session import ensure_checkpoint_dir, reliable_checkpoint, ship_package
 
 # Word-boundary marker, pad and unknown ids.
 BOUNDARY = "▁"
@@ -56,20 +57,61 @@ def apply_merge(sym: Column, a: str, b: str) -> Column:
     return F.aggregate(sym, F.array().cast("array<string>"), step)
 
 
-def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 5) -> list[tuple[str, str, int]]:
-    """Greedy BPE: repeatedly merge the most frequent pair (ties → lexicographically smallest)."""
+def merge_word(sym: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Merge the leftmost pair of the lowest rank until no adjacent pair has a rank."""
+    sym = list(sym)
+    while len(sym) > 1:
+        best, i = min((ranks.get((sym[i], sym[i + 1]), 1 << 30), i) for i in range(len(sym) - 1))
+        if best == 1 << 30:
+            break
+        sym[i:i + 2] = [sym[i] + sym[i + 1]]
+    return sym
+
+
+def choose_merges(ranked: list[tuple[str, str, int]], least_share: float) -> list[tuple[str, str, int]]:
+    """Pairs to apply in one round, best first: no symbol ends one and begins another (so no two overlap
+    in a word and each keeps its count), each at least ``least_share`` as frequent as the best."""
+    lefts, rights, chosen = set(), set(), []
+    for a, b, n in ranked:
+        if n < ranked[0][2] * least_share:
+            break
+        if a in rights or b in lefts or a == b and chosen:
+            continue
+        chosen.append((a, b, n))
+        lefts.add(a)
+        rights.add(b)
+    return chosen
+
+
+LEAST_SHARE = 0.5  # a round's pairs are at least this frequent, measured by its best
+CANDIDATES = 4  # pairs looked at for each merge still to come
+
+
+def learn_merges(words: DataFrame, num_merges: int, least_share: float = LEAST_SHARE) -> list[tuple[str, str, int]]:
+    """Byte-pair merges by rounds of top pairs (ties → lexicographically smallest), until ``num_merges``
+    different symbols were made or no pair is left."""
     ensure_checkpoint_dir(words.sparkSession)
+    ship_package(words.sparkSession)
     cur = reliable_checkpoint(words.select("word", "n", symbols(F.col("word")).alias("sym")))
-    merges = []
-    for r in range(num_merges):
-        top = pair_counts(cur).orderBy(F.col("n").desc(), "a", "b").limit(1).collect()
-        if not top:
+    merges: list[tuple[str, str, int]] = []
+    made: set[str] = set()
+    while len(made) < num_merges:
+        ranked = [(r["a"], r["b"], r["n"]) for r in pair_counts(cur).orderBy(F.col("n").desc(), "a", "b")
+                  .limit(CANDIDATES * (num_merges - len(made))).collect()]
+        if not ranked:
             break
-        a, b, n = top[0]["a"], top[0]["b"], top[0]["n"]
-        merges.append((a, b, n))
-        cur = cur.withColumn("sym", apply_merge(F.col("sym"), a, b))
-        if (r + 1) % checkpoint_every == 0:
-            cur = reliable_checkpoint(cur)
+        for a, b, n in choose_merges(ranked, least_share):
+            if len(made) == num_merges:
+                break
+            merges.append((a, b, n))
+            made.add(a + b)
+        ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
+
+        def run(batches: Iterator[pd.DataFrame], ranks=ranks) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(sym=[merge_word(s, ranks) for s in batch["sym"]])
+
+        cur = reliable_checkpoint(cur.mapInPandas(run, cur.schema).where(F.size("sym") > 1))
     return merges
 
 
@@ -87,7 +129,7 @@ def vocabulary(words: DataFrame, merges: list[tuple[str, str, int]], character_c
         .withColumn("total", F.sum("c").over(Window.partitionBy()))
     kept = chars.where((F.col("before") < F.col("total") * F.lit(character_coverage)) | (F.col("s") == BOUNDARY))
     base_syms = sorted(r["s"] for r in kept.select("s").collect())
-    return ["<pad>", "<unk>"] + base_syms + [a + b for a, b, _ in merges]
+    return list(dict.fromkeys(["<pad>", "<unk>"] + base_syms + [a + b for a, b, _ in merges]))
 
 
 CACHE_WORDS = 200_000  # words a task remembers before it starts afresh
@@ -100,21 +142,12 @@ def encode(df: DataFrame, text_col: str, keep: list[str], merges: list[tuple[str
 
     The merge table is bounded by the vocabulary size and ships with the closure.
     """
+    ship_package(df.sparkSession)
     ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
     ids = {t: i for i, t in enumerate(vocab)}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
                        + ["ids array<int>"])
 
-    def bpe(word: str) -> list[str]:
-        sym = [BOUNDARY] + list(word)
-        while len(sym) > 1:
-            best = min(((ranks.get((sym[i], sym[i + 1]), 1 << 30), i) for i in range(len(sym) - 1)))
-            if best[0] == 1 << 30:
-                break
-            i = best[1]
-            sym = sym[:i] + [sym[i] + sym[i + 1]] + sym[i + 2:]
-        return sym
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, list[int]] = {}
         for b in batches:
@@ -126,7 +159,7 @@ def encode(df: DataFrame, text_col: str, keep: list[str], merges: list[tuple[str
                     if w not in cache:
                         if len(cache) >= CACHE_WORDS:
                             cache.clear()
-                        cache[w] = [ids.get(s, UNK_ID) for s in bpe(w)]
+                        cache[w] = [ids.get(s, UNK_ID) for s in merge_word([BOUNDARY, *w], ranks)]
                     seq.extend(cache[w])
                 seqs.append((seq + [PAD_ID] * maxlen)[:maxlen] if maxlen else seq)
             out["ids"] = seqs

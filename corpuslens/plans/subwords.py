@@ -57,13 +57,16 @@ def symbol_pair_counts(spark, sf):
     return SW.pair_counts(wf.select("word", "n", SW.symbols(F.col("word")).alias("sym")))
 
 
-NUM_MERGES = 30
+VOCAB_SIZE = 8_000  # all symbols: pad, unknown, characters and merged tokens
+
+
+def _merges(wf):
+    return SW.learn_merges(wf, VOCAB_SIZE - len(SW.vocabulary(wf, [])))
 
 
 @register("bpe_merges")
 def bpe_merges(spark, sf):
-    wf = SW.word_frequencies(_train_texts(spark, sf))
-    merges = SW.learn_merges(wf, NUM_MERGES)
+    merges = _merges(reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf))))
     return spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(merges)],
                                  "rank int, a string, b string, n long")
 
@@ -73,9 +76,8 @@ MAXLEN = 50
 
 @register("subword_encode")
 def subword_encode(spark, sf):
-    texts = reliable_checkpoint(_train_texts(spark, sf))
-    wf = SW.word_frequencies(texts)
-    merges = SW.learn_merges(wf, NUM_MERGES)
+    wf = reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf)))
+    merges = _merges(wf)
     vocab = SW.vocabulary(wf, merges)
     enc = SW.encode(labeled_fx(spark, sf).select("doc_id", normalize_classical(F.col("text")).alias("text")),
                     "text", ["doc_id"], merges, vocab)
