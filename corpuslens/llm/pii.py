@@ -7,9 +7,10 @@ Bootstrapping: an instance is a token with a digit or an at sign, a lexical patt
 before it. Spark counts the pattern-instance graph over all texts and scores both sides in rounds. A pattern's
 confidence is the score of the instances it stands before, over all its occurrences in the
 corpus; so a word that often stands elsewhere is no pattern. An instance's score is 1 if it is (part of) a
-seed, else the largest confidence of its trusted patterns. After ``rounds``, tokens behind a trusted pattern
-(confidence at least ``trust``, at least ``support`` different seed instances) that no seed covers are added
-as kind ``context``.
+seed, else the largest confidence of its trusted patterns. A pattern is trusted if its confidence is at least
+``trust`` and it stands before at least ``support`` different instances with a score, seeds or learned; so
+learned instances support further patterns. The rounds go on to the fixed point: no pattern is added and no
+confidence grows. Then tokens behind a trusted pattern that no seed covers are added as kind ``context``.
 
 Positions are code points, ends exclusive. Null texts are empty. A row is known by its id and text,
 so repeated rows get the same result, and rows with null ids their own.
@@ -31,9 +32,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 SPACE = r"[\x20\x09-\x0D]+"
-LEFT_CHARS = 64  # how far back the word before a match may begin
+# The last word of a text that blanks follow; the look-behind and possessive repeats keep it linear.
+LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z"
 
-TRUST, SUPPORT, ROUNDS = 0.8, 5, 3
+TRUST, SUPPORT = 0.8, 5
+STILL = 1e-9  # confidences that grow by less in a round, all together, are at their fixed point
 
 
 def _luhn(digits: Column) -> Column:
@@ -54,11 +57,11 @@ def _valid() -> Column:
 
 def _found(text: Column, kind: int, pattern: str, may: Column) -> Column:
     """Array of ``kind, i, gap, hit, left``: every match, the length of the text before it since the last
-    match, and the end of that text. Only texts that ``may`` hold a match are searched."""
+    match, and for tokens the last word of that text. Only texts that ``may`` hold a match are searched."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"))
     made = F.transform(pairs, lambda z, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("i"), F.char_length(z["gap"]).alias("gap"), z["hit"].alias("hit"),
-        F.substring(z["gap"], -LEFT_CHARS, LEFT_CHARS).alias("left")))
+        (F.lower(F.regexp_extract(z["gap"], LAST_WORD, 1)) if pattern == TOKEN else F.lit("")).alias("left")))
     empty = F.array().cast("array<struct<kind:int,i:int,gap:int,hit:string,left:string>>")
     return F.when(may, made).otherwise(empty)
 
@@ -76,8 +79,7 @@ def matches(docs: DataFrame) -> DataFrame:
     before = Window.partitionBy("key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.char_length("hit")).over(before)
     return (rows.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("hit"))
-            .where(_valid()).select("key", "kind", "start", "end", "hit",
-                                    F.lower(F.regexp_extract("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)).alias("left")))
+            .where(_valid()).select("key", "kind", "start", "end", "hit", "left"))
 
 
 def _instances(found: DataFrame) -> DataFrame:
@@ -91,39 +93,47 @@ def _instances(found: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_reach") > F.col("start"), F.lit(False)).alias("seed")))
 
 
-def bootstrap(instances: DataFrame, texts: DataFrame, trust: float = TRUST, support: int = SUPPORT,
-              rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, confidence`` of the trusted patterns. ``texts`` has ``text``: the corpus for word totals."""
+def bootstrap(instances: DataFrame, texts: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+    """``pattern, confidence`` of the trusted patterns. ``texts`` has ``text``: the corpus for word totals.
+
+    Only patterns that could be trusted if every instance had score 1 stay in the graph. Scores only grow
+    from round to round, so the rounds end.
+    """
     graph = stored(instances.where("left <> ''").groupBy(F.col("left").alias("pattern"), "instance")
                    .agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph")
     seeds = graph.groupBy("instance").agg(F.max("seed").alias("seed"))
-    likely = (graph.where("seed").groupBy("pattern").agg(F.count_distinct("instance").alias("support"))
-              .where(F.col("support") >= support).select("pattern"))
+    likely = (graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("most"))
+              .where(F.col("support") >= support).select("pattern", "most"))
     words = texts.select(F.explode(F.split(F.lower("text"), SPACE)).alias("pattern")).where("pattern <> ''")
-    totals = stored(words.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(likely, "pattern"), "totals")
-    edges = stored(graph.drop("seed").join(totals, "pattern").join(seeds, "instance"), "edges")
+    totals = (words.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(likely, "pattern")
+              .where(F.col("most") >= F.col("total") * F.lit(trust - STILL)).select("pattern", "total"))
+    edges = stored(graph.drop("seed").join(stored(totals, "totals"), "pattern").join(seeds, "instance"), "edges")
     score = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0))
     scored = edges.withColumn("score", score)
-    good = None
-    for _ in range(rounds):
-        good = (scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"))
-                .where(F.col("confidence") >= trust))
+    before = (0, 0.0)
+    while True:
+        good = (scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"),
+                                              F.count_if(F.col("score") > 0).alias("support"))
+                .where((F.col("confidence") >= trust) & (F.col("support") >= support)).select("pattern", "confidence"))
         good = stored(good, "patterns")
+        now = good.agg(F.count(F.lit(1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if now[0] == before[0] and now[1] - before[1] < STILL:
+            return good
+        before = now
         learned = (edges.join(good, "pattern").groupBy("instance").agg(F.max("confidence").alias("learned")))
         scored = edges.join(learned, "instance", "left").withColumn(
             "score", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("learned", F.lit(0.0))))
-    return good
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trust: float = TRUST,
-                  support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+                  support: int = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: id and ``found``, an array of ``kind, start, end`` by kind, then start;
     kinds are places in ``KINDS``."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), body).alias("key"), body.alias("text"))
     found = stored(matches(source.select("key", "text")), "found")
     instances = stored(_instances(found), "instances")
-    good = bootstrap(instances, source.select("text"), trust, support, rounds)
+    good = bootstrap(instances, source.select("text"), trust, support)
     more = (instances.where("not seed").join(good, instances["left"] == good["pattern"])
             .select("key", F.lit(4).alias("kind"), "start", "end"))
     spans = found.where("kind < 4").select("key", "kind", "start", "end").unionByName(more)

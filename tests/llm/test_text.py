@@ -227,6 +227,41 @@ def test_personal_data_context(docs_of):
     assert out[50] == "context:8:15" and out[51] == "" and out[0] == "email:14:28" and out[95] == ""
 
 
+def test_personal_data_second_generation(docs_of):
+    """'member' stands before learned instances only; the word before many blanks counts."""
+    rows = [(i, f"mailto: user{i}@host.org") for i in range(100)] + [(200 + i, f"mailto: acct-{i}") for i in range(20)]
+    rows += [(300 + i, f"member acct-{i}") for i in range(20)] + [(400, "member acct-999"), (401, "member" + " " * 200 + "acct-998")]
+    rows += [(500, "x" * 90 + "member acct-997"), (501, "other acct-3")]
+    out = {r.doc_id: r.spans for r in pii.personal_data_digest(docs_of(rows)).collect()}
+    assert out[200] == "context:8:14" and out[300] == "context:7:13" and out[400] == "context:7:15"
+    assert out[401] == "context:206:214" and out[500] == "" and out[501] == ""
+
+
+def test_bootstrap_equals_plain_rounds(docs_of):
+    """The same trusted patterns as a plain loop over all words that runs to the fixed point."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(900):
+        word = rnd.choice(["mail", "reach", "member", "id", "ref", "note", "box"])
+        far = {"mail": 0, "reach": 1, "member": 2, "id": 3, "ref": 4, "note": 5, "box": 3}[word]
+        mark = f"u{i}@h.org" if far == 0 and rnd.random() < .85 else f"k{rnd.randrange(6)}-{max(far - (rnd.random() < .97), 0)}"
+        rows.append((i, f"{word} {mark}" if word != "box" or i % 3 else "box empty"))
+    graph, total = Counter(), Counter()
+    for _, t in rows:
+        total.update(t.split())
+        left, token = t.split()
+        if re.search("[0-9@]", token):
+            graph[left, token] += 1
+    score, good = {t: 1.0 * ("@" in t) for _, t in graph}, {}
+    for _ in range(200):
+        good = {p: c for p in {p for p, _ in graph} if (c := sum(n * score[t] for (q, t), n in graph.items() if q == p) / total[p]) >= 0.8
+                and sum(score[t] > 0 for q, t in graph if q == p) >= 5}
+        score = {t: 1.0 if "@" in t else max([good.get(p, 0.0) for p, u in graph if u == t]) for t in score}
+    docs = docs_of(rows).selectExpr("doc_id as key", "text")
+    got = {r.pattern: r.confidence for r in pii.bootstrap(pii._instances(pii.matches(docs)), docs).collect()}
+    assert got.keys() == good.keys() and "reach" in got and all(abs(got[p] - good[p]) < 1e-6 for p in got)
+
+
 # quality
 
 def test_quality_separates_junk(spark):
