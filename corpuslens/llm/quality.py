@@ -5,7 +5,8 @@
    the corpus. Expectation-maximisation on these counts estimates, per labeller, how often it votes what on good
    and on bad documents, and gives each pattern a posterior.
 3. The posteriors are the targets of a logistic scorer over hashed words, word shapes and repeats. It is
-   fitted on a bounded sample, the ``sample`` documents with the smallest hash of (id, text).
+   fitted on a bounded sample, the ``sample`` documents with the smallest hash of (id, text). Their
+   features are hashed in Spark tasks; only buckets and shares reach the driver, no text.
 4. Every whole text is scored by the fitted weights; a document stays if its score is ``least`` or more.
 
 Null and wordless texts get score 0 and do not stay. Rows that repeat an id are scored each on its
@@ -26,7 +27,7 @@ from corpuslens.llm.common import as_bytes, by_bytes, stored
 from corpuslens.llm.tokens import U64, mix, numbers, word_hashes
 
 BITS = 16
-SAMPLE, EPOCHS, LEAST = 4_000, 12, 0.5
+SAMPLE, EPOCHS, LEAST = 8_000, 12, 0.5
 LABELLERS = ("repeats", "streaks", "symbols", "marks", "marked", "letterless", "capitals", "shouts", "variety", "sentences",
              "word_length", "lines", "length")
 _MARKS = re.compile(rb"([!-/:-@\[-`{-~])\1(?=[ \t-\r]|\Z)")  # a word that ends in a doubled mark
@@ -137,20 +138,34 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, flo
     return dict(zip(names, post.tolist())), chance
 
 
-def train(rows: list[tuple[str, float]], epochs: int = EPOCHS) -> np.ndarray:
-    """Logistic weights (words, shapes, bias) by AdaGrad over ``(text, target)`` rows."""
+def sparse_features(raw: bytes) -> tuple[bytes, bytes]:
+    """A text's buckets (int32) and their shares of its words (float32), both empty without words."""
+    words, at = word_hashes([raw])
+    if len(words) == 0:
+        return b"", b""
+    one, two = features([raw], words, at)
+    cells, counts = np.unique(np.concatenate([one, (1 << BITS) + two]), return_counts=True)
+    return (np.append(cells, 2 << BITS).astype(np.int32).tobytes(),
+            np.append(counts / len(words), 1.0).astype(np.float32).tobytes())
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """``key, cells, shares, weak_label`` of ``docs(key, text, weak_label)``, hashed one text at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in by_bytes(frames, "text"):
+            made = [sparse_features(as_bytes(t)) for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key"], "cells": [m[0] for m in made], "shares": [m[1] for m in made],
+                                "weak_label": frame["weak_label"]})
+
+    return docs.mapInPandas(run, "key long, cells binary, shares binary, weak_label double")
+
+
+def train(rows: list[tuple[bytes, bytes, float]], epochs: int = EPOCHS) -> np.ndarray:
+    """Logistic weights (words, shapes, bias) by AdaGrad over ``(cells, shares, target)`` rows."""
     weights = np.zeros((2 << BITS) + 1)
-    if not rows:
-        return weights
-    known = []  # per text its buckets and their shares; texts are hashed one at a time to bound memory
-    for text, target in rows:
-        raw = [as_bytes(text)]
-        words, at = word_hashes(raw)
-        if len(words):
-            one, two = features(raw, words, at)
-            cells, counts = np.unique(np.concatenate([one, (1 << BITS) + two]), return_counts=True)
-            known.append((np.append(cells, len(weights) - 1).astype(np.int32),
-                          np.append(counts / len(words), 1.0).astype(np.float32), target))
+    known = [(np.frombuffer(cells, dtype=np.int32), np.frombuffer(shares, dtype=np.float32), target)
+             for cells, shares, target in rows if cells]
     speed = np.full(len(weights), 1e-8)
     order = np.random.default_rng(7).permutation(len(known))
     for _ in range(epochs):
@@ -173,9 +188,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample:
     table = docs.sparkSession.createDataFrame(sorted(posterior.items()), "pattern string, weak_label double")
     labelled = voted.join(F.broadcast(table), "pattern")  # at most 3 ** len(LABELLERS) patterns
     chosen = labelled.select("key", "weak_label").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
-    rows = (source.join(F.broadcast(chosen), "key").where("text is not null").select("key", "text", "weak_label")
-            .dropDuplicates(["key"]).orderBy("key").collect())  # at most ``sample`` texts
-    weights = train([(r.text, r.weak_label) for r in rows])
+    picked = source.join(F.broadcast(chosen), "key").where("text is not null").select("key", "text", "weak_label")
+    rows = training_rows(picked).dropDuplicates(["key"]).orderBy("key").collect()  # at most ``sample``, no texts
+    weights = train([(bytes(r.cells), bytes(r.shares), r.weak_label) for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** (BITS + 1) + 1 numbers
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

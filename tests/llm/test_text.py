@@ -278,6 +278,22 @@ def test_quality_edges(docs_of):
     assert quality.quality(docs_of([])).count() == 0
 
 
+def test_training_rows_are_sparse_features(docs_of):
+    """8,000 documents are learned from, as buckets and shares made in the tasks; no text is collected."""
+    import numpy as np
+    assert quality.SAMPLE == 8_000
+    texts = ["", "one two one", "ONE, two! two", "x" * 5000, " ".join(f"w{i % 700}" for i in range(9000))]
+    out = quality.training_rows(docs_of(list(enumerate(texts))).selectExpr("doc_id as key", "text", "0.5D as weak_label"))
+    assert out.columns == ["key", "cells", "shares", "weak_label"]
+    for r in out.collect():
+        raw = [texts[r.key].encode()]
+        words, at = quality.word_hashes(raw)
+        counts = Counter(c + i * (1 << quality.BITS) for i, part in enumerate(quality.features(raw, words, at)) for c in part.tolist())
+        cells, shares = np.frombuffer(r.cells, dtype=np.int32).tolist(), np.frombuffer(r.shares, dtype=np.float32)
+        assert cells == (sorted(counts) + [2 << quality.BITS] if len(words) else [])
+        assert np.allclose(shares, [counts[c] / len(words) for c in cells[:-1]] + [1.0] if cells else [])
+
+
 def test_estimate_finds_labeller_accuracy():
     import numpy as np
     rng = np.random.default_rng(1)
