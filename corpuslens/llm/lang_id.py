@@ -2,9 +2,10 @@
 
 Spark counts words by language over all training rows, then the character n-grams (1 to 5, with
 word edges) of the counted words. The model keeps the ``max_words`` most frequent words and the
-``max_grams`` most frequent n-grams of each length; these two bounds size it, whatever the corpus.
-They bound the model only: the counts cover every training row. ``max_languages`` bounds the third
-axis; more languages raise an error.
+``max_grams`` most frequent n-grams of each length, and besides them each language's own most
+frequent ones up to its even share of these numbers, so that no language is crowded out; twice the two
+bounds size it, whatever the corpus. They bound the model only: the counts cover every training row.
+``max_languages`` bounds the third axis; more languages raise an error.
 
 A known word scores by its per-language log frequency. An unseen word is read as overlapping
 n-grams of the longest length; where a gram is unknown, the next shorter ones inside it take its
@@ -26,15 +27,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import by_bytes, stored
+from corpuslens.llm.common import SALTS, by_bytes, stored
 
 UNDECIDED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 20_000, 256
+ADD = 0.5  # added to every count
 BACKOFF = math.log(0.4)
 CACHE_WORDS = 200_000  # unseen words a task remembers before it starts afresh
 
@@ -84,7 +86,8 @@ class Model:
         self._restart()
 
     def _table(self, rows: list[tuple]) -> dict[str, np.ndarray]:
-        """Add-half frequencies among entries of the same kind (words, or grams of one length)."""
+        """Smoothed frequencies among entries of the same kind (words, or grams of one length) and one more for
+        all others; they sum to at most 1 in each language, however little text it has."""
         at = {lang: i for i, lang in enumerate(self.langs)}
         counts: dict[str, np.ndarray] = {}
         totals: dict[int, np.ndarray] = {}
@@ -93,7 +96,9 @@ class Model:
             counts.setdefault(item, np.zeros(len(at)))[at[lang]] = n
             totals.setdefault(kind, np.zeros(len(at)))[at[lang]] = total
             kinds[item] = kind
-        return {item: np.log((row + 0.5) / (totals[kinds[item]] + 1.0)) for item, row in counts.items()}
+        sizes = Counter(kinds.values())
+        below = {kind: np.log(total + ADD * (sizes[kind] + 1)) for kind, total in totals.items()}
+        return {item: np.log(row + ADD) - below[kinds[item]] for item, row in counts.items()}
 
     def _restart(self) -> None:
         """Known words are the first rows of the matrix of scores; unseen ones join them when met."""
@@ -157,8 +162,19 @@ class Model:
         return names, best
 
 
-def _largest(counts: DataFrame, kind, most: int) -> list[tuple]:
-    """All language rows of the ``most`` items with the largest counts of each kind, with totals."""
+def _own_largest(counts: DataFrame, most: int) -> DataFrame:
+    """``kind, word`` of each language's ``most`` items with the largest counts; ranked within sub-keys first, so
+    that one task gets at most ``SALTS`` * ``most`` rows of a language."""
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
+    for keys in (["kind", "lang", "_salt"], ["kind", "lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "word")
+        salted = salted.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most)
+    return salted.select("kind", "word")
+
+
+def _largest(counts: DataFrame, kind, most: int, languages: int = 1) -> list[tuple]:
+    """All language rows of the ``most`` items with the largest counts of each kind, and of each language's own
+    ``most / languages``, with totals."""
     counts = counts.withColumn("kind", kind)
     totals = counts.groupBy("kind", "lang").agg(F.sum("n").alias("total"))
     items = counts.groupBy("kind", "word").agg(F.sum("n").alias("_all"))
@@ -169,19 +185,21 @@ def _largest(counts: DataFrame, kind, most: int) -> list[tuple]:
     top = tops[0]
     for other in tops[1:]:
         top = top.unionByName(other)
-    rows = counts.join(top.select("kind", "word"), ["kind", "word"]).join(totals, ["kind", "lang"])
+    top = top.select("kind", "word").unionByName(_own_largest(counts, max(most // max(languages, 1), 1))).distinct()
+    rows = counts.join(top, ["kind", "word"]).join(totals, ["kind", "lang"])
     return [(r.kind, r.lang, r.word, r.n, r.total) for r in
             rows.select("kind", "lang", "word", "n", "total").orderBy("kind", "word", "lang").collect()]
 
 
 def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learn from ``labelled(text, lang)``. At most ``max_words + 5 * max_grams`` items reach the driver."""
+    """Learn from ``labelled(text, lang)``. At most twice ``max_words + 5 * max_grams`` items reach the driver."""
     words = stored(word_counts(labelled.where("lang is not null")), "words")
     langs = [r.lang for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     grams = stored(gram_counts(words), "grams")
-    return Model(_largest(words, F.lit(0), max_words), _largest(grams, F.char_length("word"), max_grams), langs)
+    return Model(_largest(words, F.lit(0), max_words, len(langs)),
+                 _largest(grams, F.char_length("word"), max_grams, len(langs)), langs)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -94,6 +94,25 @@ def test_language_edges(docs_of):
     assert lang_id.identify(docs_of([])).count() == 0 and lang_id.identify(docs_of(hard_rows())).count() == len(hard_rows())
 
 
+def test_language_with_three_documents(spark):
+    """A language of little text takes no documents from the others, and keeps its own words in the model."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    few = [r.doc_id for r in docs.where("lang = 'fr'").where(~lang_id.held_out()).orderBy("doc_id").limit(3).collect()]
+    assert len(few) == 3
+    docs = docs.where((docs["lang"] != "fr") | docs["doc_id"].isin(few))
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in lang_id.identify(docs).collect() if r.held_out and truth[r.doc_id] != "fr"]
+    assert len(held) > 100 and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
+def test_small_language_keeps_its_words(spark):
+    rows = [("en", f"w{i:03d}", 100) for i in range(50)] + [("fr", f"v{i}", 10 - i) for i in range(8)]
+    counts = spark.createDataFrame(rows, "lang string, word string, n long").repartition(3)
+    from pyspark.sql import functions as F
+    kept = {r[2] for r in lang_id._largest(counts, F.lit(0), 10, 2)}
+    assert kept == {f"w{i:03d}" for i in range(10)} | {f"v{i}" for i in range(5)}
+
+
 def test_backoff_uses_shorter_grams():
     model = lang_id.Model([(0, "a", "abc", 5, 5), (0, "b", "xyz", 5, 5)],
                           [(1, "a", "q", 3, 3), (2, "b", "zz", 4, 4)], ["a", "b"])
