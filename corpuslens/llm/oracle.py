@@ -20,3 +20,59 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM words ANTI JO
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+# Fixed values of op11: seed, block, rows a shard, weights and repeats are those of the operator.
+ORACLE["op11_mixing"] = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS name,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+h AS (SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size) AS digest FROM d),
+r AS (SELECT *, ('0x' || digest[1:7])::BIGINT % greatest(1, (SELECT (count(*) + 2047) // 2048 FROM d)) AS shard FROM h),
+s AS (SELECT name, sum(size)::BIGINT AS size, [5, 2, 1][(row_number() OVER (ORDER BY name) - 1) % 3 + 1]::BIGINT AS w
+      FROM r GROUP BY name),
+o AS (SELECT *, sum(size) OVER () AS total, sum(w) OVER () AS heavy,
+             coalesce(sum(3 * size) OVER before, 0) AS stopped, coalesce(sum(w) OVER before, 0) AS gone, 3.0::DOUBLE * size / w AS spot
+      FROM s WINDOW before AS (ORDER BY 3.0::DOUBLE * size / w, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT (total - stopped)::BIGINT AS l, (heavy - gone)::BIGINT AS g FROM o
+          WHERE w * (total - stopped) <= 3 * size * (heavy - gone) ORDER BY spot, name LIMIT 1),
+t AS (SELECT name, size, CASE WHEN w * l > 3 * size * g THEN (3 * size)::DOUBLE ELSE (w * l)::DOUBLE / g::DOUBLE END AS target,
+             (CASE WHEN w * l > 3 * size * g THEN 3 * size * g ELSE w * l END)::DOUBLE AS votes FROM s, level),
+b AS (SELECT ((2 * sum(size) + 32) // 64)::BIGINT AS n FROM s),
+q AS (SELECT name, votes / (2 * unnest(range(0, (SELECT n FROM b))) + 1)::DOUBLE AS q FROM t WHERE votes > 0),
+won AS (SELECT name, count(*) AS seats FROM (SELECT name, row_number() OVER (ORDER BY q DESC, name) AS rn FROM q)
+        WHERE rn <= (SELECT n FROM b) GROUP BY name),
+u AS (SELECT name, shard, sum(size)::BIGINT AS su FROM r GROUP BY name, shard),
+uq AS (SELECT name, shard, seats, su::DOUBLE / (2 * unnest(range(0, seats)) + 1)::DOUBLE AS q FROM u JOIN won USING (name) WHERE su > 0),
+uw AS (SELECT name, shard, count(*) AS quota FROM (
+         SELECT name, shard, seats, row_number() OVER (PARTITION BY name ORDER BY q DESC, shard) AS rn FROM uq)
+       WHERE rn <= seats GROUP BY name, shard),
+p AS (SELECT name, shard, su, least(coalesce(quota, 0) * 32, 3 * su) AS words FROM u LEFT JOIN uw USING (name, shard)),
+pp AS (SELECT *, CASE WHEN su > 0 THEN words // su ELSE 0 END AS rounds, CASE WHEN su > 0 THEN words % su ELSE 0 END AS rest,
+              su // 32 AS whole, ('0x' || md5('mix-1:' || name || ':' || shard)[8:14])::BIGINT AS shift FROM p),
+l AS (SELECT *, row_number() OVER () AS rid,
+             (sum(size) OVER (PARTITION BY name, shard ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS spot
+      FROM r JOIN pp USING (name, shard)),
+blocks AS (SELECT *, unnest(range(spot // 32, (spot + size - 1) // 32 + 1)) AS i FROM l WHERE size > 0 AND rest > 0),
+reach AS (SELECT rid, greatest(0, least(spot + size, i * 32 + CASE
+            WHEN i >= whole THEN greatest(rest - whole * 32, 0)
+            WHEN (i * 2147483647 + shift) % greatest(whole, 1) < rest // 32 THEN 32
+            WHEN (i * 2147483647 + shift) % greatest(whole, 1) = rest // 32 THEN rest % 32 ELSE 0 END) - greatest(spot, i * 32)) AS n
+          FROM blocks),
+extra AS (SELECT rid, sum(n) AS n FROM reach GROUP BY rid)
+SELECT doc_id, l.size::BIGINT AS size, t.size AS source_size, target, (rounds * l.size + coalesce(n, 0))::BIGINT AS taken
+FROM l JOIN t USING (name) LEFT JOIN extra USING (rid)"""
+
+ORACLE["op13_ranked_search"] = r"""
+WITH f AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low,
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), term) AS t FROM documents, f),
+n AS (SELECT rid, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), up, low), term)) AS term FROM benchmark, f),
+s AS (SELECT item_id, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+      FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (rid), g GROUP BY item_id, doc_id, rid)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import (decontaminate, exact_dedup, html_extract, lang_id, near_dedup, packing, pii, quality,
-                            substring_dedup, url_filter)
+from corpuslens.llm import (conversation, decontaminate, exact_dedup, html_extract, lang_id, mixing, near_dedup, packing,
+                            pii, quality, ranked_search, substring_dedup, url_filter)
 from corpuslens.llm.common import read_table
 from corpuslens.llm.oracle import ORACLE
 
@@ -71,3 +71,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "window_words", F.round("similarity", 6).alias("similarity"))
+
+
+@_query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
