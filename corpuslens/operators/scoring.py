@@ -1,6 +1,6 @@
 """Model-input preparation, pluggable distributed batch scoring, label mapping and abstention.
 
-Scoring runs in ``mapInPandas``: Spark partitions the rows, each Python worker loads the model
+Scoring runs in an iterator pandas UDF: Spark partitions the rows, each Python worker loads the model
 once and scores Arrow batches (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows each).
 Everything around the model (input composition, softmax, arg-max, mapping, abstention,
 schema conformance) is native column expressions.
@@ -8,6 +8,8 @@ schema conformance) is native column expressions.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.arrays import argmax, softmax
 from corpuslens.functions.text import normalize_predict
-from corpuslens.operators.keywords import FIXTURE_NEGATIVE_LEXICON, TOPIC_GROUPS, or_terms
+from corpuslens.session import ship_package
 
 # Internal ↔ external label codes and class names of the 3-class labeller.
 TO_INTERNAL = {0: 0, 1: 1, 9: 2}
@@ -49,45 +51,39 @@ def abstain(label: Column, pmax: Column, thresh: float = DEFAULT_ABSTAIN) -> Col
 # A model is a picklable factory returning ``predict(texts: pd.Series) -> np.ndarray[B, C]`` of
 # logits; it is built once per Python worker process (first batch) and reused.
 
-NEGATIVE_TERMS = or_terms(dict(TOPIC_GROUPS)["guclu_negatif"]) + FIXTURE_NEGATIVE_LEXICON
-POSITIVE_TERMS = or_terms(dict(TOPIC_GROUPS)["guclu_pozitif"])
 IRRELEVANT_LOGIT = 0.5
 
 
-def lexicon_model_factory():
-    """Bag-of-words lexicon model: logits = [negative hits, positive hits, 0.5]."""
-    import regex
-    neg = {t.lower() for t in NEGATIVE_TERMS if " " not in t}
-    pos = {t.lower() for t in POSITIVE_TERMS if " " not in t}
-    splitter = regex.compile(r"[^\p{L}\p{N}_]+")
+def lexicon_model(positive: list[str], negative: list[str]) -> Callable:
+    """Factory of a bag-of-words model: logits = [negative hits, positive hits, 0.5], by whole one-word terms."""
+    terms = [{t.lower() for t in words if " " not in t} for words in (negative, positive)]
 
-    def predict(texts: pd.Series) -> np.ndarray:
-        out = np.empty((len(texts), 3), dtype=np.float64)
-        for i, t in enumerate(texts):
-            toks = [w for w in splitter.split(t.lower()) if w] if isinstance(t, str) else []
-            out[i, 0] = sum(1 for w in toks if w in neg)
-            out[i, 1] = sum(1 for w in toks if w in pos)
-            out[i, 2] = IRRELEVANT_LOGIT
-        return out
-    return predict
+    def factory() -> Callable:
+        def predict(texts: pd.Series) -> np.ndarray:
+            words = pd.Series([re.findall(r"\w+", t.lower()) if isinstance(t, str) else [] for t in texts], dtype=object).explode()
+            hits = [words.isin(t).groupby(level=0).sum().to_numpy(dtype=np.float64) for t in terms]
+            return np.column_stack([*hits, np.full(len(texts), IRRELEVANT_LOGIT)])
+        return predict
+    return factory
 
 
 _MODEL_CACHE: dict = {}
 
 
-def score_logits(df: DataFrame, input_col: str, keep: list[str],
-                 model_factory: Callable = lexicon_model_factory, n_classes: int = 3) -> DataFrame:
+def score_logits(df: DataFrame, input_col: str, keep: list[str], model_factory: Callable, n_classes: int = 3) -> DataFrame:
     """Append ``logits array<double>`` computed by the pluggable model on Arrow batches.
 
     An iterator pandas UDF: only the input column crosses into Python (other columns stay in
-    the JVM), and the model is built once per Python worker and reused across batches.
+    the JVM), and the model is built once per Python worker and job, and reused across batches.
     """
-    key = getattr(model_factory, "__qualname__", str(model_factory))
+    ship_package(df.sparkSession)
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("array<double>")
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _MODEL_CACHE.get(key)
         if model is None:
+            _MODEL_CACHE.clear()  # a worker serves one job after the other
             model = _MODEL_CACHE[key] = model_factory()
         for b in batches:
             z = model(b)

@@ -1,21 +1,31 @@
 """Subword statistics, byte-pair merges and fixed-vocabulary encoding.
 
-Vocabulary learning is the one inherently sequential step (each merge depends on the previous
-ones). It runs as a driver loop of Spark jobs over the *distinct-word* table (small by Heaps' law),
-with a reliable ``checkpoint()`` every round. A round applies many top pairs that cannot overlap in
-a word, so the rounds grow with the logarithm of the counts and not with the vocabulary; only the
-round's candidates (at most a few for each merge still to come) travel to the driver.
+Merges are learned in exactly the order of a learner that makes one at a time: the most frequent pair first,
+of equal ones the lexicographically smallest. The words stay in Spark. A round counts all pairs, takes the most
+frequent as candidates, cuts the words that hold a candidate to these pairs and a few symbols round them, and
+adds up equal pieces; at most ``CONTEXTS`` pieces travel to the driver. On these the driver can go on merging
+for as long as it can prove its counts: the pieces hold every occurrence of a candidate and of any pair that
+a merge of this round makes, so the round ends only when the next pair is not ahead of the best pair that
+was no candidate, when a merge reaches the cut end of a piece, or when it makes a symbol that is there
+already. Spark then replays the round's merges on the words that hold a candidate.
+
+Texts are encoded by joining their words to a table of segmented distinct words; Python sees each distinct
+word once.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.session import ensure_checkpoint_dir, reliable_checkpoint, ship_package
+from corpuslens.functions.text import SPACE
+from corpuslens.operators.joins import salted_join
+from corpuslens.session import ensure_checkpoint_dir, ship_package
+from corpuslens.sources.sinks import written
 
 # Word-boundary marker, pad and unknown ids.
 BOUNDARY = "▁"
@@ -68,51 +78,166 @@ def merge_word(sym: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return sym
 
 
-def choose_merges(ranked: list[tuple[str, str, int]], least_share: float) -> list[tuple[str, str, int]]:
-    """Pairs to apply in one round, best first: no symbol ends one and begins another (so no two overlap
-    in a word and each keeps its count), each at least ``least_share`` as frequent as the best."""
-    lefts, rights, chosen = set(), set(), []
-    for a, b, n in ranked:
-        if n < ranked[0][2] * least_share:
+def replay(sym: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Make merges one after the other in the order of their ranks, each from left to right."""
+    done = -1
+    while True:
+        there = [r for p in zip(sym, sym[1:]) if (r := ranks.get(p, -1)) > done]
+        if not there:
+            return sym
+        done = min(there)
+        a, b = next(p for p in zip(sym, sym[1:]) if ranks.get(p) == done)
+        sym = _joined(sym, a, b)
+
+
+def _joined(sym: list[str], a: str, b: str) -> list[str]:
+    out, i = [], 0
+    while i < len(sym):
+        if i + 1 < len(sym) and sym[i] == a and sym[i + 1] == b:
+            out.append(a + b)
+            i += 2
+        else:
+            out.append(sym[i])
+            i += 1
+    return out
+
+
+def pieces(sym: list[str], wanted: set[tuple[str, str]], around: int) -> list[tuple[list[str], bool, bool]]:
+    """The stretches of a word that hold wanted pairs, with ``around`` more symbols on either side, and whether
+    each is cut off on its left and on its right. No adjacency lies in two stretches."""
+    ranges: list[list[int]] = []
+    for i, pair in enumerate(zip(sym, sym[1:])):
+        if pair in wanted:
+            lo, hi = max(i - around, 0), min(i + 2 + around, len(sym))
+            if ranges and lo < ranges[-1][1]:
+                ranges[-1][1] = hi
+            else:
+                ranges.append([lo, hi])
+    return [(sym[lo:hi], lo > 0, hi < len(sym)) for lo, hi in ranges]
+
+
+def merge_round(found: list[tuple[list[str], bool, bool, int]], wanted: dict[tuple[str, str], int],
+                beyond: tuple | None, symbols_before: set[str], most: int) -> list[tuple[str, str, int]]:
+    """The next merges that the pieces prove, in order: at least one, at most until ``most`` different symbols that
+    were not in ``symbols_before`` are made. ``beyond`` is (-count, a, b) of the best pair that was not wanted."""
+    words = [list(f[0]) for f in found]
+    counts: dict[tuple[str, str], int] = {}
+    places: dict[tuple[str, str], set[int]] = {}
+    fresh: set[str] = set()
+
+    def known(pair: tuple[str, str]) -> bool:
+        return pair in wanted or pair[0] in fresh or pair[1] in fresh
+
+    def add(i: int, sign: int) -> set[tuple[str, str]]:
+        changed = {p for p in zip(words[i], words[i][1:]) if known(p)}
+        for p in zip(words[i], words[i][1:]):
+            if p in changed:
+                counts[p] = counts.get(p, 0) + sign * found[i][3]
+        for p in changed:
+            places.setdefault(p, set()).add(i) if sign > 0 else places[p].discard(i)
+        return changed
+
+    for i in range(len(words)):
+        add(i, 1)
+    heap = [(-n, *p) for p, n in counts.items()]
+    heapq.heapify(heap)
+    made: list[tuple[str, str, int]] = []
+    while heap and len(fresh) < most:
+        key = heapq.heappop(heap)
+        a, b = key[1:]
+        if counts.get((a, b), 0) != -key[0]:
+            continue  # an older count
+        if made and beyond is not None and key >= beyond:
             break
-        if a in rights or b in lefts or a == b and chosen:
-            continue
-        chosen.append((a, b, n))
-        lefts.add(a)
-        rights.add(b)
-    return chosen
+        made.append((a, b, -key[0]))
+        old = a + b in symbols_before or a + b in fresh  # made on another way
+        cut, changed = False, set()
+        if not old:
+            fresh.add(a + b)
+        for i in list(places[a, b]):
+            sym = words[i]
+            cut = cut or found[i][1] and (sym[0], sym[1]) == (a, b) or found[i][2] and (sym[-2], sym[-1]) == (a, b)
+            changed |= add(i, -1)
+            words[i] = _joined(sym, a, b)
+            changed |= add(i, 1)
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], *p))
+        if cut or old:
+            break
+    return made
 
 
-LEAST_SHARE = 0.5  # a round's pairs are at least this frequent, measured by its best
-CANDIDATES = 4  # pairs looked at for each merge still to come
+CANDIDATES, AROUND = 2_000, 4  # pairs looked at in a round, and symbols kept on either side of them
+CONTEXTS = 50_000  # pieces that may travel to the driver
 
 
-def learn_merges(words: DataFrame, num_merges: int, least_share: float = LEAST_SHARE) -> list[tuple[str, str, int]]:
-    """Byte-pair merges by rounds of top pairs (ties → lexicographically smallest), until ``num_merges``
-    different symbols were made or no pair is left."""
-    ensure_checkpoint_dir(words.sparkSession)
-    ship_package(words.sparkSession)
-    cur = reliable_checkpoint(words.select("word", "n", symbols(F.col("word")).alias("sym")))
-    merges: list[tuple[str, str, int]] = []
-    made: set[str] = set()
-    while len(made) < num_merges:
-        ranked = [(r["a"], r["b"], r["n"]) for r in pair_counts(cur).orderBy(F.col("n").desc(), "a", "b")
-                  .limit(CANDIDATES * (num_merges - len(made))).collect()]
+def _hold(sym: Column, wanted: list[tuple[str, str]]) -> Column:
+    """Does a word hold one of the pairs?"""
+    after = F.slice(sym, 2, F.greatest(F.size(sym), F.lit(1)))
+    pairs = F.zip_with(F.slice(sym, 1, F.greatest(F.size(sym) - 1, F.lit(0))), after, lambda a, b: F.concat_ws("\x00", a, b))
+    return F.exists(pairs, lambda p: p.isin([f"{a}\x00{b}" for a, b in wanted]))
+
+
+def _pieces_of(words: DataFrame, wanted: dict[tuple[str, str], int], around: int, most: int) -> list[tuple] | None:
+    """The counted pieces round the wanted pairs, None if there are more than ``most``."""
+    names = set(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(list(piece), left, right, n) for sym, n in zip(batch["sym"], batch["n"])
+                    for piece, left, right in pieces(list(sym), names, around)]
+            yield pd.DataFrame(rows, columns=["sym", "cut_left", "cut_right", "n"])
+
+    cut = words.where(_hold(F.col("sym"), list(wanted))).select("sym", "n").mapInPandas(
+        run, "sym array<string>, cut_left boolean, cut_right boolean, n long")
+    counted = cut.groupBy("sym", "cut_left", "cut_right").agg(F.sum("n").alias("n")).limit(most + 1).collect()
+    return None if len(counted) > most else [(r.sym, r.cut_left, r.cut_right, r.n) for r in counted]
+
+
+def learn_merges(words: DataFrame, num_merges: int, candidates: int = CANDIDATES, contexts: int = CONTEXTS,
+                 around: int = AROUND) -> list[tuple[str, str, int]]:
+    """Byte-pair merges ``(a, b, count when made)`` of ``words(word, n)`` in the exact greedy order (ties →
+    lexicographically smallest), until ``num_merges`` different symbols were made or no pair is left.
+
+    If a round's pieces are too many, it looks at fewer candidates, at last at the best pair alone with one symbol
+    round it, whose pieces are bounded by the square of the number of symbols."""
+    spark = words.sparkSession
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    cur = written(words.select("n", symbols(F.col("word")).alias("sym")).where(F.size("sym") > 1), "bpe")
+    made: list[tuple[str, str, int]] = []
+    there = {r["s"] for r in cur.select(F.explode("sym").alias("s")).distinct().collect()}  # the alphabet
+    alphabet = len(there)
+    width = candidates
+    while len(there) - alphabet < num_merges:
+        ranked = [(-r["n"], r["a"], r["b"]) for r in
+                  pair_counts(cur).orderBy(F.col("n").desc(), "a", "b").limit(candidates + 1).collect()]
         if not ranked:
             break
-        for a, b, n in choose_merges(ranked, least_share):
-            if len(made) == num_merges:
+        while True:
+            wanted = {(a, b): -n for n, a, b in ranked[:width]}
+            found = _pieces_of(cur, wanted, around if width > 1 else 1, contexts if width > 1 else (1 << 31) - 2)
+            if found is not None:
                 break
-            merges.append((a, b, n))
-            made.add(a + b)
-        ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
+            width = max(width // 4, 1)
+        beyond = ranked[width] if len(ranked) > width else None
+        more = merge_round(found, wanted, beyond, there, num_merges - (len(there) - alphabet))
+        made += more
+        there |= {a + b for a, b, _ in more}
+        ranks: dict[tuple[str, str], int] = {}
+        for i, (a, b, _) in enumerate(more):
+            ranks.setdefault((a, b), i)
 
         def run(batches: Iterator[pd.DataFrame], ranks=ranks) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch.assign(sym=[merge_word(s, ranks) for s in batch["sym"]])
+                yield batch.assign(sym=[replay(list(s), ranks) for s in batch["sym"]])
 
-        cur = reliable_checkpoint(cur.mapInPandas(run, cur.schema).where(F.size("sym") > 1))
-    return merges
+        hold = _hold(F.col("sym"), list(wanted))
+        cur = written(cur.where(hold).mapInPandas(run, cur.schema).unionByName(cur.where(~hold))
+                      .where(F.size("sym") > 1), "bpe")
+        width = min(width * 4, candidates)
+    return made
 
 
 def vocabulary(words: DataFrame, merges: list[tuple[str, str, int]], character_coverage: float = 1.0) -> list[str]:
@@ -132,36 +257,50 @@ def vocabulary(words: DataFrame, merges: list[tuple[str, str, int]], character_c
     return list(dict.fromkeys(["<pad>", "<unk>"] + base_syms + [a + b for a, b, _ in merges]))
 
 
-CACHE_WORDS = 200_000  # words a task remembers before it starts afresh
+SMALL_WORDS = 1_000_000  # distinct words up to this many are broadcast, more are joined by salted shuffle
+HOT_WORD, SALTS = 100_000, 64  # occurrences from which a word is dealt over sub-keys
 
 
-def encode(df: DataFrame, text_col: str, keep: list[str], merges: list[tuple[str, str, int]],
-           vocab: list[str], maxlen: int | None = None) -> DataFrame:
-    """``ids array<int>`` of the whole text (unknown → 1) via ``mapInPandas``; with ``maxlen`` padded (0) or
-    cut to that length.
-
-    The merge table is bounded by the vocabulary size and ships with the closure.
-    """
-    ship_package(df.sparkSession)
-    ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
+def segment(words: DataFrame, merges: list[tuple[str, str, int]], vocab: list[str]) -> DataFrame:
+    """``word, ids array<int>`` of ``words(word)``: merges by rank, unknown symbols as 1. The merge table is bounded
+    by the vocabulary size and ships with the closure."""
+    ship_package(words.sparkSession)
+    ranks: dict[tuple[str, str], int] = {}
+    for i, (a, b, _) in enumerate(merges):
+        ranks.setdefault((a, b), i)
     ids = {t: i for i, t in enumerate(vocab)}
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-                       + ["ids array<int>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, list[int]] = {}
-        for b in batches:
-            out = b[keep].copy()
-            seqs = []
-            for t in b[text_col]:
-                seq: list[int] = []
-                for w in (t or "").split():
-                    if w not in cache:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        cache[w] = [ids.get(s, UNK_ID) for s in merge_word([BOUNDARY, *w], ranks)]
-                    seq.extend(cache[w])
-                seqs.append((seq + [PAD_ID] * maxlen)[:maxlen] if maxlen else seq)
-            out["ids"] = seqs
-            yield out
-    return df.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, schema)
+        for batch in batches:
+            yield pd.DataFrame({"word": batch["word"], "ids": [
+                [ids.get(s, UNK_ID) for s in merge_word([BOUNDARY, *w], ranks)] for w in batch["word"]]})
+
+    return words.select("word").mapInPandas(run, "word string, ids array<int>")
+
+
+def encode(df: DataFrame, text_col: str, keep: list[str], merges: list[tuple[str, str, int]],
+           vocab: list[str], maxlen: int | None = None) -> DataFrame:
+    """``keep`` columns and ``ids array<int>`` of the whole text (unknown → 1); with ``maxlen`` padded (0) or cut to
+    that length.
+
+    Each distinct word is segmented once; its ids join back to the words' places in the texts, by broadcast if
+    the counted words are few, otherwise by shuffle with frequent words dealt over sub-keys. Rows are told
+    apart by a number of their own, so repeated or null keys are no matter; null texts give no ids."""
+    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    parts = F.filter(F.split(F.coalesce("_text", F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    placed = rows.select("_row", F.posexplode(parts).alias("_at", "word"))
+    counted = written(placed.groupBy("word").agg(F.count(F.lit(1)).alias("m")), "words")
+    table = written(segment(counted, merges, vocab), "segmented")
+    if counted.count() <= SMALL_WORDS:
+        joined = placed.join(F.broadcast(table), "word")
+    else:
+        hot = counted.where(F.col("m") > HOT_WORD).select("word")
+        joined = salted_join(placed, table, ["word"], hot, SALTS, F.xxhash64("_row", "_at"))
+    whole = joined.groupBy("_row").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("_at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    if maxlen:
+        ids = F.slice(F.concat(ids, F.array_repeat(F.lit(PAD_ID), maxlen)), 1, maxlen)
+    return rows.drop("_text").join(whole, "_row", "left").select(
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], ids.alias("ids"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import strip
+from corpuslens.operators import attribution as AT
 from corpuslens.operators import keywords as K
+from corpuslens.operators import matcher as M
 from corpuslens.operators import scoring as SC
+from corpuslens.plans import fixtures as FX
 from corpuslens.plans import sqlfrag as S
-from corpuslens.plans.fixtures import documents, pages_fx
+from corpuslens.plans.fixtures import catalog_fx, documents, pages_fx
 from corpuslens.sources import readers as R
 from corpuslens.sources import sinks as W
 
@@ -30,16 +33,16 @@ def _sql_list(terms):
 
 
 # token and n-gram CTEs in SQL (the oracle's own statement of whole-token matching)
-def _grams_cte(source: str, id_col: str, text_col: str, extra: str = "") -> str:
+def _grams_cte(source: str, id_col: str, text_col: str, extra: str = "", longest: int = 3) -> str:
+    runs = ",".join(f"""
+          list_transform(range(1, len(t) - {n - 2}), lambda i: {" || ' ' || ".join(f"t[i + {k}]" for k in range(n))})""" for n in range(2, longest + 1))
     return f"""
 tk AS (SELECT {id_col} AS id{extra}, list_filter(regexp_split_to_array(lower({text_col}), '[^\\p{{L}}\\p{{N}}_]+'),
                                           lambda x: length(x) > 0) AS t FROM {source}),
-gr AS (SELECT id{extra}, list_concat(t,
-          list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]),
-          list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM tk)"""
+gr AS (SELECT id{extra}, list_concat(t,{runs}) AS g FROM tk)"""
 
 
-LEXICON = K.FIXTURE_NEGATIVE_LEXICON
+LEXICON = FX.FIXTURE_NEGATIVE_LEXICON
 EXCL = K.exclusion_phrases()
 
 
@@ -70,14 +73,14 @@ def keyword_tag_join(spark, sf):
 
 
 @register("lexicon_score", S.with_(_grams_cte("documents", "doc_id", "text")) + f"""
-, c AS (SELECT id, len(list_filter(t, lambda w: list_contains({_sql_list([t for t in SC.POSITIVE_TERMS if ' ' not in t])}, w))) AS p,
-               len(list_filter(t, lambda w: list_contains({_sql_list([t for t in SC.NEGATIVE_TERMS if ' ' not in t])}, w))) AS n
+, c AS (SELECT id, len(list_filter(t, lambda w: list_contains({_sql_list([t for t in FX.POSITIVE_TERMS if ' ' not in t])}, w))) AS p,
+               len(list_filter(t, lambda w: list_contains({_sql_list([t for t in FX.NEGATIVE_TERMS if ' ' not in t])}, w))) AS n
         FROM tk)
 SELECT id AS doc_id, p, n, round((p + 1) / (p + n + 2), 6) AS score FROM c""")
 def lexicon_score(spark, sf):
     d = documents(spark, sf).select("doc_id", K.tokens(F.col("text")).alias("tok"))
-    p, n, s = SC.lexicon_score(F.col("tok"), [t for t in SC.POSITIVE_TERMS if " " not in t],
-                               [t for t in SC.NEGATIVE_TERMS if " " not in t])
+    p, n, s = SC.lexicon_score(F.col("tok"), [t for t in FX.POSITIVE_TERMS if " " not in t],
+                               [t for t in FX.NEGATIVE_TERMS if " " not in t])
     return d.select("doc_id", p.alias("p"), n.alias("n"), F.round(s, 6).alias("score"))
 
 
@@ -91,34 +94,71 @@ def _combo_sql() -> str:
     return "(VALUES " + ", ".join(rows) + ") AS cb(combo_rank, university, grp, query_chars, uterms, gterms)"
 
 
-@register("combo_catalog", S.with_(_grams_cte("documents", "doc_id", "text", ", lang")) + f"""
+def _picked(terms, at: str, there: str) -> str:
+    return f"CASE WHEN {there} THEN ' | ' || ([{', '.join(map(S.q, terms))}])[({at}) % {len(terms)} + 1] ELSE '' END"
+
+
+CATALOG_FX = f"""
+catalog_fx AS (SELECT doc_id, (CASE WHEN doc_id % 10 = 7 THEN '' ELSE coalesce(text, '') END)
+        || {_picked(FX.ALIASES, 'doc_id', 'doc_id % 4 <> 3')} || {_picked(FX.TOPIC_TERMS, 'doc_id // 2', 'doc_id % 5 <> 4')}
+        || {_picked(FX.ALIASES, 'doc_id * 7 + 3', 'doc_id % 6 = 0')} || {_picked(FX.EXCLUDED, 'doc_id // 11', 'doc_id % 11 = 0')} AS text,
+      CASE WHEN doc_id % 3 <> 1 THEN '{K.BASE_LANG}' ELSE lang END AS lang, (doc_id * 13 % 7) % 3 AS batch FROM documents),
+-- a dotted capital I becomes an i and a combining dot, as it does in Unicode's full lower-casing
+folded AS (SELECT doc_id, text AS whole, replace(text, 'İ', 'i' || chr(775)) AS text, lang, batch FROM catalog_fx),"""
+COMBO_HITS = f"""
+hit AS (SELECT id, whole, batch, lang, cb.* FROM {_combo_sql()} JOIN gr
+        ON list_has_any(gr.g, cb.uterms) AND list_has_any(gr.g, cb.gterms) AND lang = '{K.BASE_LANG}'
+           AND NOT list_has_any(gr.g, {_sql_list(EXCL)}))"""
+COMBO_CTES = "WITH " + CATALOG_FX + _grams_cte("folded", "doc_id", "text", ", whole, lang, batch", 4).lstrip() + "," + COMBO_HITS
+COMBO_PHRASES = M.compile_phrases((f"{kind}:{code}", term) for kind, code, _, term, _ in K.catalog_rows())
+
+
+def _combo_hits(rows):
+    """The rows in the base filter's language with ``matched``, the ranks of the combos that find them."""
+    rows = rows.where(F.col("lang") == K.BASE_LANG)
+    return M.match_queries(rows, "text", COMBO_PHRASES, K.combo_queries())
+
+
+@register("combo_match", COMBO_CTES + "SELECT id AS doc_id, combo_rank FROM hit")
+def combo_match(spark, sf):
+    """(any alias) AND (any topic term) AND language AND NOT (any excluded phrase), for all 70 combos at once."""
+    return _combo_hits(catalog_fx(spark, sf)).select("doc_id", F.explode("matched").alias("combo_rank"))
+
+
+@register("combo_catalog", COMBO_CTES + f"""
 SELECT cb.combo_rank, cb.university, cb.grp AS "group", cb.university || '_' || cb.grp AS combo, cb.query_chars,
-       cb.query_chars > {K.MAX_QUERY_CHARS} AS skipped,
-       count(gr.id) FILTER (WHERE list_has_any(gr.g, cb.uterms) AND list_has_any(gr.g, cb.gterms)
-                            AND NOT list_has_any(gr.g, {_sql_list(EXCL)})) AS n_docs
-FROM {_combo_sql()} LEFT JOIN gr ON true GROUP BY ALL""")
+       cb.query_chars > {K.MAX_QUERY_CHARS} AS skipped, count(hit.id) AS n_docs
+FROM {_combo_sql()} LEFT JOIN hit USING (combo_rank) GROUP BY ALL""")
 def combo_catalog(spark, sf):
-    """70 combos with the composed query and length guard, plus how many documents each matches.
+    """70 combos with the composed query and length guard, plus how many documents each finds.
 
-    Per document, the matched institutions and topic groups are found once (broadcast tag join);
-    the combo count is then an aggregate over (institution, group) pairs per document, which is
-    at most 14 × 5 per document — never a corpus × catalogue product.
+    Documents are matched once; what is shuffled is one partial count per combo and task.
     """
-    combos = K.combo_catalog(spark)
-    cat = K.catalog_df(spark)
-    tags = K.tag_join(documents(spark, sf), "doc_id", "text", cat)
-    per_doc = (tags.groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("kind") == "institution", F.col("code"))).alias("u"),
-        F.collect_set(F.when(F.col("kind") == "topic", F.col("code"))).alias("g"),
-        F.max((F.col("kind") == "exclusion").cast("int")).alias("ex"))
-        .where(F.col("ex") == 0))
-    pairs = (per_doc.select(F.explode("u").alias("university"), "g")
-             .select("university", F.explode("g").alias("group")))
-    counts = pairs.groupBy("university", "group").agg(F.count(F.lit(1)).alias("n_docs"))
-    out = combos.join(F.broadcast(counts), ["university", "group"], "left").fillna(0, ["n_docs"])
+    counts = combo_match(spark, sf).groupBy("combo_rank").agg(F.count(F.lit(1)).alias("n_docs"))
+    out = K.combo_catalog(spark).join(F.broadcast(counts), "combo_rank", "left").fillna(0, ["n_docs"])  # at most 70 rows
     return out.select("combo_rank", "university", "group", "combo", "query_chars", "skipped", "n_docs")
 
 
+@register("tag_posts", COMBO_CTES + """
+, first AS (SELECT whole, min((batch, combo_rank, id)) AS o FROM hit GROUP BY whole),
+won AS (SELECT o[1] AS batch, o[2] AS combo_rank, o[3] AS doc_id FROM first)
+SELECT DISTINCT doc_id, won.batch, combo_rank, university, grp AS "group", '' AS tags FROM won JOIN hit USING (combo_rank)""")
+def tag_posts(spark, sf):
+    """Posts tagged with the combo they came from, and a blank column for labels set by hand.
+
+    The posts land in three batches. A text belongs to the earliest batch that has it, and in it to the combo of the
+    lowest rank; what a batch has decided stays when the next one is appended."""
+    posts = _combo_hits(catalog_fx(spark, sf)).select(
+        "text", "batch", F.array_min("matched").alias("rank"), F.col("doc_id").alias("seq"))
+    table = AT.AttributionTable(spark, W.scratch_path(spark, "attribution"))
+    for batch in range(3):
+        table.append(posts.where(F.col("batch") == batch), batch)
+    combos = F.broadcast(K.combo_catalog(spark).select("combo_rank", "university", "group"))  # 70 rows
+    tagged = table.read().select(F.col("seq").alias("doc_id"), "batch", F.col("rank").alias("combo_rank"))
+    return tagged.join(combos, "combo_rank").select("doc_id", "batch", "combo_rank", "university", "group",
+                                                    F.lit("").alias("tags"))
+
+
 @register("top_sources", """
 SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5""")
 def top_sources(spark, sf):

@@ -8,8 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators.keywords import BASE_LANG, INSTITUTIONS, TOPIC_GROUPS, exclusion_phrases, or_terms
 from corpuslens.sources.tables import table
 
+# Lexicon of the labelled fixture (whole-token matches mark toxic documents).
+FIXTURE_NEGATIVE_LEXICON = "stupid scum pathetic moron trash idiot clown loser disgusting worthless".split()
+NEGATIVE_TERMS = or_terms(dict(TOPIC_GROUPS)["guclu_negatif"]) + FIXTURE_NEGATIVE_LEXICON
+POSITIVE_TERMS = or_terms(dict(TOPIC_GROUPS)["guclu_pozitif"])
+
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
@@ -108,3 +114,26 @@ def pages_fx(spark: SparkSession, sf: str) -> DataFrame:
             .select("conv_id", "page_no", F.transform("t", lambda x: x["tw"]).alias("tweets"),
                     (F.col("conv_id") % 2 == 0).alias("has_next_page"),
                     F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("next_cursor")))
+
+
+ALIASES = [t for _, expr in INSTITUTIONS for t in or_terms(expr)]
+TOPIC_TERMS = [t for _, expr in TOPIC_GROUPS for t in or_terms(expr)]
+EXCLUDED = exclusion_phrases()
+
+
+def catalog_fx(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with catalogue phrases appended so that each part of the composed predicate holds for some and
+    fails for others; every tenth text consists of its phrases alone, so that texts repeat. ``batch`` says in which
+    of three landings a post arrives."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    i = F.col("doc_id")
+
+    def term(terms: list[str], at, there):
+        return F.when(there, F.concat(F.lit(" | "), F.element_at(F.array(*[F.lit(t) for t in terms]),
+                                                                 (F.pmod(at, F.lit(len(terms))) + 1).cast("int")))).otherwise("")
+
+    phrases = F.concat(term(ALIASES, i, i % 4 != 3), term(TOPIC_TERMS, F.floor(i / 2), i % 5 != 4),
+                       term(ALIASES, i * 7 + 3, i % 6 == 0), term(EXCLUDED, F.floor(i / 11), i % 11 == 0))
+    return d.select("doc_id", F.concat(F.when(i % 10 == 7, F.lit("")).otherwise(F.coalesce("text", F.lit(""))), phrases).alias("text"),
+                    F.when(i % 3 != 1, F.lit(BASE_LANG)).otherwise(F.col("lang")).alias("lang"),
+                    ((i * 13 % 7) % 3).cast("long").alias("batch"))

@@ -10,6 +10,7 @@ from corpuslens.functions.text import normalize, strip
 from corpuslens.operators import dedupe as D
 from corpuslens.operators import keywords as K
 from corpuslens.operators import scoring as SC
+from corpuslens.plans import fixtures as FX
 from corpuslens.plans import sqlfrag as S
 from corpuslens.plans.fixtures import documents, labeled_fx, posts_fx
 from corpuslens.sources import readers as R
@@ -193,8 +194,8 @@ def build_model_input(spark, sf):
 
 
 def _lexicon_sql_logits(inp: str) -> str:
-    neg = "[" + ", ".join(S.q(t.lower()) for t in SC.NEGATIVE_TERMS if " " not in t) + "]"
-    pos = "[" + ", ".join(S.q(t.lower()) for t in SC.POSITIVE_TERMS if " " not in t) + "]"
+    neg = "[" + ", ".join(S.q(t.lower()) for t in FX.NEGATIVE_TERMS if " " not in t) + "]"
+    pos = "[" + ", ".join(S.q(t.lower()) for t in FX.POSITIVE_TERMS if " " not in t) + "]"
     tok = f"list_filter(regexp_split_to_array(lower({inp}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 0)"
     return (f"len(list_filter({tok}, lambda w: list_contains({neg}, w)))::DOUBLE AS z0, "
             f"len(list_filter({tok}, lambda w: list_contains({pos}, w)))::DOUBLE AS z1, "
@@ -223,7 +224,7 @@ def batch_label(spark, sf):
     p = posts_fx(spark, sf)
     inp = p.withColumn("input", SC.build_model_input(F.col("university"), F.col("text")))
     keep = ["id", "text", "createdAt", "university", "group"]
-    scored = SC.score_logits(inp, "input", keep)
+    scored = SC.score_logits(inp, "input", keep, SC.lexicon_model(FX.POSITIVE_TERMS, FX.NEGATIVE_TERMS))
     lab = SC.label_from_logits(scored)
     out_schema = T.StructType([f if f.name != "tags" else T.StructField("tags", T.IntegerType())
                                for f in POST_SCHEMA.fields])

@@ -17,6 +17,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/corpuslens-tables/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared checkpoint location and read back: cuts the lineage and
+    survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (df.write.mode(mode).option("header", True).option("escape", "\"")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
