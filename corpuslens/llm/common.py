@@ -56,6 +56,14 @@ def with_group_stats(rows: DataFrame, keys: list[str], aggs: dict[str, tuple[str
     return salted.join(back, [*keys, "_salt"]).drop("_salt")
 
 
+def join_back(rows: DataFrame, small: DataFrame, keys: list[str], salt: Column, salts: int = SALTS) -> DataFrame:
+    """Inner join of ``rows`` with one row per key, a key's rows dealt over ``salts`` sub-keys. Each row of ``small``
+    is copied only to the sub-keys that have rows. Keys must not be null."""
+    salted = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    back = salted.select(*keys, "_salt").distinct().join(small, keys)
+    return salted.join(back, [*keys, "_salt"]).drop("_salt")
+
+
 def by_bytes(frames: Iterator[pd.DataFrame], text: str, limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Cut batches so that one piece holds about ``limit`` characters (one text at least)."""
     for frame in frames:

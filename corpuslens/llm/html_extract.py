@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import ascii_lower, by_bytes, stored
+from corpuslens.llm.common import ascii_lower, by_bytes, in_python, stored
 
 SHARE, MIN_PAGES = 0.5, 5
 
@@ -226,7 +226,7 @@ def site_templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_
             yield pd.DataFrame({"host": hosts, "body": [p.body() for p in read],
                                 "subtrees": [sorted({s[0] for s in p.subtrees if s[3]}) for p in read]})
 
-    seen = stored(pages.mapInPandas(run, "host string, body long, subtrees array<long>").distinct(), "subtrees")
+    seen = stored(in_python(pages, run, "host string, body long, subtrees array<long>").distinct(), "subtrees")
     total = seen.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = (seen.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
               .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
@@ -247,7 +247,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
                      for h, t in zip(frame["html"], frame["templates"])]
             yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts})
 
-    return source.join(templates, "host", "left").mapInPandas(run, "page_id long, url string, text string")
+    return in_python(source.join(templates, "host", "left"), run, "page_id long, url string, text string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ place, and so on down to single characters, each step at a cost. A document's sc
 its words, the answer the language with the largest posterior under equal priors, ties going to the
 alphabetically first language.
 
-Words are runs of letters, lower-cased. Null texts and texts without a letter get ``und`` and
+Words are runs of letters (numbers such as a superscript two are none), lower-cased. Ranking a language's own
+items takes its rows from ``SALTS`` sub-keys to one task, at most ``SALTS`` times its share of the bounds. Null texts and texts without a letter get ``und`` and
 score 0, as does every text if nothing could be learned.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -30,10 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import SALTS, by_bytes, stored
+from corpuslens.llm.common import SALTS, by_bytes, in_python, stored
+from corpuslens.session import ship_package
 
 UNDECIDED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: characters that count as part of a word in ``\w`` and are neither letters nor decimal digits, such as superscripts
+NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERIC}]+")  # runs of letters
 LONGEST = 5
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 20_000, 256
 ADD = 0.5  # added to every count
@@ -53,7 +58,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                         seen.update(WORD.findall(text.lower()))
                 yield pd.DataFrame({"lang": lang, "word": list(seen.keys()), "n": list(seen.values())})
 
-    return (labelled.select("text", "lang").mapInPandas(run, "lang string, word string, n long")
+    return (in_python(labelled.select("text", "lang"), run, "lang string, word string, n long")
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
@@ -76,44 +81,47 @@ def _room(table: np.ndarray, rows: int) -> np.ndarray:
     return table
 
 
+class Table:
+    """Smoothed log frequencies by language of named items: one text and one matrix, so that it travels well."""
+
+    def __init__(self, names: list[str], kinds: np.ndarray, counts: np.ndarray, totals: dict[int, np.ndarray]):
+        """Among entries of the same kind (words, or grams of one length), and one more for all others, frequencies
+        sum to at most 1 in each language, however little text it has. Names have no line breaks."""
+        self.names = "\n".join(names)
+        self.scores = np.log(counts + ADD)
+        for kind in np.unique(kinds):
+            own = kinds == kind
+            self.scores[own] -= np.log(totals[int(kind)] + ADD * (own.sum() + 1))
+
+    def rows(self) -> dict[str, int]:
+        return {name: i for i, name in enumerate(self.names.split("\n"))} if self.names else {}
+
+
 class Model:
-    """Log frequencies by language of a bounded number of words and n-grams."""
-
-    def __init__(self, words: list[tuple], grams: list[tuple], langs: list[str]):
-        self.langs = sorted(langs)
-        self.words = self._table(words)
-        self.grams = self._table(grams)
-        self._restart()
-
-    def _table(self, rows: list[tuple]) -> dict[str, np.ndarray]:
-        """Smoothed frequencies among entries of the same kind (words, or grams of one length) and one more for
-        all others; they sum to at most 1 in each language, however little text it has."""
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: dict[str, np.ndarray] = {}
-        totals: dict[int, np.ndarray] = {}
-        kinds: dict[str, int] = {}
-        for kind, lang, item, n, total in rows:
-            counts.setdefault(item, np.zeros(len(at)))[at[lang]] = n
-            totals.setdefault(kind, np.zeros(len(at)))[at[lang]] = total
-            kinds[item] = kind
-        sizes = Counter(kinds.values())
-        below = {kind: np.log(total + ADD * (sizes[kind] + 1)) for kind, total in totals.items()}
-        return {item: np.log(row + ADD) - below[kinds[item]] for item, row in counts.items()}
+    """Log frequencies by language of a bounded number of words and n-grams. Lookup tables and caches are built where
+    the model is used and do not travel with it."""
+
+    def __init__(self, words: Table, grams: Table, langs: list[str]):
+        self.langs, self.words, self.grams = langs, words, grams
+        self.row: dict[str, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "words": self.words, "grams": self.grams, "row": None}
 
     def _restart(self) -> None:
         """Known words are the first rows of the matrix of scores; unseen ones join them when met."""
-        self.row = {word: i for i, word in enumerate(self.words)}
-        self.scores = np.zeros((len(self.words) + 1024, len(self.langs)))
-        if self.words:
-            self.scores[:len(self.words)] = list(self.words.values())
+        self.row, self.gram_row = self.words.rows(), self.grams.rows()
+        self.known = len(self.row)
+        self.scores = np.zeros((self.known + 1024, len(self.langs)))
+        self.scores[:self.known] = self.words.scores
         self.piece_row: dict[str, int] = {}
         self.piece_scores = np.zeros((1024, len(self.langs)))
 
     def _backoff(self, piece: str, depth: int) -> np.ndarray:
         """Log frequency of a piece, or of the shorter pieces in it if it is unknown."""
-        known = self.grams.get(piece)
+        known = self.gram_row.get(piece)
         if known is not None:
-            return known + BACKOFF * depth
+            return self.grams.scores[known] + BACKOFF * depth
         if len(piece) == 1:
             return np.zeros(len(self.langs))
         return (self._backoff(piece[:-1], depth + 1) + self._backoff(piece[1:], depth + 1)) / 2
@@ -144,7 +152,7 @@ class Model:
         """Languages and posteriors of a batch of texts."""
         words = [WORD.findall(t.lower()) if isinstance(t, str) and self.langs else [] for t in texts]
         flat = list(chain.from_iterable(words))
-        if len(self.row) > len(self.words) + CACHE_WORDS:
+        if self.row is None or len(self.row) > self.known + CACHE_WORDS:
             self._restart()
         if new := sorted(set(flat).difference(self.row)):
             self._learn(new)
@@ -172,38 +180,44 @@ def _own_largest(counts: DataFrame, most: int) -> DataFrame:
     return salted.select("kind", "word")
 
 
-def _largest(counts: DataFrame, kind, most: int, languages: int = 1) -> list[tuple]:
-    """All language rows of the ``most`` items with the largest counts of each kind, and of each language's own
-    ``most / languages``, with totals."""
+def _largest(counts: DataFrame, kind, most: int, langs: list[str]) -> Table:
+    """The ``most`` items with the largest counts of each kind, and each language's own ``most`` / languages; one
+    row an item, with its counts in all languages."""
     counts = counts.withColumn("kind", kind)
-    totals = counts.groupBy("kind", "lang").agg(F.sum("n").alias("total"))
+    place = {lang: i for i, lang in enumerate(langs)}
+    totals: dict[int, np.ndarray] = {}  # a row per kind (1 for words, at most LONGEST for grams) and language
+    for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("total")).collect():
+        totals.setdefault(r.kind, np.zeros(len(langs)))[place[r.lang]] = r.total
+    if not totals:
+        return Table([], np.empty(0, np.int64), np.empty((0, len(langs))), {})
     items = counts.groupBy("kind", "word").agg(F.sum("n").alias("_all"))
-    kinds = [r.kind for r in items.select("kind").distinct().collect()]  # 1 for words, at most LONGEST for grams
-    tops = [items.where(F.col("kind") == k).orderBy(F.desc("_all"), "word").limit(most) for k in kinds]
-    if not tops:
-        return []
-    top = tops[0]
-    for other in tops[1:]:
-        top = top.unionByName(other)
-    top = top.select("kind", "word").unionByName(_own_largest(counts, max(most // max(languages, 1), 1))).distinct()
-    rows = counts.join(top, ["kind", "word"]).join(totals, ["kind", "lang"])
-    return [(r.kind, r.lang, r.word, r.n, r.total) for r in
-            rows.select("kind", "lang", "word", "n", "total").orderBy("kind", "word", "lang").collect()]
+    top = _own_largest(counts, max(most // max(len(langs), 1), 1))
+    for k in totals:
+        top = top.unionByName(items.where(F.col("kind") == k).orderBy(F.desc("_all"), "word").limit(most).select("kind", "word"))
+    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    rows = (counts.join(top.distinct(), ["kind", "word"]).groupBy("kind", "word").agg(by_lang.alias("m"))
+            .select("kind", "word", F.transform(F.array(*[F.lit(x) for x in langs]),
+                                                lambda x: F.coalesce(F.col("m")[x], F.lit(0).cast("long"))).alias("n")))
+    got = rows.orderBy("kind", "word").toArrow()
+    counted = got["n"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
+    return Table(got["word"].to_pylist(), got["kind"].to_numpy(), counted, totals)
 
 
 def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learn from ``labelled(text, lang)``. At most twice ``max_words + 5 * max_grams`` items reach the driver."""
     words = stored(word_counts(labelled.where("lang is not null")), "words")
-    langs = [r.lang for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    langs = sorted(r.lang for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    grams = stored(gram_counts(words), "grams")
-    return Model(_largest(words, F.lit(0), max_words, len(langs)),
-                 _largest(grams, F.char_length("word"), max_grams, len(langs)), langs)
+    # dealt by word: the counted words are a small table whose few files would be as few tasks
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = stored(gram_counts(words.repartition(parts, "word")), "grams")
+    return Model(_largest(words, F.lit(0), max_words, langs), _largest(grams, F.char_length("word"), max_grams, langs), langs)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (both replaced if there)."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's parameters
 
     @F.pandas_udf("lang_pred string, score double")

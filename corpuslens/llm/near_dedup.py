@@ -9,11 +9,13 @@
    pairs the buckets still split over several components with a few more shared hubs.
 4. Buckets still split after that are settled exactly: every vertex outside the bucket's largest
    component is compared with all vertices of other components.
-5. Each pair first passes a parity sketch: 1,024 bits, each flipped by the shingles that hash to it.
-   Two sketches differ in at most as many bits as the sets have shingles apart, so a pair that
-   differs in more than the threshold allows is no link; no true link is lost. This test is part
-   of the join that forms the pairs.
+5. Signature verification, part of the join that forms the pairs: of the 128 minima, kept as one byte
+   each, so many must agree that a true link falls short with a chance below 1e-9. The sizes must allow the
+   threshold, and so must a parity sketch: 1,024 bits, each flipped by the shingles that hash to it. Two
+   sketches differ in at most as many bits as the sets have shingles apart; these two tests lose no link.
 6. Every pair left is confirmed on the full shingle sets: 100 * |A and B| >= threshold * |A or B|.
+7. Buckets of more than ``HOT`` rows are dealt over sub-keys in all joins on the band, and copies over
+   sub-keys where components come back to the rows.
 
 Buckets, components and pairs have no caps. Pairs inside a component that is already connected are
 never formed, because only the components are asked for.
@@ -28,19 +30,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_bytes, by_bytes, stored, with_group_stats
+from corpuslens.llm.common import SALTS, as_bytes, by_bytes, in_python, join_back, stored, with_group_stats
 from corpuslens.llm.components import star_components
 from corpuslens.llm.tokens import U64, mix, numbers, shingle_hashes, word_hashes
+from corpuslens.operators.joins import salted_join
 
 BANDS, ROWS = 32, 4
 SKETCH = 16  # longs of 64 bits
+SIGNS = BANDS * ROWS // 8  # longs of eight minima, one byte of each
+LOST = 1e-9  # bound of the chance that signature verification turns down a pair at the threshold
 EXTRA_HUBS = 16
+HOT = 256  # rows of a bucket that one task takes
+
+INFO = ("n", "sketch", "signs")  # what the tests before the exact one need of a vertex
 
 
 def minima(shingles: np.ndarray, n_hashes: int) -> np.ndarray:
@@ -67,16 +76,43 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def least_agreement(percent: int, n_hashes: int = BANDS * ROWS, lost: float = LOST) -> int:
+    """The number of minima that two sets of similarity ``percent`` share at least, but for a chance of ``lost``."""
+    p, below = percent / 100, 0.0
+    for agree in range(n_hashes + 1):
+        below += comb(n_hashes, agree) * p ** agree * (1 - p) ** (n_hashes - agree)
+        if below > lost:
+            return agree
+    return n_hashes
+
+
+def _total(parts: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, parts)
+
+
 def _apart(a: str, b: str) -> Column:
     """Bits in which two sketches differ."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH)])
+    return _total([F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH)])
+
+
+def _disagree(a: str, b: str) -> Column:
+    """Minima in which two signatures differ: bytes of the exclusive or with any bit set, each folded to its lowest."""
+    folded = []
+    for i in range(SIGNS):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        folded.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    return _total(folded)
 
 
-def _possible(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
-    """No pair that reaches the threshold fails this: sets of similarity t or more differ in size by a factor t
-    at most, and in at most (1 - t) / (1 + t) of the sum of their sizes."""
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Can the vertices whose columns end in ``a`` and ``b`` reach the threshold? Sets of similarity t or more differ
+    in size by a factor t at most, and in at most (1 - t) / (1 + t) of the sum of their sizes."""
+    n_a, n_b = f"n{a}", f"n{b}"
     sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
-    return sizes & (_apart(a, b) * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent))
+    signed = _disagree(f"signs{a}", f"signs{b}") <= BANDS * ROWS - least_agreement(percent)
+    return sizes & signed & (_apart(f"sketch{a}", f"sketch{b}") * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent))
 
 
 def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -86,7 +122,7 @@ def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame
 
 
 def signatures(docs: DataFrame, k: int = 2) -> DataFrame:
-    """``id, n, fp1, fp2, sketch, bands`` of ``docs(id, text)``."""
+    """``id, n, fp1, fp2, sketch, signs, bands`` of ``docs(id, text)``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, sets in _sets(frames, k):
@@ -96,10 +132,11 @@ def signatures(docs: DataFrame, k: int = 2) -> DataFrame:
                 "fp1": [int(s.sum(dtype=U64).view(np.int64)) for s in sets],
                 "fp2": [int(mix(s).sum(dtype=U64).view(np.int64)) for s in sets],
                 "sketch": [parity_sketch(s) if len(s) else None for s in sets],
+                "signs": [None if g is None else g.astype(np.uint8).view(np.int64) for g in signs],
                 "bands": [None if g is None else _band_keys(g) for g in signs],
             })
 
-    return docs.mapInPandas(run, "id long, n long, fp1 long, fp2 long, sketch array<long>, bands array<long>")
+    return in_python(docs, run, "id long, n long, fp1 long, fp2 long, sketch array<long>, signs array<long>, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int = 2) -> DataFrame:
@@ -109,56 +146,69 @@ def shingle_sets(docs: DataFrame, k: int = 2) -> DataFrame:
         for frame, sets in _sets(frames, k):
             yield pd.DataFrame({"id": frame["id"], "shingles": [s.view(np.int64) for s in sets]})
 
-    return docs.mapInPandas(run, "id long, shingles array<long>")
+    return in_python(docs, run, "id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _named(rows: DataFrame, suffix: str, *names: str, plain: list[str] = ()) -> DataFrame:
+    return rows.select(*plain, *[F.col(c).alias(f"{c}{suffix}") for c in (*names, *INFO)])
+
+
+def _passing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``src, dst`` that pass the tests before the exact one."""
+    with_dst = pairs.join(_named(vertices, "_b", "id"), F.col("dst") == F.col("id_b"))
+    both = with_dst.join(_named(vertices, "_a", "id"), (F.col("src") == F.col("id_a")) & _possible("_a", "_b", percent))
+    return both.select("src", "dst")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``src, dst`` of the pairs whose full sets reach the threshold."""
-    a = vertices.select(F.col("id").alias("src"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = vertices.select(F.col("id").alias("dst"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    near = pairs.join(b, "dst").alias("p").join(
-        a.alias("a"), (F.col("p.src") == F.col("a.src")) & _possible("sketch_a", "sketch_b", "n_a", "n_b", percent))
-    near = near.select("p.src", "dst")
     sa = sets.select(F.col("id").alias("src"), F.col("shingles").alias("set_a"))
     sb = sets.select(F.col("id").alias("dst"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    return near.join(sb, "dst").join(sa, "src").where(both * 100 >= either * percent).select("src", "dst")
+    return pairs.join(sb, "dst").join(sa, "src").where(both * 100 >= either * percent).select("src", "dst")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("id_a", "id_b").alias("src"), F.greatest("id_a", "id_b").alias("dst")).distinct()
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def _still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets with their component; buckets inside one component are left out."""
-    roots = star_components(links)
-    now = (members.select("band", "id").join(roots, "id", "left")
-           .withColumn("root", F.coalesce("root", "id")))
-    span = with_group_stats(now, ["band"], {"_lo": ("min", "root"), "_hi": ("max", "root")}, F.xxhash64("id"))
-    return span.where("_lo < _hi").drop("_lo", "_hi")
-
-
-def _hub_pairs(open_members: DataFrame) -> DataFrame:
-    """Pairs of every member with the same few members of its bucket, those lowest in a fixed
-    pseudo-random order of ids, so that the buckets of one group agree on them."""
-    order = F.struct(F.xxhash64(F.col("id") + 1).alias("h"), F.col("id"), F.col("root"))
-    part = (open_members.select("band", order.alias("o"), F.pmod(F.xxhash64("id"), F.lit(EXTRA_HUBS)).alias("_lane"))
-            .groupBy("band", "_lane").agg(F.min("o").alias("o")))  # the lowest of each lane
-    hubs = part.select("band", F.col("o.id").alias("hub"), F.col("o.root").alias("hub_root"))
-    pairs = open_members.join(hubs, "band").where("root <> hub_root")
-    return pairs.select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst")).distinct()
-
-
-def _rest_pairs(open_members: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in a bucket that can reach the threshold; each has a vertex
-    outside the bucket's largest component."""
-    rows = stored(open_members.join(vertices.select("id", "n", "sketch"), "id"), "open")
+    now = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    bounds = with_group_stats(now.select("band", "id", "root"), ["band"], {"_lo": ("min", "root"), "_hi": ("max", "root")},
+                              F.xxhash64("id"))
+    return bounds.where("_lo < _hi").drop("_lo", "_hi")
+
+
+def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs, of different components, of every member with the same few members of its bucket: those lowest in a
+    fixed pseudo-random order of ids, so that the buckets of one group agree on them."""
+    order = F.struct(F.xxhash64(F.col("id") + 1).alias("h"), *[F.col(c) for c in ("id", "root", *INFO)])
+    hubs = (rows.select("band", order.alias("o"), F.pmod(F.xxhash64("id"), F.lit(EXTRA_HUBS)).alias("_lane"))
+            .groupBy("band", "_lane").agg(F.min_by("o", F.struct("o.h", "o.id")).alias("o"), F.count(F.lit(1)).alias("m")))
+    hot = hubs.groupBy("band").agg(F.sum("m").alias("m")).where(F.col("m") > HOT).select("band")
+    hubs = hubs.select("band", "o.*")
+    pairs = salted_join(_named(rows, "_a", "id", "root", plain=["band"]), _named(hubs, "_b", "id", "root", plain=["band"]),
+                        ["band"], hot, SALTS, F.xxhash64("id_a"))
+    return _ordered(pairs.where((F.col("root_a") != F.col("root_b")) & _possible("_a", "_b", percent)))
+
+
+def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in a bucket that can reach the threshold; each has a vertex outside the
+    bucket's largest component. Those vertices are dealt over sub-keys of about ``HOT`` rows."""
     sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("_big"))
-    placed = rows.join(largest, "band").withColumn("_out", F.col("root") != F.col("_big"))
-    a = placed.where("_out").select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "sketch")])
-    b = placed.select(F.col("band").alias("band_b"), "_out", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "sketch")])
-    pairs = a.join(b, (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b"))
-                   & (~F.col("_out") | (F.col("id_a") < F.col("id_b")))
-                   & _possible("sketch_a", "sketch_b", "n_a", "n_b", percent))
-    return pairs.select(F.least("id_a", "id_b").alias("src"), F.greatest("id_a", "id_b").alias("dst")).distinct()
+    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("_big"),
+                                        F.ceil(F.sum("m") / HOT).cast("long").alias("_parts"))
+    placed = join_back(rows, largest, ["band"], F.xxhash64("id")).withColumn("_out", F.col("root") != F.col("_big"))
+    part = F.pmod(F.xxhash64("id"), F.col("_parts"))
+    a = _named(placed.where("_out").withColumn("part", part), "_a", "id", "root", plain=["band", "part"])
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    b = _named(placed.withColumn("part", every), "_b", "id", "root", plain=["band", "part", "_out"])
+    pairs = a.join(b, ["band", "part"]).where((F.col("root_a") != F.col("root_b"))
+                                              & (~F.col("_out") | (F.col("id_a") < F.col("id_b")))
+                                              & _possible("_a", "_b", percent))
+    return _ordered(pairs)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 2,
@@ -171,25 +221,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                             F.xxhash64("id"))
     same = stored(same, "sets")
     reps = same.where("id = rep").select("id", "fp1", "fp2").distinct()
-    vertices = (linkable.join(reps, ["id", "fp1", "fp2"]).select("id", "n", "sketch", "bands")
+    vertices = (linkable.join(reps, ["id", "fp1", "fp2"]).select("id", *INFO, "bands")
                 .dropDuplicates(["id", "n", "sketch"]))
     banded = vertices.select("id", F.explode("bands").alias("band"))
-    shared = (banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_hi"))
-              .where("hub < _hi").select("band", "hub"))
-    members = stored(banded.join(shared, "band"), "buckets")
+    shared = stored(banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_hi"), F.count(F.lit(1)).alias("m"))
+                    .where("hub < _hi").select("band", "hub", "m"), "bands")
+    hot = shared.where(F.col("m") > HOT).select("band")
+    members = stored(salted_join(banded, shared.select("band", "hub"), ["band"], hot, SALTS, F.xxhash64("id")), "buckets")
     near = members.select("id").distinct()
     sets = stored(shingle_sets(source.join(near, "id", "left_semi"), k), "shingles")
-    vertices = stored(vertices.select("id", "n", "sketch").join(near, "id", "left_semi"), "vertices")
+    vertices = stored(vertices.select("id", *INFO).join(near, "id", "left_semi"), "vertices")
 
     first = members.where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
-    links = stored(_confirmed(first, vertices, sets, percent), "links")
-    open_members = stored(_labelled(members, links), "open")
-    links = stored(links.unionByName(_confirmed(_hub_pairs(open_members), vertices, sets, percent)), "links")
-    open_members = stored(_labelled(open_members, links), "open")
-    last = _confirmed(_rest_pairs(open_members, vertices, percent), vertices, sets, percent)
-    roots = star_components(links.unionByName(last))
-
-    found = (same.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    roots = star_components(_confirmed(_passing(first, vertices, percent), sets, percent))
+    open_rows = stored(_still_open(members.select("band", "id"), roots).join(vertices, "id"), "open")
+    stars = roots.select(F.col("id").alias("src"), F.col("root").alias("dst"))
+    roots = star_components(stars.unionByName(_confirmed(_hub_pairs(open_rows, percent), sets, percent)))
+    open_rows = stored(_still_open(open_rows.select("band", "id"), roots).join(vertices, "id"), "open")
+    stars = roots.select(F.col("id").alias("src"), F.col("root").alias("dst"))
+    roots = star_components(stars.unionByName(_confirmed(_rest_pairs(open_rows, percent), sets, percent)))
+
+    whole = same.select("rep").distinct().join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    found = (join_back(same, whole, ["rep"], F.xxhash64("id"))
              .select("id", "n", F.coalesce("root", "rep").alias("component_id")))
     empty = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return found.unionByName(empty).select(

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_bytes, by_bytes, stored
+from corpuslens.llm.common import as_bytes, by_bytes, in_python, stored
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -152,8 +152,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
             made = pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "ids_le"])
             yield made.astype({"doc_id": frame["doc_id"].dtype})
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-            .mapInPandas(run, "doc_id long, start long, length long, doc_tokens long, ids_le binary"))
+    return in_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")),
+                     run, "doc_id long, start long, length long, doc_tokens long, ids_le binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None,

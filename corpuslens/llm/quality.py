@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_bytes, by_bytes, stored
+from corpuslens.llm.common import as_bytes, by_bytes, in_python, stored
 from corpuslens.llm.tokens import U64, mix, numbers, word_hashes
 
 BITS = 16
@@ -112,7 +112,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": frame["key"], "pattern": [
                 "".join(str(v + 1) for v in votes(r, words[at[i]:at[i + 1]])) for i, r in enumerate(raws)]})
 
-    return docs.mapInPandas(run, "key long, pattern string")
+    return in_python(docs, run, "key long, pattern string")
 
 
 def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray]:
@@ -158,7 +158,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": frame["key"], "cells": [m[0] for m in made], "shares": [m[1] for m in made],
                                 "weak_label": frame["weak_label"]})
 
-    return docs.mapInPandas(run, "key long, cells binary, shares binary, weak_label double")
+    return in_python(docs, run, "key long, cells binary, shares binary, weak_label double")
 
 
 def train(rows: list[tuple[bytes, bytes, float]], epochs: int = EPOCHS) -> np.ndarray:
@@ -198,7 +198,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample:
         for frame in by_bytes(frames, "text"):
             yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "score": _scores(own, [as_bytes(t) for t in frame["text"]])})
 
-    scored = source.withColumn("id", F.col("id").cast("string")).mapInPandas(run, "id string, key long, score double")
+    scored = in_python(source.withColumn("id", F.col("id").cast("string")), run, "id string, key long, score double")
     return (scored.join(labelled.select("key", "weak_label").distinct(), "key")
             .select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "weak_label", "score",
                     (F.col("score") >= least).alias("kept")))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_bytes, by_bytes, stored, with_group_stats
+from corpuslens.llm.common import as_bytes, by_bytes, in_python, stored, with_group_stats
 from corpuslens.llm.tokens import U64, mix, numbers, window_hashes, word_hashes
 
 WIDTH = 50
@@ -74,7 +74,7 @@ def scan(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 "anchors": [np.unique(window_anchors(w, width)).view(np.int64) for w in each],
             })
 
-    return docs.mapInPandas(run, "id long, t long, n_words long, k1 long, k2 long, sha string, anchors array<long>")
+    return in_python(docs, run, "id long, t long, n_words long, k1 long, k2 long, sha string, anchors array<long>")
 
 
 def shared_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -95,7 +95,7 @@ def shared_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pd.DataFrame({"h": np.concatenate(hashes), "id": frame["id"].to_numpy()[row],
                                     "t": frame["t"].to_numpy()[row], "pos": np.concatenate(places)})
 
-    return docs.mapInPandas(run, "h long, id long, t long, pos int")
+    return in_python(docs, run, "h long, id long, t long, pos int")
 
 
 def cut_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -117,7 +117,7 @@ def cut_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                             kept.decode("utf-8", "replace"), turn.reshape(-1, 2).tolist()))
             yield pd.DataFrame(out, columns=["rep", "rep_t", "n_removed", "kept_sha256", "kept_text", "spans"])
 
-    return docs.mapInPandas(run, "rep long, rep_t long, n_removed long, kept_sha256 string, kept_text string, "
+    return in_python(docs, run, "rep long, rep_t long, n_removed long, kept_sha256 string, kept_text string, "
                                  "spans array<array<int>>")
 
 

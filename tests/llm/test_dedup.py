@@ -166,3 +166,43 @@ def test_window_anchor_is_shared_by_equal_windows():
     words = np.arange(1000, dtype=np.uint64) * np.uint64(7919)
     a, b = substring_dedup.window_anchors(words, 50), substring_dedup.window_anchors(words[300:], 50)
     assert (a[300:] == b).all() and len(np.unique(a)) < len(a) / 8
+
+
+def common_base(seed, n, words=160, edits=24):
+    """Documents of similarity about 0.5 to 0.8 to each other: a common text with some words of their own, so that
+    they share bands and few of them are links."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    base = [f"b{seed}x{i}" for i in range(words)]
+    rows = []
+    for d in range(n):
+        own = list(base)
+        for at in rng.choice(words, size=int(rng.integers(2, edits)), replace=False):
+            own[at] = f"own{seed}x{d}x{at}"
+        rows.append((seed * 10_000 + d, " ".join(own)))
+    return rows
+
+
+def test_near_components_of_a_hot_passage(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 20)  # buckets of more rows are dealt over sub-keys
+    rows = common_base(1, 120) + common_base(2, 60, edits=40) + [(50_000 + i, "the very same text of a group of copies") for i in range(80)]
+    want = brute_components(rows)
+    assert 30 < len({r[2] for r in want}) < len(rows) - 60
+    out = near_dedup.near_components(docs_of(rows).withColumns({"band": F.lit(1), "id": F.lit(2), "root": F.lit(3)}))
+    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
+def test_signature_verification_bound():
+    assert 70 <= near_dedup.least_agreement(80) <= 74 and near_dedup.least_agreement(100) == 128
+    assert near_dedup.least_agreement(1) == 0
+
+
+def test_signature_columns_count_differing_minima(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 256, (40, 128)).astype(np.uint8)
+    b = np.where(rng.random((40, 128)) < rng.random((40, 1)), a, rng.integers(0, 256, (40, 128))).astype(np.uint8)
+    rows = [(i, x.view(np.int64).tolist(), y.view(np.int64).tolist()) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
+    found = {r.i: r.n for r in df.select("i", near_dedup._disagree("x", "y").alias("n")).collect()}
+    assert found == {i: int((a[i] != b[i]).sum()) for i in range(40)}

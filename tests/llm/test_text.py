@@ -1,11 +1,16 @@
 import hashlib
+import itertools
+import math
+import pickle
 import random
 import re
 import struct
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, html_extract, lang_id, packing, pii, quality, url_filter
 
@@ -108,17 +113,74 @@ def test_language_with_three_documents(spark):
 def test_small_language_keeps_its_words(spark):
     rows = [("en", f"w{i:03d}", 100) for i in range(50)] + [("fr", f"v{i}", 10 - i) for i in range(8)]
     counts = spark.createDataFrame(rows, "lang string, word string, n long").repartition(3)
-    from pyspark.sql import functions as F
-    kept = {r[2] for r in lang_id._largest(counts, F.lit(0), 10, 2)}
+    kept = set(lang_id._largest(counts, F.lit(0), 10, ["en", "fr"]).names.split("\n"))
     assert kept == {f"w{i:03d}" for i in range(10)} | {f"v{i}" for i in range(5)}
 
 
 def test_backoff_uses_shorter_grams():
-    model = lang_id.Model([(0, "a", "abc", 5, 5), (0, "b", "xyz", 5, 5)],
-                          [(1, "a", "q", 3, 3), (2, "b", "zz", 4, 4)], ["a", "b"])
+    words = lang_id.Table(["abc", "xyz"], np.array([0, 0]), np.array([[5, 0], [0, 5]]), {0: np.array([5, 5])})
+    grams = lang_id.Table(["q", "zz"], np.array([1, 2]), np.array([[3, 0], [0, 4]]), {1: np.array([3, 0]), 2: np.array([0, 4])})
+    model = pickle.loads(pickle.dumps(lang_id.Model(words, grams, ["a", "b"])))
     assert model.predict(["abc", "zz", None, "q"])[0] == ["a", "b", "und", "a"]
 
 
+def restated_language(rows):
+    """Every document's language and posterior, by the module's description and without its bounds."""
+    letters = lambda t: ["".join(g) for k, g in itertools.groupby((t or "").lower(), str.isalpha) if k]
+    count = defaultdict(Counter)  # (kind, item) to languages
+    for i, t, lang in rows:
+        if lang is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            for w in letters(t):
+                count[0, w][lang] += 1
+    langs = sorted({x for c in count.values() for x in c})
+    for (_, w), c in list(count.items()):
+        for size in range(1, 6):
+            for at in range(len(w) + 3 - size):
+                if f" {w} "[at:at + size] != " ":
+                    count[size, f" {w} "[at:at + size]].update(c)
+    kinds, total = Counter(k for k, _ in count), defaultdict(Counter)
+    for (k, _), c in count.items():
+        total[k].update(c)
+
+    def known(k, item):
+        return np.array([math.log(count[k, item][x] + 0.5) - math.log(total[k][x] + 0.5 * (kinds[k] + 1)) for x in langs])
+
+    def unseen(piece, depth):
+        if (len(piece), piece) in count:
+            return known(len(piece), piece) + depth * math.log(0.4)
+        return np.zeros(len(langs)) if len(piece) == 1 else (unseen(piece[:-1], depth + 1) + unseen(piece[1:], depth + 1)) / 2
+
+    def word(w):
+        if (0, w) in count:
+            return known(0, w)
+        return np.mean([unseen(f" {w} "[i:i + 5], 0) for i in range(max(1, len(w) - 2))], axis=0)
+
+    out = []
+    for i, t, _ in rows:
+        score = sum(word(w) for w in letters(t)) if langs and letters(t) else None
+        out.append((i, "und", 0.0) if score is None else
+                   (i, langs[int(np.argmax(score))], 1 / sum(math.exp(max(x - max(score), -700)) for x in score)))
+    return out
+
+
+def test_language_equals_its_restatement(docs_of, spark):
+    train = [(r.doc_id, r.text[:600], r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    odd = [(9001, "²", None), (9002, "² ½", None), (9003, "① Ⅷ ٣", None), (9004, "x² y½", "en"), (9005, "Zzzxq Qqqwv", None),
+           (9006, None, "de"), (None, "Ünd der", "de"), (9007, "Ünseen-wörds 7up", None), (9008, "e", None)]
+    rows = train + odd
+    want = Counter((i, lang, round(p, 6)) for i, lang, p in restated_language(rows))
+    out = lang_id.identify(docs_of(rows).withColumns({"word": F.lit("x"), "kind": F.lit(1), "n": F.lit(2), "score": F.lit(0.1)}))
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in out.collect()) == want
+    und = {i for i, lang, _ in want if lang == "und"}
+    assert und == {9001, 9002, 9003, 9006}
+
+
+def test_language_tie_goes_to_the_first_name(docs_of):
+    docs = docs_of([(i, "same words", lang) for i in range(12) for lang in ("b", "a")] + [(99, "same", None), (98, "other", None)])
+    out = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(docs).collect()}
+    assert out[99] == out[98] == ("a", 0.5)
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
