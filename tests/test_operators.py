@@ -184,43 +184,6 @@ def test_vocabulary_character_coverage(spark):
     assert set(vocabulary(words, [], character_coverage=0.7)[2:]) == {"▁", "a"}
 
 
-def test_merges_reach_the_vocabulary_in_few_rounds(spark, monkeypatch):
-    """Rounds of pairs equal a plain re-statement, make as many symbols as asked, and encode alike."""
-    from collections import Counter
-
-    from corpuslens.operators import subword as SW
-    rnd = random.Random(8)
-    words = {"".join(rnd.choices("abcdeé", [6, 5, 4, 3, 2, 1], k=rnd.randint(1, 9))): rnd.randint(1, 40) for _ in range(250)}
-    state, want, made = {w: ["▁", *w] for w in words}, [], set()
-    while len(made) < 200:
-        seen = Counter()
-        for w, sym in state.items():
-            for pair in zip(sym, sym[1:]):
-                seen[pair] += words[w]
-        ranked = sorted(((a, b, n) for (a, b), n in seen.items()), key=lambda x: (-x[2], x[0], x[1]))
-        for a, b, n in SW.choose_merges(ranked, SW.LEAST_SHARE):
-            if len(made) < 200:
-                want.append((a, b, n))
-                made.add(a + b)
-        ranks = {(a, b): i for i, (a, b, _) in enumerate(want)}
-        state = {w: SW.merge_word(sym, ranks) for w, sym in state.items()}
-    rounds, counted = [], SW.pair_counts
-    monkeypatch.setattr(SW, "pair_counts", lambda cur: rounds.append(1) or counted(cur))
-    table = spark.createDataFrame(list(words.items()), "word string, n long")
-    got = SW.learn_merges(table, 200)
-    assert got == want and len({a + b for a, b, _ in got}) == 200 and len(rounds) < 40
-    vocab = SW.vocabulary(table, got)
-    ids = {r.word: r.ids for r in SW.encode(table, "word", ["word"], got, vocab).collect()}
-    assert ids == {w: [vocab.index(s) for s in sym] for w, sym in state.items()}
-    assert len(SW.learn_merges(spark.createDataFrame([("abc", 2)], "word string, n long"), 50)) == 3
-
-
-def test_chosen_pairs_do_not_overlap():
-    from corpuslens.operators.subword import choose_merges
-    ranked = [("a", "b", 10), ("b", "c", 9), ("a", "c", 9), ("c", "c", 8), ("d", "b", 6), ("e", "f", 4)]
-    assert choose_merges(ranked, 0.5) == [("a", "b", 10), ("a", "c", 9), ("d", "b", 6)]
-
-
 def test_registered_vocabulary_size():
     from corpuslens.plans import subwords
     assert subwords.VOCAB_SIZE == 8_000
