@@ -27,8 +27,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame,
     ``vertices`` has column ``id``; ``edges`` has ``src``, ``dst`` (direction ignored). Star edges
     give a bucket minimum a huge degree: the neighbour-label join is salted for such vertices
     (``operators.joins.salted_join``; the hot set is found once, the edges never change). A
-    giant component's root is hot in the pointer-jumping join, a left join whose skewed side
-    AQE splits; salting it as well would cost an extra aggregation every round.
+    giant component's root is hot in the pointer-jumping join: its vertices are dealt over sub-keys
+    and each sub-key looks its root up, so a hop never sends one root's vertices to one task. Roots are
+    counted for this only where there are vertices enough for a hot one.
     """
     ensure_checkpoint_dir(vertices.sparkSession)
     und = reliable_checkpoint(edges.select("src", "dst")
@@ -38,6 +39,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame,
                                   .where(F.col("_n") > hot_rows).select("src"))
     n_hot = hot_src.count()
     labels = reliable_checkpoint(vertices.select("id", F.col("id").alias("root")).distinct())
+    many = labels.count() > hot_rows
     while True:  # labels only fall, so the fixed point is reached on every graph
         # neighbour labels; the previous label rides along so "changed" needs no extra join
         cand = salted_join(und, labels.withColumnRenamed("id", "src"), ["src"], hot_src, salts, F.col("dst"), n_hot)
@@ -45,14 +47,22 @@ def connected_components(vertices: DataFrame, edges: DataFrame,
         agg = (labels.select("id", "root", F.col("root").alias("old")).unionByName(cand)
                .groupBy("id").agg(F.min("root").alias("root"), F.max("old").alias("old")))
         # pointer jumping: adopt the label of your label
-        hop = agg.join(agg.select(F.col("id").alias("root"), F.col("root").alias("root2")), "root", "left")
-        new = reliable_checkpoint(hop.select("id", F.least("root", F.coalesce("root2", "root")).alias("root"), "old"))
+        agg = reliable_checkpoint(agg) if many else agg
+        jumps = agg.select(F.col("id").alias("root"), F.col("root").alias("root2"))  # every root is a vertex
+        hop = hop_over(agg, jumps, hot_rows, salts) if many else agg.join(jumps, "root")
+        new = reliable_checkpoint(hop.select("id", F.least("root", "root2").alias("root"), "old"))
         changed = new.where(F.col("root") != F.col("old")).limit(1).count()  # reads the checkpoint
         labels = new.select("id", "root")
         if changed == 0:
             return labels
 
 
+def hop_over(labels: DataFrame, jumps: DataFrame, hot_rows: int, salts: int) -> DataFrame:
+    """``labels(id, root, ...)`` with ``root2``, the root of their root, vertices of a hot root dealt over sub-keys."""
+    hot = labels.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select("root")
+    return salted_join(labels, jumps, ["root"], hot, salts, F.col("id"))
+
+
 def cluster_ids(components: DataFrame) -> DataFrame:
     """Dense 0-based cluster ids in order of first occurrence (root = smallest member id)."""
     idx = dense_index(components, "root", name="cluster_id")

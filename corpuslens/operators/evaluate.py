@@ -90,9 +90,18 @@ def threshold_sweep(df: DataFrame, prob: str, y: str, start: float = 0.0, step:
     Rows are bucketed to their highest reached grid index and counted per (k, label) with a
     partial aggregate; reverse running sums over the bounded grid (n rows) give the confusion
     counts at every threshold. The reference rescans all rows once per threshold.
+
+    A row whose score is null or not a number, or whose label is not 0 or 1, fails the job; it would
+    otherwise be missing from every count.
     """
     spark: SparkSession = df.sparkSession
-    counts = (df.select(grid_index(F.col(prob), start, step, n).alias("k"), F.col(y).cast("int").alias("y"))
+    score, label = F.col(prob).cast("double"), F.col(y).cast("int")
+    score = F.when(score.isNotNull() & ~F.isnan(score), score).otherwise(
+        F.raise_error(F.concat(F.lit(f"{prob} is no score: "), F.coalesce(score.cast("string"), F.lit("null")))).cast("double"))
+    label = F.when(label.isin(0, 1), label).otherwise(
+        F.raise_error(F.concat(F.lit(f"{y} is neither 0 nor 1: "), F.coalesce(F.col(y).cast("string"), F.lit("null")))).cast("int"))
+    checked = df.select(score.alias("p"), label.alias("y"))
+    counts = (checked.select(grid_index(F.col("p"), start, step, n).alias("k"), "y")
               .groupBy("k").agg(F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0")))
     grid = spark.range(-1, n).select(F.col("id").alias("k"))
     g = grid.join(F.broadcast(counts), "k", "left").fillna(0, ["c1", "c0"])

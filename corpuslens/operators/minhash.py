@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.arrays import hash32
 from corpuslens.functions.text import normalize, shingles, split_words
 from corpuslens.operators.joins import salted_join
+from corpuslens.session import reliable_checkpoint
 
 # Prime modulus of the permutation family (2^32 + 15).
 PRIME = 4294967311
@@ -188,3 +189,31 @@ def class_buckets(sets: DataFrame, classes: DataFrame, bands: int = RECALL_BANDS
     own = sets.join(reps, "id", "left_semi")
     keyed = band_keys(signatures(set_rows(own)), bands, rows)
     return own, keyed.join(own.select("id", F.size("hashes").alias("n")), "id")
+
+
+def nearest_across(sets: DataFrame, left: DataFrame, right: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+                   bands: int = RECALL_BANDS, rows: int = RECALL_ROWS, hot_rows: int = 2_000,
+                   salts: int = HOT_SALTS) -> DataFrame:
+    """``(id, near_id, jaccard)``: each ``left(id)`` row that has a ``right(id)`` row of exact similarity ``threshold``
+    or more, with the most similar of these (the smallest id of equals). ``sets`` holds both sides.
+
+    Documents with equal sets are compared once. Only buckets that both sides share form pairs, left with right;
+    their left rows are dealt over sub-keys and the right ones copied to these where a bucket is large."""
+    classes = reliable_checkpoint(set_classes(sets))
+    mine = classes.join(left.select("id").distinct(), "id", "left_semi")
+    theirs = classes.join(right.select("id").distinct(), "id", "left_semi").groupBy("rep").agg(F.min("id").alias("near_id"))
+    theirs = reliable_checkpoint(theirs)
+    own, buckets = class_buckets(sets, classes, bands, rows)
+    buckets = reliable_checkpoint(buckets)
+    sides = [buckets.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+             .select("band", "key", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "n")]) for reps, end in ((mine, "a"), (theirs, "b"))]
+    both = salted_join(*sides, ["band", "key"], _hot(sides[0], ["band", "key"], hot_rows), salts, F.col("id_a"))
+    fits = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= F.lit(threshold)
+    pairs = reliable_checkpoint(both.where(fits & (F.col("id_a") != F.col("id_b")))
+                                .select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct())
+    same = mine.select(F.col("rep").alias("src")).distinct().join(theirs.select(F.col("rep").alias("src")), "src")
+    links = verify_edges(pairs, own, threshold).unionByName(same.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("jaccard")))
+    best = (links.join(theirs, F.col("dst") == F.col("rep")).groupBy("src")
+            .agg(F.max_by(F.struct("near_id", "jaccard"), F.struct(F.col("jaccard"), -F.col("near_id"))).alias("b")))
+    best = best.select(F.col("src").alias("rep"), "b.near_id", "b.jaccard")
+    return salted_join(mine, best, ["rep"], _hot(mine, ["rep"], hot_rows), salts, F.col("id")).select("id", "near_id", "jaccard")

@@ -8,6 +8,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.joins import salted_join
+from corpuslens.sources.sinks import written
+
 
 def daily_volume(df: DataFrame, ts: str = "ts", label: str = "tags", by: list[str] | None = None) -> DataFrame:
     """Per day (and group): volume, negative/positive counts and positive share among 0/1 labels,
@@ -54,52 +57,78 @@ def assign_phases(ts: Column, phases: list[tuple[str, str, str]]) -> Column:
     return F.transform(F.filter(arr, lambda p: (d >= p["s"]) & (d < p["e"])), lambda p: p["name"])
 
 
+PHASE_CELL_DAYS = 16
+HOT_CELL = 100_000  # events of one calendar cell from which they are dealt over sub-keys
+
+
+def phase_join(events: DataFrame, phases: DataFrame, ts: str, cell_days: int = PHASE_CELL_DAYS,
+               hot_rows: int = HOT_CELL) -> DataFrame:
+    """The columns of ``events`` once for each row of ``phases(phase, start, end)`` whose ``[start, end)``, in days,
+    contains the day of ``ts``, with ``phase``. Events in no phase are left out, as are empty and open phases
+    (a null end) and events without a time.
+
+    Phases may be thousands and overlap. Each is cut into calendar cells of ``cell_days``; events join the cells by
+    equality and the exact test comes after, so neither a list of phases nor a range join is needed. An event
+    lies in one cell, so a phase finds it once."""
+    day = F.datediff(F.to_date(F.col(ts)), F.lit(dt.date(1970, 1, 1)))
+    cell = lambda c: F.floor(c / F.lit(cell_days))
+    e = events.withColumn("_day", day).where("_day is not null").withColumn("_cell", cell(F.col("_day")))
+    p = phases.select(F.col("phase").alias("_phase"),
+                      *[F.datediff(F.to_date(F.col(c)), F.lit(dt.date(1970, 1, 1))).alias(n) for c, n in (("start", "_s"), ("end", "_e"))])
+    p = p.where("_s < _e").withColumn("_cell", F.explode(F.sequence(cell(F.col("_s")), cell(F.col("_e") - 1))))
+    hot = e.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > hot_rows).select("_cell")
+    both = salted_join(e, p, ["_cell"], hot, 64, F.xxhash64(F.col(ts), F.monotonically_increasing_id()))
+    found = both.where("_day >= _s and _day < _e")
+    return found.select(*[F.col(f"`{c}`") for c in events.columns], F.col("_phase").alias("phase"))
+
+
 def nearest_join(left: DataFrame, right: DataFrame, by: str, ts: str, id_col: str,
-                 bucket: str = "day") -> DataFrame:
+                 num_partitions: int | None = None) -> DataFrame:
     """For each left row the right row (same ``by``) with the least |Δts|; ties → earlier right
-    row, then smaller id. Emits ``left_id, right_id, gap_us = left.ts − right.ts``.
-
-    Exact without a theta join: rows are split by (by, time bucket) so a hot key spreads over
-    many tasks; inside a bucket a running max/min over the time-ordered union finds the previous
-    and next right row; a per-bucket summary of right rows (one row per key and bucket) supplies
-    the neighbours from earlier or later buckets.
-    """
-    trunc = lambda c: F.date_trunc(bucket, c)
-    L = left.select(F.col(id_col).alias("lid"), F.col(by).alias("k"), F.col(ts).alias("t"))
-    # a null key matches nothing; its left rows stay
-    R = right.where(F.col(by).isNotNull()).select(F.col(id_col).alias("rid"), F.col(by).alias("k"), F.col(ts).alias("t"))
-    u = (L.select("k", "t", F.lit(1).alias("side"), "lid", F.lit(None).cast("long").alias("rid"))
-         .unionByName(R.select("k", "t", F.lit(0).alias("side"), F.lit(None).cast("long").alias("lid"), "rid"))
-         .withColumn("b", trunc(F.col("t"))))
-    us = F.unix_micros(F.col("t"))
-    prev_key = F.when(F.col("side") == 0, F.struct(us.alias("t"), (-F.col("rid")).alias("nid")))
-    next_key = F.when(F.col("side") == 0, F.struct(us.alias("t"), F.col("rid").alias("id")))
-    fwd = Window.partitionBy("k", "b").orderBy(F.col("t"), F.col("side")).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy("k", "b").orderBy(F.col("t").desc(), F.col("side").desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    inb = (u.withColumn("p_in", F.max(prev_key).over(fwd))
-           .withColumn("n_in", F.min(next_key).over(bwd))
-           .where(F.col("side") == 1))
-    # per-(key, bucket) summary of right rows and its neighbours in other buckets
-    summ = R.groupBy("k", trunc(F.col("t")).alias("b")).agg(
-        F.max(F.struct(F.unix_micros("t").alias("t"), (-F.col("rid")).alias("nid"))).alias("last"),
-        F.min(F.struct(F.unix_micros("t").alias("t"), F.col("rid").alias("id"))).alias("first"))
-    lb = L.select("k", trunc(F.col("t")).alias("b")).distinct()
-    allb = summ.select("k", "b").unionByName(lb).distinct()
-    s = allb.join(summ, ["k", "b"], "left")
-    wb = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    wa = Window.partitionBy("k").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.select("k", "b", F.max("last").over(wb).alias("p_out"), F.min("first").over(wa).alias("n_out"))
-    j = inb.join(s, ["k", "b"], "left")
-    prev = F.coalesce("p_in", "p_out")
-    nxt = F.coalesce("n_in", "n_out")
-    lt = F.unix_micros(F.col("t"))
-    d_prev = lt - prev["t"]
-    d_next = nxt["t"] - lt
-    take_prev = prev.isNotNull() & (nxt.isNull() | (d_prev <= d_next))
-    rid = F.when(take_prev, -prev["nid"]).otherwise(nxt["id"])
+    row, then smaller id. Emits ``left_id, right_id, gap_us = left.ts − right.ts``; a left row without a key, a time
+    or a right row of its key has nulls.
+
+    Exact without a theta join, and without any fixed time bucket: the union of both sides is cut by range over
+    (key, time, row), so that one key's rows, be they of one hour or one instant, spread over as many tasks as
+    their number asks for. Inside a range a running maximum and minimum over the rows in order find the right
+    rows before and after; one row per range carries the neighbours across the borders."""
+    placed = _in_ranges(left, right, by, ts, id_col, num_partitions)
+    order = [F.col(c) for c in ("k", "t", "side", "rid", "lid")]
+    right_row = F.col("side") == 0
+    before = F.when(right_row, F.struct("k", "t", (-F.col("rid")).alias("nid")))
+    after = F.when(right_row, F.struct("k", "t", "rid"))
+    forth = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("_pid").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    found = (placed.withColumns({"prev": F.max(before).over(forth), "next": F.min(after).over(back)})
+             .where(F.col("side") == 1))
+    ends = placed.groupBy("_pid").agg(F.max(before).alias("last"), F.min(after).alias("first"))  # one row a range
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_pid", F.max("last").over(earlier).alias("p_out"), F.min("first").over(later).alias("n_out"))
+    found = found.join(F.broadcast(carried), "_pid", "left")
+    # in the order of keys, the nearest right row before or after is of this key, or the key has none there
+    prev, nxt = F.greatest("prev", "p_out"), F.least("next", "n_out")
+    d_prev = F.when(prev["k"] == F.col("k"), F.col("t") - prev["t"])
+    d_next = F.when(nxt["k"] == F.col("k"), nxt["t"] - F.col("t"))
+    take_prev = d_prev.isNotNull() & (d_next.isNull() | (d_prev <= d_next))
+    rid = F.when(take_prev, -prev["nid"]).when(d_next.isNotNull(), nxt["rid"])
     gap = F.when(take_prev, d_prev).otherwise(-d_next)
-    return j.select(F.col("lid").alias("left_id"), rid.alias("right_id"), gap.alias("gap_us"))
+    alone = left.where(F.col(by).isNull() | F.col(ts).isNull()).select(
+        F.col(id_col).alias("left_id"), *[F.lit(None).cast("long").alias(c) for c in ("right_id", "gap_us")])
+    return found.select(F.col("lid").alias("left_id"), rid.alias("right_id"), gap.alias("gap_us")).unionByName(alone)
+
+
+def _in_ranges(left: DataFrame, right: DataFrame, by: str, ts: str, id_col: str, num_partitions: int | None) -> DataFrame:
+    """Both sides with key and time, ``k, t, side, lid, rid``, and the number ``_pid`` of their range; written once,
+    since range bounds are sampled."""
+    def rows(df: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        return (df.where(F.col(by).isNotNull() & F.col(ts).isNotNull())
+                .select(F.col(by).alias("k"), F.unix_micros(F.col(ts)).alias("t"), F.lit(side).alias("side"),
+                        F.col(id_col).cast("long").alias(own), F.lit(None).cast("long").alias(other)))
+
+    union = rows(left, 1, "lid", "rid").unionByName(rows(right, 0, "rid", "lid"))
+    n = num_partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(union.repartitionByRange(n, "k", "t", "side", "rid", "lid").withColumn("_pid", F.spark_partition_id()), "ranges")
 
 
 def sessionize(df: DataFrame, key: str, ts: str, gap_seconds: int, bucket: str = "day") -> DataFrame:

@@ -137,3 +137,26 @@ def catalog_fx(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.concat(F.when(i % 10 == 7, F.lit("")).otherwise(F.coalesce("text", F.lit(""))), phrases).alias("text"),
                     F.when(i % 3 != 1, F.lit(BASE_LANG)).otherwise(F.col("lang")).alias("lang"),
                     ((i * 13 % 7) % 3).cast("long").alias("batch"))
+
+
+def landed_pages_fx(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-post pages of conversations as a collector lands them, with the cursor each answers: some never land, some
+    land twice, and some cursors also get an empty last page as a second answer. ``landing`` says when."""
+    c = table(spark, sf, "conversations")
+    post = F.struct(F.lit("tweet").alias("type"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id"),
+                    F.col("text"))
+    p = (c.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("p"))
+         .agg(F.sort_array(F.collect_list(F.struct("turn", post.alias("post")))).alias("t")))
+    last = c.groupBy("conv_id").agg(F.floor(F.max("turn") / 2).alias("last"))
+    p = p.join(last, "conv_id").where((F.col("conv_id") * 7 + F.col("p") * 3) % 23 != 5)
+    cursor = lambda at: F.when(at == 0, F.lit("")).otherwise(F.concat_ws("-", F.col("conv_id").cast("string"), at.cast("string")))
+    lot = F.pmod(F.xxhash64("conv_id", "p"), F.lit(3))
+    more = F.col("p") < F.col("last")
+    page = p.select("conv_id", "p", F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("chain"), cursor(F.col("p")).alias("cursor"),
+                    F.transform("t", lambda x: x["post"]).alias("tweets"), more.alias("has_next_page"),
+                    F.when(more, cursor(F.col("p") + 1)).alias("next_cursor"), lot.alias("landing"))
+    again = page.where((F.col("conv_id") + F.col("p")) % 6 == 0).withColumn("landing", F.pmod(F.col("landing") + 1, F.lit(3)))
+    fork = page.where(F.col("has_next_page") & ((F.col("conv_id") * 5 + F.col("p")) % 19 == 7)).withColumns(
+        {"tweets": F.slice("tweets", 1, 0), "has_next_page": F.lit(False), "next_cursor": F.lit(None).cast("string")})
+    # the two answers of a fork land in one file
+    return page.unionByName(again).unionByName(fork).repartition(24, "conv_id", "p", "landing").drop("conv_id", "p")

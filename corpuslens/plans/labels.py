@@ -50,9 +50,15 @@ def label_share(spark, sf):
 
 
 @register("drop_null_required", LF + """
-SELECT doc_id FROM labeled_fx WHERE text IS NOT NULL AND label IS NOT NULL AND is_synth IS NOT NULL""")
+, holes AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 1 THEN text END AS text, CASE WHEN doc_id % 7 <> 2 THEN label END AS label,
+                   CASE WHEN doc_id % 11 <> 3 THEN is_synth END AS is_synth FROM labeled_fx)
+SELECT doc_id FROM holes WHERE text IS NOT NULL AND label IS NOT NULL AND is_synth IS NOT NULL""")
 def drop_null_required(spark, sf):
-    return labeled_fx(spark, sf).dropna(subset=["text", "label", "is_synth"]).select("doc_id")
+    i = F.col("doc_id")
+    holes = labeled_fx(spark, sf).select("doc_id", F.when(i % 5 != 1, F.col("text")).alias("text"),
+                                         F.when(i % 7 != 2, F.col("label")).alias("label"),
+                                         F.when(i % 11 != 3, F.col("is_synth")).alias("is_synth"))
+    return holes.dropna(subset=["text", "label", "is_synth"]).select("doc_id")
 
 
 @register("cast_labels", LF + """
@@ -193,18 +199,36 @@ def split_composition_cube(spark, sf):
 
 
 @register("assert_real_only", SPLIT_SQL + """
-SELECT count(*) FILTER (WHERE split IN ('val', 'test') AND is_synth <> 0) AS violations FROM asg""")
+SELECT asg.split, count(*) AS n, count(*) FILTER (WHERE f.is_synth <> 0) AS synthetic
+FROM asg JOIN labeled_fx f USING (doc_id) GROUP BY asg.split""")
 def assert_real_only(spark, sf):
-    s = _split(spark, sf)
-    return s.agg(F.count_if(F.col("split").isin("val", "test") & (F.col("is_synth") != 0)).alias("violations"))
+    """Rows and synthetic rows per split; the flag comes from the source, since the split sets its own in val and
+    test. Train shows that the count does find synthetic rows."""
+    s = _split(spark, sf).select("doc_id", "split")
+    return (s.join(labeled_fx(spark, sf).select("doc_id", "is_synth"), "doc_id").groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_synth") != 0).alias("synthetic")))
+
+
+SYNTH_KEEP = 0.3
+
+
+@register("split_groups_synth_part", SPLIT_SQL + f"""
+SELECT doc_id, split, label, is_synth FROM asg WHERE is_synth = 0
+UNION ALL SELECT doc_id, split, label, is_synth FROM (
+  SELECT *, row_number() OVER (ORDER BY md5('42|synth|' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM asg WHERE is_synth = 1)
+  WHERE rn <= (SELECT round_even(count(*) * CAST({SYNTH_KEEP} AS DOUBLE), 0) FROM asg WHERE is_synth = 1)""")
+def split_groups_synth_part(spark, sf):
+    s = SP.split_groups(labeled_fx(spark, sf), "doc_id", "text", 0.10, 0.10, 42, synth_keep=SYNTH_KEEP)
+    return s.select("doc_id", "split", "label", "is_synth")
 
 
-@register("sink_partitioned_splits", SPLIT_SQL + "SELECT doc_id, label, is_synth, split FROM asg WHERE split = 'test'")
+@register("sink_partitioned_splits", SPLIT_SQL + "SELECT doc_id, label, is_synth, split FROM asg")
 def sink_partitioned_splits(spark, sf):
     path = W.scratch_path(spark, "splits")
     W.write_splits(_split(spark, sf).select("doc_id", "label", "is_synth", "split"), path)
-    # partition pruning: only the split=test folder is listed and read
-    return spark.read.parquet(path).where(F.col("split") == "test").select("doc_id", "label", "is_synth", "split")
+    # partition pruning: each read lists and reads the folder of its split only
+    parts = [spark.read.parquet(path).where(F.col("split") == name) for name in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "label", "is_synth", "split")
 
 
 LEAK_SQL = S.with_(*SPLIT_CTES, S.minhash_ctes("labeled_fx", "doc_id", "text", 5, 12, p="a_").strip(), """
@@ -242,6 +266,25 @@ def leakage_audit(spark, sf):
     return spans.unionByName(leaked)
 
 
+LEAK_ROWS_SQL = S.with_(*SPLIT_CTES, """
+nw_all AS (SELECT doc_id AS id, """ + S.words(S.norm_minhash("text")) + """ AS w FROM labeled_fx),
+hash_all AS (SELECT id, list_distinct(list_transform(""" + S.shingles("w") + ", lambda s: " + S.hash32("s") + f""")) AS hs FROM nw_all),
+near AS (SELECT s.doc_id AS id, e.doc_id AS near_id, len(list_intersect(a.hs, b.hs)) / len(list_distinct(list_concat(a.hs, b.hs))) AS jaccard
+         FROM asg s JOIN hash_all a ON a.id = s.doc_id, asg e JOIN hash_all b ON b.id = e.doc_id
+         WHERE s.split = 'train' AND e.split IN ('val', 'test'))""") + f"""
+SELECT id AS doc_id, arg_min(near_id, [-jaccard, near_id]) AS near_id, round(max(jaccard), 6) AS jaccard
+FROM near WHERE jaccard >= {M.DEFAULT_THRESHOLD} GROUP BY id"""
+
+
+@register("leakage_rows", LEAK_ROWS_SQL)
+def leakage_rows(spark, sf):
+    """Train rows, synthetic ones among them, with a near copy in val or test: verified similarity and the copy."""
+    s = reliable_checkpoint(_split(spark, sf).select(F.col("doc_id").alias("id"), "split"))
+    sets = reliable_checkpoint(M.shingle_table(M.shingle_rows(labeled_fx(spark, sf), "doc_id", "text")))
+    found = M.nearest_across(sets, s.where(F.col("split") == "train"), s.where(F.col("split").isin("val", "test")))
+    return found.select(F.col("id").alias("doc_id"), "near_id", F.round("jaccard", 6).alias("jaccard"))
+
+
 SPLIT_ROWS_SQL = S.with_(*SPLIT_CTES[:6], """
 roots AS (SELECT root, count(*) AS size FROM comps GROUP BY root)""", """
 tr AS (SELECT root FROM (SELECT root, size, sum(size) OVER (ORDER BY md5('42|test|' || CAST(root AS VARCHAR)), root

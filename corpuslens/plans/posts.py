@@ -71,20 +71,33 @@ def filter_date_range(spark, sf):
 
 
 @register("filter_blank", P + f"""
-SELECT id FROM posts_fx WHERE length({S.strip("coalesce(text, '')")}) > 0 AND length({S.strip("coalesce(createdAt, '')")}) > 0""")
+, holes AS (SELECT id, CASE seq % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(9) || ' ' || chr(160) || chr(10) ELSE text END AS text,
+                   CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE createdAt END AS createdAt FROM posts_fx)
+SELECT id FROM holes WHERE length({S.strip("coalesce(text, '')")}) > 0 AND length({S.strip("coalesce(createdAt, '')")}) > 0""")
 def filter_blank(spark, sf):
-    p = posts_fx(spark, sf)
+    at = F.col("seq")
+    p = posts_fx(spark, sf).select(
+        "id", F.when(at % 7 == 1, "").when(at % 7 == 2, "\t \u00a0\n").when(at % 7 != 0, F.col("text")).alias("text"),
+        F.when(at % 5 == 1, "  ").when(at % 5 != 0, F.col("createdAt")).alias("createdAt"))
     return p.where((F.length(strip(F.coalesce("text", F.lit("")))) > 0)
                    & (F.length(strip(F.coalesce("createdAt", F.lit("")))) > 0)).select("id")
 
 
+KINDS = [("RT @x: ", ""), ("@x ", ""), ("", " https://t.example/a"), ("", " WWW.t.example"), ("", " pic.example/x"), ("", " photo.JPG"),
+         ("", " photo.jpgs"), ("RT: ", ""), ("a@b ", ""), ("", ""), ("", "")]  # what comes before and behind the text
+
+
 @register("filter_content_kind", f"""
-SELECT doc_id FROM documents
+WITH k AS (SELECT doc_id, ([{", ".join(S.q(a) for a, _ in KINDS)}])[doc_id % {len(KINDS)} + 1] || coalesce(text, '')
+                  || ([{", ".join(S.q(b) for _, b in KINDS)}])[doc_id % {len(KINDS)} + 1] AS text FROM documents)
+SELECT doc_id FROM k
 WHERE NOT (starts_with(coalesce(text, ''), 'RT @') OR starts_with(coalesce(text, ''), '@')
            OR regexp_matches(coalesce(text, ''), {S.q(K.LINK_PATTERN[4:])}, 'i')
            OR regexp_matches(coalesce(text, ''), {S.q(K.MEDIA_PATTERN[4:])}, 'i'))""")
 def filter_content_kind(spark, sf):
-    d = documents(spark, sf)
+    at = (F.col("doc_id") % len(KINDS) + 1).cast("int")
+    around = [F.element_at(F.array(*[F.lit(k[i]) for k in KINDS]), at) for i in (0, 1)]
+    d = documents(spark, sf).withColumn("text", F.concat(around[0], F.coalesce("text", F.lit("")), around[1]))
     return d.where(K.content_kind_ok(F.col("text"))).select("doc_id")
 
 
@@ -179,7 +192,7 @@ def scan_by_extension(spark, sf):
     for ext in ("CSV", "json", "Parquet", "orc"):
         path = f"{base}/data.{ext}"
         W.write_any(df, path)
-        part = R.read_any(spark, path, df.schema).select("doc_id", "label", "is_synth",
+        part = R.read_any(spark, path, df.schema, multi_line=False).select("doc_id", "label", "is_synth",
                                                          F.lit(ext.lower()).alias("fmt"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -193,6 +206,15 @@ def build_model_input(spark, sf):
     return p.select("id", SC.build_model_input(F.col("university"), F.col("text")).alias("input"))
 
 
+@register("model_columns", S.with_(S.LABELED_FX) + f"""
+SELECT doc_id, 'Üniversite: ' || coalesce(source, 'nan') || ' || ' || {S.norm_predict("coalesce(text, 'nan')")} AS input, label AS labels
+FROM labeled_fx""")
+def model_columns(spark, sf):
+    """The two columns a trainer reads: ``input`` and ``labels``."""
+    return labeled_fx(spark, sf).select("doc_id", SC.build_model_input(F.col("source"), F.col("text")).alias("input"),
+                                        F.col("label").alias("labels"))
+
+
 def _lexicon_sql_logits(inp: str) -> str:
     neg = "[" + ", ".join(S.q(t.lower()) for t in FX.NEGATIVE_TERMS if " " not in t) + "]"
     pos = "[" + ", ".join(S.q(t.lower()) for t in FX.POSITIVE_TERMS if " " not in t) + "]"

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.plans.fixtures import landed_pages_fx
+from corpuslens.sources.sinks import scratch_path
+from corpuslens.streaming import pages as PG
 from corpuslens.streaming import streams as ST
 
 QUERIES = {}
@@ -92,3 +95,38 @@ SELECT * FROM o WHERE session_end <= {CLOSED}""")
 def stream_sessions(spark, sf):
     out = ST.run_to_table(spark, ST.sessions(_events_stream(spark, sf)), "sessions")
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+PAGES_LANDED = """
+WITH t AS (SELECT conv_id, turn, turn // 2 AS p, max(turn // 2) OVER (PARTITION BY conv_id) AS last FROM conversations),
+p AS (SELECT DISTINCT conv_id, p, last, (conv_id + p) % 6 = 0 AS twice, p < last AND (conv_id * 5 + p) % 19 = 7 AS forked
+      FROM t WHERE (conv_id * 7 + p * 3) % 23 <> 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS rn FROM p)"""
+
+
+def _fed_pages(spark, sf):
+    """Pages that land out of order, twice, forked or never, taken in micro-batches."""
+    landing = scratch_path(spark, "landing")
+    landed_pages_fx(spark, sf).write.partitionBy("landing").json(landing)
+    feed = PG.PageFeed(spark, scratch_path(spark, "feed"))
+    stream = ST.read_stream(spark, landing, PG.PAGE, "json", max_files=24)
+    feed.drain(stream, scratch_path(spark, "feed-ckpt"))
+    return feed
+
+
+@register("page_chain_posts", PAGES_LANDED + """
+SELECT 'q' || CAST(r.conv_id AS VARCHAR) AS chain, r.p AS page_rank,
+       CAST(row_number() OVER (PARTITION BY r.conv_id, r.p ORDER BY turn) - 1 AS INTEGER) AS pos,
+       CAST(r.conv_id * 1000 + turn AS VARCHAR) AS id, text
+FROM r JOIN t USING (conv_id, p) JOIN conversations USING (conv_id, turn) WHERE rn = r.p""")
+def page_chain_posts(spark, sf):
+    return _fed_pages(spark, sf).posts().select("chain", "page_rank", "pos", "id", "text")
+
+
+@register("page_chain_report", PAGES_LANDED + """
+SELECT 'q' || CAST(conv_id AS VARCHAR) AS chain, count(*) + count(*) FILTER (WHERE twice) + count(*) FILTER (WHERE forked) AS landed,
+       count(*) FILTER (WHERE twice) AS repeats, count(*) FILTER (WHERE forked) AS forks,
+       count(*) FILTER (WHERE p < last AND (conv_id, p + 1) NOT IN (SELECT (conv_id, p) FROM r)) AS gaps,
+       count(*) FILTER (WHERE rn = p) AS emitted, count(*) FILTER (WHERE rn <> p) AS waiting FROM r GROUP BY conv_id""")
+def page_chain_report(spark, sf):
+    return _fed_pages(spark, sf).report()

@@ -71,6 +71,52 @@ def bpe_merges(spark, sf):
                                  "rank int, a string, b string, n long")
 
 
+FIRST = 25  # merges, few enough for SQL to make one after the other
+FIRST_MERGES_SQL = TRAIN_TEXT_SQL + f"""
+, st AS (SELECT n, list_aggregate(list_transform(string_split('▁' || word, ''), lambda c: chr(1) || c || chr(2)), 'string_agg', '') AS s FROM wf),
+bpe(step, a, b, c, n, s) AS (
+  SELECT 0, '', '', 0::BIGINT, n::BIGINT, s FROM st
+  UNION ALL
+  SELECT step + 1, best.a, best.b, best.c, x.n, replace(x.s, chr(1) || best.a || chr(2) || chr(1) || best.b || chr(2),
+                                                        chr(1) || best.a || best.b || chr(2))
+  FROM bpe x, (SELECT p[1] AS a, p[2] AS b, sum(n)::BIGINT AS c FROM (
+                 SELECT n, unnest(list_transform(range(1, len(y)), lambda i: [y[i], y[i + 1]])) AS p
+                 FROM (SELECT n, string_split(substring(s, 2, length(s) - 2), chr(2) || chr(1)) AS y FROM bpe))
+               GROUP BY ALL ORDER BY c DESC, a, b LIMIT 1) best
+  WHERE step < {FIRST}),
+mg AS (SELECT DISTINCT step - 1 AS rank, a, b, c AS n FROM bpe WHERE step > 0)"""
+
+
+@register("bpe_first_merges", FIRST_MERGES_SQL + " SELECT rank, a, b, n FROM mg")
+def bpe_first_merges(spark, sf):
+    merges = SW.learn_merges(reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf))), FIRST)
+    return spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(merges)], "rank int, a string, b string, n long")
+
+
+@register("subword_encode_first", FIRST_MERGES_SQL + f"""
+, base AS (SELECT DISTINCT unnest(string_split('▁' || word, '')) AS t FROM wf),
+vocab AS (SELECT t, row_number() OVER (ORDER BY t) + 1 AS id FROM base
+          UNION ALL SELECT a || b, (SELECT count(*) FROM base) + 2 + rank FROM mg),
+steps AS (SELECT list(chr(1) || a || chr(2) || chr(1) || b || chr(2) ORDER BY rank) AS l FROM mg),
+tx AS (SELECT doc_id, {S.norm_classical('text')} AS text FROM labeled_fx),
+ow AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM tx) WHERE length(word) > 0),
+sg AS (SELECT word, list_reduce(list_prepend(list_aggregate(list_transform(string_split('▁' || word, ''), lambda c: chr(1) || c || chr(2)),
+                                                            'string_agg', ''), l),
+                                lambda acc, p: replace(acc, p, replace(p, chr(2) || chr(1), ''))) AS s FROM ow, steps),
+sy AS (SELECT word, unnest(y) AS t, unnest(range(1, len(y) + 1)) AS i
+       FROM (SELECT word, string_split(substring(s, 2, length(s) - 2), chr(2) || chr(1)) AS y FROM sg)),
+wi AS (SELECT word, list(coalesce(id, 1) ORDER BY i) AS ids FROM sy LEFT JOIN vocab USING (t) GROUP BY word),
+pl AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM (SELECT doc_id, string_split(text, ' ') AS w FROM tx)),
+dn AS (SELECT doc_id, array_to_string(flatten(list(ids ORDER BY spot)), ',') AS ids FROM pl JOIN wi USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(ids, '') AS ids FROM tx LEFT JOIN dn USING (doc_id)""")
+def subword_encode_first(spark, sf):
+    wf = reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf)))
+    merges = SW.learn_merges(wf, FIRST)
+    enc = SW.encode(labeled_fx(spark, sf).select("doc_id", normalize_classical(F.col("text")).alias("text")),
+                    "text", ["doc_id"], merges, SW.vocabulary(wf, merges))
+    return enc.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 MAXLEN = 50
 
 

@@ -106,6 +106,20 @@ def phase_comparison(spark, sf):
     return g.select("phase", "n", "n_pos", F.round(share, 6).alias("pos_share"), F.round("avg_value", 6).alias("avg_value"))
 
 
+@register("phase_overlaps", SX + """
+, u AS (SELECT user_id, event_id, CAST(CAST(ts AS TIMESTAMP) AS DATE) AS day, value FROM events),
+ph AS (SELECT user_id AS phase, min(day) AS s, max(day) + 1 AS e FROM u WHERE event_id % 7 = 0 GROUP BY user_id)
+SELECT phase, count(*) AS n, round(avg(value), 6) AS avg_value FROM u JOIN ph ON u.day >= ph.s AND u.day < ph.e GROUP BY phase""")
+def phase_overlaps(spark, sf):
+    """Volume in each user's own span of days: as many overlapping phases as there are users."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    day = F.to_date("ts")
+    spans = (ev.where(F.col("event_id") % 7 == 0).groupBy(F.col("user_id").alias("phase"))
+             .agg(F.min(day).alias("start"), F.date_add(F.max(day), 1).alias("end")))
+    found = TM.phase_join(ev, spans, "ts")
+    return found.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+
+
 @register("session_bursts", SX + """
 , o AS (SELECT university, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY university ORDER BY ts, event_id) < INTERVAL 30 MINUTE
                                    THEN 0 ELSE 1 END AS brk, event_id FROM sentiment_fx),
@@ -131,8 +145,7 @@ def nearest_event_join(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     left = ev.where(F.col("event_type") == "click")
     right = ev.where(F.col("event_type") == "view")
-    # hour buckets: a hot user is spread over its hours; neighbours in other hours come from the summary
-    return TM.nearest_join(left, right, "user_id", "ts", "event_id", bucket="hour")
+    return TM.nearest_join(left, right, "user_id", "ts", "event_id")
 
 
 LOG_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("epoch", "loss", "eval_loss", "eval_macro_f1")])

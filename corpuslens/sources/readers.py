@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 from corpuslens.sources.schemas import API_PAGE
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType):
+def _csv_reader(spark: SparkSession, schema: T.StructType, multi_line: bool):
+    """``multi_line`` lets records hold line breaks, and makes one task of each file. Without it large files are
+    split, so give False wherever no field holds a line break."""
     return (spark.read.schema(schema)
             .option("header", True)
-            .option("multiLine", True)
+            .option("multiLine", multi_line)
             .option("escape", '"')
             .option("mode", "PERMISSIVE"))
 
@@ -26,17 +28,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_csv_all_string(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_csv_all_string(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
     """Every column as string (ids never become floats); a missing path gives an empty frame."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return _csv_reader(spark, schema).csv(path)
+    return _csv_reader(spark, schema, multi_line).csv(path)
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """Typed CSV scan with an explicit schema (no inference pass over the data)."""
-    return _csv_reader(spark, schema).csv(path)
+    return _csv_reader(spark, schema, multi_line).csv(path)
 
 
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet", ".orc": "orc"}
@@ -51,12 +53,12 @@ def format_of(path: str) -> str:
     return FORMATS[ext]
 
 
-def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Source dispatch on the (case-insensitive) file extension."""
     fmt = format_of(path)
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)

@@ -189,6 +189,77 @@ def test_registered_vocabulary_size():
     assert subwords.VOCAB_SIZE == 8_000
 
 
+def test_hop_to_the_root_of_a_giant_component_is_even(spark):
+    """A component with a third of all vertices: its root is looked up from many tasks, alike."""
+    labels = spark.range(3000).select("id", F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("root"))
+    jumps = labels.select(F.col("id").alias("root"), F.col("root").alias("root2"))
+    hop = C.hop_over(labels, jumps, 100, 16)
+    assert {r.id: r.root2 for r in hop.collect()} == {i: 0 if i < 1000 else i for i in range(3000)}
+    sizes = hop.groupBy(F.when(F.col("root") == 0, F.pmod("id", F.lit(16))).alias("k")).count().where("k is not null").collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) <= 63
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 900)] + [(1000 + i, 1001 + i) for i in range(20)], "src long, dst long")
+    v = spark.range(1200).select("id")
+    got = {r.id: r.root for r in C.connected_components(v, edges, hot_rows=50, salts=8).collect()}
+    assert got == {i: 0 if i < 900 else 1000 if 1000 <= i <= 1020 else i for i in range(1200)}
+
+
+def test_phase_join_equals_a_range_join(spark):
+    import datetime as dt
+    rnd = random.Random(9)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    events = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randint(-400, 6000))) for i in range(400)] + [(900, None)]
+    phases = [(p, day(s := rnd.randint(-30, 250)), day(s + rnd.choice([0, 1, 5, 40, 300, -3]))) for p in range(150)] + [(999, day(0), None)]
+    e = spark.createDataFrame(events, "id long, ts timestamp")
+    p = spark.createDataFrame(phases, "phase long, start date, `end` date")
+    want = sorted((i, q) for i, t in events for q, s, x in phases if t and x and s <= t.date() < x)
+    for options in ({}, {"cell_days": 1, "hot_rows": 3}, {"cell_days": 1000, "hot_rows": 50}):
+        out = TM.phase_join(e, p, "ts", **options)
+        assert out.columns == ["id", "ts", "phase"] and sorted((r.id, r.phase) for r in out.collect()) == want
+        assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    assert len(want) > 1000
+
+
+def test_nearest_join_of_a_hot_key_spreads_over_ranges(spark):
+    """One key holds most rows, all within one hour and many at one instant."""
+    rnd = random.Random(12)
+    rows = [(i, 1 if i % 3 else rnd.randint(0, 5), 1_700_000_000 + rnd.choice([0, 0, rnd.randint(0, 3599)]), rnd.choice("LR")) for i in range(900)]
+    rows += [(2000, None, 1_700_000_000, "L"), (2001, 1, None, "L"), (2002, 1, None, "R"), (2003, 77, 1_700_000_000, "L")]
+    df = spark.createDataFrame(rows, "id long, k long, s long, side string").withColumn("ts", F.timestamp_seconds("s"))
+    left, right = df.where("side = 'L'"), df.where("side = 'R'")
+    for n in (1, 16):
+        out = {r.left_id: (r.right_id, r.gap_us) for r in TM.nearest_join(left, right, "k", "ts", "id", num_partitions=n).collect()}
+        for i, k, t, side in rows:
+            if side == "L":
+                near = min(((abs(t - u), u, j) for j, q, u, x in rows if x == "R" and q == k and None not in (t, u, q)), default=None)
+                assert out[i] == ((near[2], (t - near[1]) * 10**6) if near else (None, None))
+    sizes = [r["count"] for r in TM._in_ranges(left, right, "k", "ts", "id", 16).groupBy("_pid").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 150
+
+
+def test_sweep_fails_on_rows_it_cannot_count(spark):
+    import pytest
+    good = spark.createDataFrame([(0.2, 0), (0.8, 1)], "p double, y int")
+    assert E.threshold_sweep(good, "p", "y").count() == 200
+    for row in ((None, 1), (float("nan"), 0), (0.4, None), (0.4, 2)):
+        with pytest.raises(Exception, match="is no score|neither 0 nor 1"):
+            E.threshold_sweep(good.union(spark.createDataFrame([row], "p double, y int")), "p", "y").collect()
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    from corpuslens.sources.readers import read_csv_all_string
+    from corpuslens.sources.sinks import write_csv
+    path = str(tmp_path / "t.csv")
+    write_csv(spark.range(60_000).select(F.col("id").cast("string").alias("a"), F.lit('x "y", z').alias("b")).coalesce(1), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        parts = {m: read_csv_all_string(spark, path, ["a", "b"], multi_line=m) for m in (True, False)}
+        assert parts[True].rdd.getNumPartitions() == 1 and parts[False].rdd.getNumPartitions() > 3
+        assert parts[True].exceptAll(parts[False]).isEmpty() and parts[False].where("b = 'x \"y\", z'").count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_star_edges_salted_equals_plain(spark):
     from corpuslens.operators import minhash as M
     rnd = random.Random(4)
