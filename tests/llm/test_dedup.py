@@ -185,6 +185,7 @@ def common_base(seed, n, words=160, edits=24):
 
 def test_near_components_of_a_hot_passage(docs_of, monkeypatch):
     monkeypatch.setattr(near_dedup, "HOT", 20)  # buckets of more rows are dealt over sub-keys
+    monkeypatch.setattr(near_dedup, "PART", 20)
     rows = common_base(1, 120) + common_base(2, 60, edits=40) + [(50_000 + i, "the very same text of a group of copies") for i in range(80)]
     want = brute_components(rows)
     assert 30 < len({r[2] for r in want}) < len(rows) - 60
@@ -206,3 +207,38 @@ def test_signature_columns_count_differing_minima(spark):
     df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
     found = {r.i: r.n for r in df.select("i", near_dedup._disagree("x", "y").alias("n")).collect()}
     assert found == {i: int((a[i] != b[i]).sum()) for i in range(40)}
+
+
+def exchanged(df):
+    """The columns that each shuffle of a plan carries."""
+    import re
+    plan = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    found = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    return [{c.split("#")[0].strip() for c in line.split(",")} for line in found]
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_exact_dedup_with_and_without_broadcast(docs_of, small_docs, monkeypatch, small):
+    monkeypatch.setattr(exact_dedup, "SMALL_KEYS", small)
+    rows = hard_rows() + with_copies(small_docs) + [(3000 + i, "One text of MANY copies") for i in range(300)]
+    docs = docs_of(rows)
+    for digests in (True, False):
+        out = exact_dedup.exact_groups(docs, all_digests=digests)
+        assert got(out, "doc_id", "keep_id", "group_size", "kept") == [r[:4] for r in brute_exact(rows)]
+    kept = exact_dedup.exact_dedup(docs)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").translate(LOWER)].append(i)
+    want = sorted([max((x for x in ids if x is not None), default=None) for ids in groups.values()], key=repr)
+    found = sorted([r.doc_id for r in kept.collect()], key=repr)
+    assert found == want
+
+
+def test_no_text_is_shuffled_to_find_exact_copies(spark, monkeypatch):
+    """Every exchange of the plan is above a projection without the text column."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for small in (1_000_000, 0):
+        monkeypatch.setattr(exact_dedup, "SMALL_KEYS", small)
+        for digests in (True, False):
+            shuffles = exchanged(exact_dedup.exact_groups(docs, all_digests=digests))
+            assert shuffles and not any(c & {"text", "_text"} for c in shuffles)
