@@ -93,8 +93,13 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, percent: int, radius
     starts = runs.where("r.hi - r.lo <= reach").select(
         "key", "n_words", F.explode(F.sequence(F.greatest(F.col("r.hi") - F.col("reach"), F.lit(0)),
                                                F.col("r.lo"))).alias("start"))
-    leaking = starts.select("key").distinct()
-    body = stored(grams.join(leaking, "key", "left_semi").dropDuplicates(["key"]), "bodies")
+    starts = stored(starts, "starts")
+    leaking = stored(starts.select("key").distinct(), "leaking")
+    # shingles are made again for the documents that may leak only; counted few, their keys are broadcast and no
+    # other text is shuffled
+    leaking = F.broadcast(leaking) if leaking.count() <= SMALL_ROWS else leaking
+    bodies = docs.join(leaking, "key", "left_semi").select("key", _words(F.col("text")).alias("w"))
+    body = stored(bodies.select("key", _grams(F.col("w"), width).alias("grams")).dropDuplicates(["key"]), "bodies")
     # the last window ends with the document
     laid = (starts.join(body, "key").withColumn("start", F.greatest(
         F.least("start", F.size("grams") + (width - 1) - F.col("n_words")), F.lit(0)))
