@@ -13,7 +13,7 @@ stay even where they recur; other recurring containers go. Without either, all r
 of the body go.
 
 Null and empty pages give an empty text. Unclosed, misnested and cut off markup is read as browsers do
-in the cases that occur in practice; nothing is too long or too deep. Rows that repeat an id are
+in the cases that occur in practice; nothing is too long or too deep, the work is in proportion to the page. Rows that repeat an id are
 extracted each on its own, and count once each.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import ascii_lower, by_bytes, in_python, stored
 
-SHARE, MIN_PAGES = 0.5, 5
+SHARE, MIN_PAGES = 0.1, 4
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>"""
                    r"""|</?[a-zA-Z][^>]*(?:>|\Z)""", re.DOTALL)
@@ -47,6 +47,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("article section main div body html td th table ul ol dl blockquote aside nav form figure".split())
 
+ENDS_INSIDE = frozenset("p li h1 h2 h3 h4 h5 h6".split())  # their end tags stop at a barrier, as those of INLINE do
+
 NEVER = frozenset("""head script style noscript template iframe svg canvas object nav footer aside form button select
 textarea input dialog menu title""".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu".split())
@@ -64,8 +66,8 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            parts = set(re.split(r"[\s_-]+", value))
-            if parts & NEVER_NAMES or not in_article and "header" in parts:
+            words = [set(re.split("[_-]+", word)) for word in value.split()]
+            if any(w <= NEVER_NAMES if in_article else w & NEVER_NAMES or "header" in w for w in words):
                 return True
         elif name == "role" and value in NEVER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -88,6 +90,7 @@ class Page:
         self.regions: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self.subtrees: list[tuple[int, int, int, bool]] = []
         self._open: list[list] = []  # tag, first piece, digest, own text seen, boilerplate
+        self._places: dict[str, list[int]] = {}  # of the open elements, by tag
         self._dropped = 0
         self._articles = 0
         self._read(source)
@@ -127,23 +130,27 @@ class Page:
             self._close_to(opener)
         self._break(tag)
         bad = _boilerplate(tag, attributes, self._articles > 0)
+        self._places.setdefault(tag, []).append(len(self._open))
         self._open.append([tag, len(self.pieces), hashlib.blake2b(tag.encode(), digest_size=8), False, bad])
         self._dropped += bad
         self._articles += tag in self.regions
 
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags, -1 if there is none."""
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=-1)
+
     def _implied(self, tag: str) -> Iterator[int]:
         """Places of open elements that a start tag closes: the last of its kind, and an open paragraph."""
-        for closed in ([CLOSES[tag]] if tag in CLOSES else []) + ([{"p"}] if tag not in INLINE else []):
-            for at in range(len(self._open) - 1, -1, -1):
-                if self._open[at][0] in closed:
-                    yield at
-                    break
-                if self._open[at][0] in BARRIER and not (tag in CLOSES and self._open[at][0] in CLOSES[tag]):
-                    break
+        own = CLOSES.get(tag, frozenset())
+        for closed in ([own] if own else []) + ([{"p"}] if tag not in INLINE else []):
+            at = self._last(closed)
+            if at > self._last(BARRIER - closed - own):
+                yield at
 
     def _close_to(self, at: int) -> None:
         while len(self._open) > at:
             tag, first, digest, text, bad = self._open.pop()
+            self._places[tag].pop()
             self._dropped -= bad
             self._articles -= tag in self.regions
             if tag in self.regions and not self._dropped:
@@ -159,16 +166,14 @@ class Page:
             self._break(tag)
 
     def _end(self, tag: str) -> None:
-        for at in range(len(self._open) - 1, -1, -1):
-            name = self._open[at][0]
-            if name == tag:
-                self._close_to(at)
-                return
-            if name in BARRIER and (tag in INLINE or tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")):
-                break
-            if name in ("article", "main", "body") and tag not in ("html", "body", "main"):
-                break
-        self._break(tag)
+        stops = BARRIER if tag in INLINE or tag in ENDS_INSIDE else frozenset()
+        if tag not in ("html", "body", "main"):
+            stops = stops | {"article", "main", "body"}
+        at = self._last([tag])
+        if at > self._last(stops - {tag}):
+            self._close_to(at)
+        else:
+            self._break(tag)
 
     def _read(self, source: str) -> None:
         at = 0

@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -214,6 +215,143 @@ def test_site_templates_go_by_host(spark):
     assert out[3] == "own words 3" and out[24] == "Follow us page 4" and out[52] == "Shared line. n2"
 
 
+def test_blocks_on_some_pages_and_on_small_hosts_go(spark):
+    rows = [(i, "http://ten.site/", f"<body>{'<div>Spring sale banner</div>' if i < 4 else ''}<div>own words {i}</div></body>") for i in range(10)]
+    rows += [(20 + i, "http://four.site/", f"<body><div>Site banner</div><article><p>words {i}</p></article><div>x{i}</div></body>") for i in range(4)]
+    rows += [(30 + i, "http://plain.site/", f"<body><div>Site banner</div><div>words {i}</div></body>") for i in range(4)]
+    rows += [(40 + i, "http://three.site/", f"<body><div>Only thrice</div><div>words {i}</div></body>") for i in range(3)]
+    out = {r.page_id: r.text for r in html_extract.main_text(page_table(spark, rows)).collect()}
+    assert out[0] == "own words 0" and out[9] == "own words 9" and out[21] == "words 1" and out[32] == "words 2"
+    assert out[40] == "Only thrice words 0"
+    plain = html_extract.extract(page_table(spark, rows), min_pages=100)  # the counting off
+    assert {r.page_id: r.text for r in plain.collect()}[0] == "Spring sale banner own words 0"
+
+
+def test_names_inside_an_article_must_be_whole(spark):
+    inner = ("<div class='related-history'>One.</div><section id='notice-of-war'>Two.</section><div class='ad'>A</div>"
+             "<div class='story cookie-notice'>B</div><section id=comments>C</section><p class='menu_card_design'>Three.</p>")
+    rows = [(1, "http://a.b/", f"<article>{inner}</article>"), (2, "http://c.d/", f"<body>{inner}</body>")]
+    out = {r.page_id: r.text for r in html_extract.main_text(page_table(spark, rows)).collect()}
+    assert out == {1: "One. Two. Three.", 2: ""}
+
+
+@pytest.mark.parametrize("markup", ["<x>", "<b></i>", "<div></p>", "<p><b>", "<li>", "<td><p>", "<article>"])
+def test_deep_pages_take_time_in_proportion(markup):
+    import time
+    def seconds(n):
+        begin = time.process_time()
+        html_extract.Page("<body>" + markup * n + "deep")
+        return time.process_time() - begin
+    seconds(500)
+    assert seconds(40_000) < 12 * seconds(8_000) + 0.5  # in proportion is 5 times, its square 25
+
+
+class Dom(HTMLParser):
+    """Plain reader of well-formed pages: nested lists [tag, attributes, child...]."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.root = ["root", {}]
+        self.stack = [self.root]
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs)]
+        self.stack[-1].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1].append(data)
+
+
+def dom_text(source, templates=frozenset()):
+    """(text, names of its subtrees that may be template), by recursion over the tree."""
+    may, texts = set(), []
+
+    def name(node):  # tags and text; elements without text do not count
+        if isinstance(node, str):
+            return " ".join(node.split()) or None
+        if node[0] in ("nav", "footer") or node[1].get("class") == "ad":
+            return None
+        inner = [x for x in map(name, node[2:]) if x]
+        return (node[0], *inner) if inner else None
+
+    def walk(node, keep, inside):
+        if isinstance(node, str):
+            texts.append(node if keep else "")
+            return
+        own = name(node)
+        if own is None:
+            texts.append(" ")
+            return
+        tag = node[0]
+        flow = tag in html_extract.FLOW or tag in html_extract.INLINE
+        if keep and tag not in ("html", "body", "article", "root") and not (inside and flow) and not holds(node):
+            may.add(own)
+            keep = own not in templates
+        texts.append("" if tag in html_extract.INLINE else " ")
+        for child in node[2:]:
+            walk(child, keep, inside or tag == "article")
+        texts.append("" if tag in html_extract.INLINE else " ")
+
+    def holds(node):
+        return not isinstance(node, str) and (node[0] == "article" or any(holds(x) for x in node[2:]))
+
+    def starts(node):
+        if isinstance(node, str):
+            return []
+        return [node] if node[0] == "article" else [y for x in node[2:] for y in starts(x)]
+
+    root = Dom(source).root
+    for top in starts(root) or [root]:
+        walk(top, True, False)
+        texts.append(" ")
+    return " ".join("".join(texts).split()), may
+
+
+def random_page(rnd, shared):
+    def tree(depth, inside):
+        if depth == 0 or rnd.random() < 0.25:
+            return f"w{rnd.randint(0, 10**6)}" if rnd.random() < 0.6 else rnd.choice(shared)
+        tag = rnd.choice(["div", "section", "div", "span", "b", "h2"])
+        body = "".join(tree(depth - 1, inside) + rnd.choice(["", " "]) for _ in range(rnd.randint(1, 3)))
+        if rnd.random() < 0.3:
+            body = rnd.choice(shared)
+        extra = ' class="ad"' if rnd.random() < 0.05 else ""
+        return f"<{tag}{extra}>{body}</{tag}>"
+    parts = [tree(3, False) for _ in range(rnd.randint(1, 4))]
+    if rnd.random() < 0.6:
+        parts.insert(rnd.randint(0, len(parts)), f"<article>{''.join(tree(3, True) for _ in range(3))}</article>")
+    return f"<html><body><nav>Menu</nav>{''.join(parts)}<footer>foot</footer></body></html>"
+
+
+def test_templates_equal_a_plain_tree_reader(spark):
+    rnd = random.Random(11)
+    rows = []
+    for host, n in enumerate((1, 4, 9, 60)):
+        shared = [f"shared {host} {i}" for i in range(6)]
+        rows += [(host * 1000 + i, f"http://h{host}.x/{i}", random_page(rnd, shared)) for i in range(n)]
+        rows += [(host * 1000 + 500 + i, f"http://h{host}.x/{i}", rows[-1][2]) for i in range(3)]  # copies count once
+    want, without = {}, {}
+    for host in range(4):
+        own = [(i, h) for i, u, h in rows if f"//h{host}." in u]
+        seen = defaultdict(set)
+        bodies = set()
+        for _, h in own:
+            text, may = dom_text(h)
+            bodies.add(text)
+            for m in may:
+                seen[m].add(text)
+        gone = {m for m, b in seen.items() if len(b) >= html_extract.MIN_PAGES and len(b) >= html_extract.SHARE * len(bodies)}
+        for i, h in own:
+            want[i], without[i] = dom_text(h, gone)[0], dom_text(h)[0]
+    out = {r.page_id: r.text for r in html_extract.main_text(page_table(spark, rows)).collect()}
+    assert out == want and sum(want[i] != without[i] for i in want) > 20
+
+
 def test_copies_of_a_page_are_no_template(spark):
     """Six copies among eight pages of a host, with and without an article, and with other text beside it."""
     def page(text, beside="", tag="article"):
