@@ -47,7 +47,8 @@ SKETCH = 16  # longs of 64 bits
 SIGNS = BANDS * ROWS // 8  # longs of eight minima, one byte of each
 LOST = 1e-9  # bound of the chance that signature verification turns down a pair at the threshold
 EXTRA_HUBS = 16
-HOT = 256  # rows of a bucket that one task takes
+HOT = 256  # rows of a bucket from which its joins with single rows are dealt over sub-keys
+PART = 1024  # rows of a bucket whose pairs with all of the bucket one task forms
 
 INFO = ("n", "sketch", "signs")  # what the tests before the exact one need of a vertex
 
@@ -111,8 +112,9 @@ def _possible(a: str, b: str, percent: int) -> Column:
     in size by a factor t at most, and in at most (1 - t) / (1 + t) of the sum of their sizes."""
     n_a, n_b = f"n{a}", f"n{b}"
     sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
-    signed = _disagree(f"signs{a}", f"signs{b}") <= BANDS * ROWS - least_agreement(percent)
-    return sizes & signed & (_apart(f"sketch{a}", f"sketch{b}") * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent))
+    close = _apart(f"sketch{a}", f"sketch{b}") * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent)
+    # the cheaper test first; the next is evaluated only where it holds
+    return sizes & close & (_disagree(f"signs{a}", f"signs{b}") <= BANDS * ROWS - least_agreement(percent))
 
 
 def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -196,10 +198,10 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components in a bucket that can reach the threshold; each has a vertex outside the
-    bucket's largest component. Those vertices are dealt over sub-keys of about ``HOT`` rows."""
+    bucket's largest component. Those vertices are dealt over sub-keys of about ``PART`` rows."""
     sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("_big"),
-                                        F.ceil(F.sum("m") / HOT).cast("long").alias("_parts"))
+                                        F.ceil(F.sum("m") / PART).cast("long").alias("_parts"))
     placed = join_back(rows, largest, ["band"], F.xxhash64("id")).withColumn("_out", F.col("root") != F.col("_big"))
     part = F.pmod(F.xxhash64("id"), F.col("_parts"))
     a = _named(placed.where("_out").withColumn("part", part), "_a", "id", "root", plain=["band", "part"])
