@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -36,9 +35,7 @@ from corpuslens.llm.common import SALTS, by_bytes, in_python, stored
 from corpuslens.session import ship_package
 
 UNDECIDED = "und"
-#: characters that count as part of a word in ``\w`` and are neither letters nor decimal digits, such as superscripts
-NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERIC}]+")  # runs of letters
+WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 20_000, 256
 ADD = 0.5  # added to every count
@@ -46,6 +43,17 @@ BACKOFF = math.log(0.4)
 CACHE_WORDS = 200_000  # unseen words a task remembers before it starts afresh
 
 
+def letter_runs(text: object) -> list[str]:
+    """Runs of letters of a text, lower-cased; null has none."""
+    if not isinstance(text, str):
+        return []
+    words = WORD.findall(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    # numbers that are no decimal digits, such as a superscript two, pass for letters in the pattern
+    return [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
+
+
 def word_counts(labelled: DataFrame) -> DataFrame:
     """``lang, word, n`` over all rows of ``labelled(text, lang)``; counted per batch before the shuffle."""
 
@@ -54,8 +62,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for lang, texts in frame.groupby("lang", sort=False)["text"]:
                 seen: Counter[str] = Counter()
                 for text in texts:
-                    if isinstance(text, str):
-                        seen.update(WORD.findall(text.lower()))
+                    seen.update(letter_runs(text))
                 yield pd.DataFrame({"lang": lang, "word": list(seen.keys()), "n": list(seen.values())})
 
     return (in_python(labelled.select("text", "lang"), run, "lang string, word string, n long")
@@ -150,7 +157,7 @@ class Model:
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         """Languages and posteriors of a batch of texts."""
-        words = [WORD.findall(t.lower()) if isinstance(t, str) and self.langs else [] for t in texts]
+        words = [letter_runs(t) if self.langs else [] for t in texts]
         flat = list(chain.from_iterable(words))
         if self.row is None or len(self.row) > self.known + CACHE_WORDS:
             self._restart()
