@@ -97,6 +97,26 @@ def stream_sessions(spark, sf):
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+@register("stream_sessions_sliced", f"""
+WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE ts IS NOT NULL),
+f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh
+      FROM e),
+g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f),
+o AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n,
+             time_bucket(INTERVAL 6 HOUR, max(ts), TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS border
+      FROM g GROUP BY user_id, s)
+SELECT user_id, session_start, session_end, n FROM o
+WHERE CASE WHEN session_end < border THEN session_end <= {CLOSED} ELSE border + INTERVAL 7 HOUR <= {CLOSED} END""")
+def stream_sessions_sliced(spark, sf):
+    """The sessions of ``stream_sessions`` with a hot key's state dealt by time; those near an open border wait longer."""
+    parts = ST.run_to_table(spark, ST.session_slices(_events_stream(spark, sf)), "session-parts")
+    last = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t")).first().t
+    # the watermark of a drained stream: the latest time, in whole milliseconds, less the delay
+    whole = ST.join_slices(parts, (last // 1000) * 1000 - 86_400_000_000)
+    return whole.select(F.col("key").alias("user_id"), F.timestamp_micros("first").alias("session_start"),
+                        F.timestamp_micros(F.col("last") + 3_600_000_000).alias("session_end"), "n")
+
+
 PAGES_LANDED = """
 WITH t AS (SELECT conv_id, turn, turn // 2 AS p, max(turn // 2) OVER (PARTITION BY conv_id) AS last FROM conversations),
 p AS (SELECT DISTINCT conv_id, p, last, (conv_id + p) % 6 = 0 AS twice, p < last AND (conv_id * 5 + p) % 19 = 7 AS forked

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.sources.sinks import scratch_path
+from corpuslens.streaming.pages import link_runs
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -91,6 +92,44 @@ def sliding(stream: DataFrame, ts: str = "ts", size: str = "7 days", slide: str
 def sessions(stream: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "1 hour",
              delay: str = "1 day") -> DataFrame:
     """Sessions of a key: rows at most ``gap`` apart. A session is emitted once, when the watermark
-    passes its end (last row plus ``gap``); state holds the open sessions only."""
+    passes its end (last row plus ``gap``); state holds the open sessions only. One key's state is held by one
+    task; ``session_slices`` deals it by time."""
     return (with_event_time(stream, ts, delay).groupBy(key, F.session_window(ts, gap).alias("w"))
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def session_slices(stream: DataFrame, key: str = "user_id", ts: str = "ts", gap_seconds: int = 3600,
+                   slice_seconds: int = 6 * 3600, delay: str = "1 day") -> DataFrame:
+    """Parts of sessions, ``key, slice, first, last`` (microseconds) and ``n``: sessions cut at the borders of time
+    slices. State is kept by (key, slice), so that a key with a third of all rows is held by as many tasks as it
+    has slices in the watermark's delay; ``join_slices`` makes whole sessions of the parts."""
+    if gap_seconds > slice_seconds:
+        raise ValueError("a slice must be as long as the gap at least")
+    at = F.unix_micros(F.col(ts))
+    timed = with_event_time(stream, ts, delay).withColumn("_slice", F.floor(at / F.lit(slice_seconds * 1_000_000)).cast("long"))
+    part = timed.groupBy(key, "_slice", F.session_window(ts, f"{gap_seconds} seconds").alias("w")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    return part.select(F.col(key).alias("key"), F.col("_slice").alias("slice"), "first", "last", "n")
+
+
+def join_slices(parts: DataFrame, watermark: int, gap_seconds: int = 3600, slice_seconds: int = 6 * 3600) -> DataFrame:
+    """Whole sessions, ``key, first, last, n``, of the parts that ``session_slices`` has emitted up to a watermark, in
+    microseconds. A session whose end is so near a border that a part still open might go on with it waits.
+
+    Parts that touch across a border are linked by an equality join on (key, slice); pointer doubling over the links
+    finds the parts of a session, so no task sorts a key's sessions."""
+    gap, size = gap_seconds * 1_000_000, slice_seconds * 1_000_000
+    name = F.concat_ws(":", F.col("slice").cast("string"), F.col("first").cast("string"))
+    p = parts.select(F.col("key").cast("string").alias("chain"), "key", name.alias("cursor"), "slice", "first", "last", "n")
+    onward = p.where(F.col("last") + gap >= (F.col("slice") + 1) * size)
+    after = p.select("chain", (F.col("slice") - 1).alias("slice"), F.col("first").alias("_first"), F.col("cursor").alias("next_cursor"))
+    links = onward.join(after, ["chain", "slice"]).where(F.col("_first") - F.col("last") <= gap).select("chain", "cursor", "next_cursor")
+    ends = links.select("chain", F.col("next_cursor").alias("cursor"))
+    touched = links.select("chain", "cursor").unionByName(ends).distinct().join(links, ["chain", "cursor"], "left")
+    runs = link_runs(touched).select("chain", "cursor", "head")
+    whole = (p.join(runs, ["chain", "cursor"], "left").withColumn("head", F.coalesce("head", "cursor"))
+             .groupBy("key", "head").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"),
+                                         F.max("slice").alias("slice")))
+    border = (F.col("slice") + 1) * size
+    closed = F.when(F.col("last") + gap < border, F.col("last") + gap <= watermark).otherwise(border + size + gap <= watermark)
+    return whole.where(closed).select("key", "first", "last", "n")

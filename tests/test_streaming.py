@@ -70,3 +70,45 @@ def test_tumbling_append_emits_closed_windows_once(spark):
         stream = ST.read_stream(spark, land, max_files=1)
         got = ST.run_to_table(spark, ST.tumbling(stream, delay="1 day"), "t_append", out=f"{out}/t", checkpoint=ck)
     assert sorted(r.n for r in got.collect()) == [1, 3]
+
+
+def test_sliced_sessions_equal_whole_ones_over_restarts(spark):
+    """A hot key and others, drained in three starts: parts joined across slices are the sessions of all rows, and
+    a key's state lies in many partitions."""
+    import random
+    rnd = random.Random(8)
+    t0 = dt.datetime(2024, 1, 10)
+    land, out, ck = (tempfile.mkdtemp(prefix=f"corpuslens-{n}-") for n in ("land", "out", "ck"))
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = []
+    for day in range(3):
+        times = sorted(rnd.uniform(day * 24, day * 24 + 24) for _ in range(120))
+        rows.append([(len(rows) * 1000 + i, t0 + dt.timedelta(hours=h), 1 if i % 3 else 2 + i % 5, "view", 1.0, "{}") for i, h in enumerate(times)])
+    rows[2].append((9999, t0 + dt.timedelta(hours=200), 99, "view", 1.0, "{}"))  # closes all others
+    for lot in rows:
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(land)
+        parts = ST.run_to_table(spark, ST.session_slices(ST.read_stream(spark, land, max_files=1)), "parts", out=f"{out}/t", checkpoint=ck)
+    micros = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000 + 0.5)
+    got = {(r.key, r.first, r.last, r.n) for r in ST.join_slices(parts, micros(t0 + dt.timedelta(hours=200 - 24))).collect()}
+    want = set()
+    for user in range(1, 10):
+        own = sorted(micros(r[1]) for lot in rows for r in lot if r[2] == user)
+        first = before = None
+        n = 0
+        for t in [*own, None]:
+            if before is not None and (t is None or t - before > 3_600_000_000):
+                want.add((user, first, before, n))
+                first, n = None, 0
+            first = t if first is None else first
+            before, n = t, n + 1
+    assert got == want and len(want) > 20
+    assert parts.where("key = 1").select("slice").distinct().count() >= 10
+
+
+def test_sessions_near_an_open_border_wait(spark):
+    hour = 3_600_000_000
+    parts = spark.createDataFrame([(1, 0, 0, 5 * hour + 1, 4), (2, 0, 0, hour, 2), (3, 0, 0, 6 * hour - 1, 1), (3, 1, 6 * hour, 7 * hour, 5)],
+                                  "key long, slice long, first long, last long, n long")
+    found = {(r.key, r.last, r.n) for r in ST.join_slices(parts, 9 * hour).collect()}
+    assert found == {(2, hour, 2), (3, 7 * hour, 6)}
+    assert {r.key for r in ST.join_slices(parts, 13 * hour).collect()} == {1, 2, 3}
