@@ -25,7 +25,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MAX_RULES = 1000  # rules become one expression; a longer list belongs into a table
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
-DAMPING, TOLERANCE, RATIO = 0.7, 1e-4, 2.0
+DAMPING, TOLERANCE, RATIO = 0.7, 0.01, 2.0
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -59,23 +59,27 @@ def page_rank(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """``host, rank``: personalised PageRank from ``seeds(host, seed)``, whose seeds sum to one.
 
     Rank that reaches a host without links goes back to the seeds. Each round is written to the
-    shared folder; rounds end when the total change is under ``tolerance``, which damping forces.
+    shared folder; rounds end when no host's rank has changed by more than ``tolerance`` of itself, so the hosts of
+    little rank are as settled as the others. Damping forces that once the seeds' rank has come everywhere it can.
     """
     out = links.groupBy("src").agg(F.sum("weight").alias("_out"))
     share = stored(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "share")
     rank = stored(seeds.select("host", F.col("seed").cast("double").alias("rank")), "rank")
-    change, start = 1.0, rank
-    while change >= tolerance:
+    start = rank
+    while True:
         moved = (rank.join(share, rank["host"] == share["src"]).groupBy("dst")
                  .agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("got")))
         back = 1.0 - (moved.agg(F.sum("got").alias("s")).first().s or 0.0)
         fresh = (start.select("host", (F.col("rank") * back).alias("got"))
                  .unionByName(moved.select(F.col("dst").alias("host"), "got"))
                  .groupBy("host").agg(F.sum("got").alias("rank")))
-        both = fresh.unionByName(rank.select("host", (-F.col("rank")).alias("rank")))
         fresh = stored(fresh, "rank")
-        change = both.groupBy("host").agg(F.sum("rank").alias("d")).agg(F.sum(F.abs("d")).alias("c")).first().c or 0.0
+        both = fresh.select("host", F.col("rank").alias("new"), F.col("rank").alias("d")).unionByName(
+            rank.select("host", F.lit(0.0).alias("new"), (-F.col("rank")).alias("d")))
+        moved = both.groupBy("host").agg(F.sum("new").alias("new"), F.sum("d").alias("d"))
         rank = fresh
+        if moved.where(F.abs("d") > F.col("new") * tolerance).isEmpty():
+            break
     return rank
 
 
