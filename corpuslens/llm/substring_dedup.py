@@ -30,10 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_bytes, by_bytes, in_python, stored, with_group_stats
+from corpuslens.llm.common import SALTS, as_bytes, by_bytes, in_python, stored, with_group_stats
 from corpuslens.llm.tokens import U64, mix, numbers, window_hashes, word_hashes
+from corpuslens.operators.joins import salted_join
 
 WIDTH = 50
+HOT = 256  # rows of one hash from which its joins are dealt over sub-keys
 
 
 def window_anchors(words: np.ndarray, width: int) -> np.ndarray:
@@ -136,28 +138,38 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     anchored = (known.select("id", "t", F.explode("anchors").alias("anchor"))
                 .join(reps.select("id", "t"), ["id", "t"], "left_semi").distinct())
-    shared = (anchored.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-              .where("lo < hi").select("anchor"))
-    wanted = anchored.join(shared, "anchor").groupBy("id", "t").agg(F.collect_list("anchor").alias("anchors"))
+    anchored = stored(anchored, "anchors")
+    shared = (anchored.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m"))
+              .where("lo < hi").select("anchor", "m"))
+    hot = shared.where(F.col("m") > HOT).select("anchor")
+    wanted = salted_join(anchored, shared.select("anchor"), ["anchor"], hot, SALTS, F.xxhash64("id", "t"))
+    wanted = wanted.groupBy("id", "t").agg(F.collect_list("anchor").alias("anchors"))
     texts = stored(source.join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]), "anchored")
 
     windows = stored(shared_windows(texts, width), "windows")
-    first = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
-    starts = windows.join(first, "h").where("lo < id").groupBy("id", "t").agg(F.collect_set("pos").alias("starts"))
+    first = (windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m"))
+             .where("lo < hi").select("h", "lo", "m"))
+    hot = first.where(F.col("m") > HOT).select("h")
+    later = salted_join(windows, first.select("h", "lo"), ["h"], hot, SALTS, F.xxhash64("id", "t")).where("lo < id")
+    starts = later.groupBy("id", "t").agg(F.collect_set("pos").alias("starts"))
     cut = cut_words(texts.select("id", "t", "text").join(starts, ["id", "t"]), width)
 
-    # the row of the smallest id is cut by its windows; a copy of it loses all words, if it has a window
-    found = (same.join(reps.select(F.col("id").alias("rep"), "k1", "k2", F.col("t").alias("rep_t")), ["rep", "k1", "k2"])
-             .join(cut, ["rep", "rep_t"], "left"))
-    whole = (F.col("id") != F.col("rep")) & (F.col("n_words") >= width)
-    part = (F.col("id") == F.col("rep")) & F.col("n_removed").isNotNull()
-    found = found.select(
-        "id", "n_words",
-        F.when(whole, F.col("n_words")).when(part, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).when(part, F.col("kept_sha256"))
-        .otherwise(F.col("sha")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).when(part, F.col("kept_text")).alias("kept_text"),
-        F.when(whole, F.array(F.array(F.lit(0), F.col("n_words").cast("int")))).when(part, F.col("spans")).alias("spans"))
+    # the row of the smallest id is cut by its windows; a copy of it loses all words, if it has a window, and needs no
+    # join, so a group of copies is in no one's way
+    best = reps.select("id", "k1", "k2", F.col("t").alias("rep_t"))
+    cut = cut.withColumnRenamed("rep", "id")
+    part = F.col("n_removed").isNotNull()
+    own = same.where("id = rep").join(best, ["id", "k1", "k2"]).join(cut, ["id", "rep_t"], "left").select(
+        "id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.when(part, F.col("kept_sha256")).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(part, F.col("kept_text")).alias("kept_text"), F.when(part, F.col("spans")).alias("spans"))
+    whole = F.col("n_words") >= width
+    copies = same.where("id <> rep").select(
+        "id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(whole, F.lit("")).alias("kept_text"),
+        F.when(whole, F.array(F.array(F.lit(0), F.col("n_words").cast("int")))).alias("spans"))
+    found = own.unionByName(copies)
     rest = seen.where("id is null").select(
         "id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"),
         F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast("array<array<int>>").alias("spans"))
