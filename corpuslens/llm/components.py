@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star (Kiveris et al., 2014).
 
-Each round is a minimum per vertex and a salted join, both over edges only. Rounds are cut with
+Each round is a minimum per vertex and a join of it with the edges. The minima of up to ``SMALL_EDGES`` edges,
+counted, are broadcast; those of more are joined by salted shuffle. Rounds are cut with
 tables written to the shared folder and go on until every component is one star.
 """
 
@@ -12,17 +13,27 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import stored, with_group_stats
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+SMALL_EDGES = 500_000
+
+
+def _with_lowest(edges: DataFrame, few: bool) -> DataFrame:
+    """Edges with ``_min``, the smallest ``dst`` of their ``src``."""
+    if few:
+        return edges.join(F.broadcast(edges.groupBy("src").agg(F.min("dst").alias("_min"))), "src")
+    return with_group_stats(edges, ["src"], {"_min": ("min", "dst")}, F.xxhash64("dst"))
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest member of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    known = with_group_stats(both, ["src"], {"_min": ("min", "dst")}, F.xxhash64("dst"))
+    known = _with_lowest(both, few)
     hub = F.least("src", "_min")
     return known.where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), hub.alias("dst")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link every smaller neighbour of a vertex, and the vertex, to the smallest of them."""
-    known = with_group_stats(edges, ["src"], {"_min": ("min", "dst")}, F.xxhash64("dst"))
+    known = _with_lowest(edges, few)
     hub = F.col("_min")
     down = known.where(F.col("dst") > hub).select(F.col("dst").alias("src"), hub.alias("dst"))
     return down.unionByName(known.select("src", hub.alias("dst"))).distinct()
@@ -43,6 +54,7 @@ def star_components(links: DataFrame) -> DataFrame:
     edges = stored(links.where("src <> dst").select(F.greatest("src", "dst").alias("src"),
                                                     F.least("src", "dst").alias("dst")).distinct(), "edges")
     while not _is_final(edges):
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        few = edges.count() <= SMALL_EDGES
+        edges = stored(_small_star(_large_star(edges, few), few), "edges")
     roots = edges.select(F.col("dst").alias("id"), F.col("dst").alias("root")).distinct()
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("root")).unionByName(roots)

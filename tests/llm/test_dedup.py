@@ -139,7 +139,9 @@ def test_near_dedup_keeps_the_smallest_id(docs_of):
     assert sorted([r.doc_id for r in out.collect()], key=repr) == [1, 3, 4, None]
 
 
-def test_star_components(spark):
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_star_components(spark, monkeypatch, small):
+    monkeypatch.setattr("corpuslens.llm.components.SMALL_EDGES", small)
     links = [(i, i + 1) for i in range(100, 160)] + [(1, 5), (5, 1), (7, 7), (9, 5), (None, 3)]
     out = star_components(spark.createDataFrame(links, "src long, dst long"))
     want = [(i, 100) for i in range(100, 161)] + [(1, 1), (5, 1), (9, 1)]
