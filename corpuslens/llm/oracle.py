@@ -76,3 +76,57 @@ s AS (SELECT item_id, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8
       FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (rid), g GROUP BY item_id, doc_id, rid)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+def _edit(state: str, cost: str, letter: str) -> str:
+    """A state, nine digits of cost before the edits so far, after one more edit; null stays null."""
+    return f"lpad((left({state}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{letter}'"
+
+
+# The least string of cost and edits per state of the pattern and row: 0 nothing yet, 1 system, 2 user, 3 assistant.
+ORACLE["op12_conversation_repair"] = rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS h FROM raw, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+               CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc WHERE h <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM dam),
+f AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tr,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM ord),
+k AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+             CASE WHEN tr = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(tr, 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                  ELSE '' END AS fault FROM f),
+e AS (SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more, fault NOT IN ('blank', 'duplicate') AS free FROM k),
+dp(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, '000000003I', '000000006II' FROM k
+  UNION ALL
+  SELECT conv_id, i, n0, n1, u, least(n3, {_edit('u', '3', 'I')}) FROM (
+    SELECT *, least(n2, {_edit('n0', '3', 'I')}, {_edit('n1', '3', 'I')}, {_edit('n3', '3', 'I')}) AS u FROM (
+      SELECT e.conv_id, e.i, {_edit('s0', '4', 'D')} AS n0,
+             least({_edit('s1', '4', 'D')}, CASE WHEN free AND ini = 's' THEN {_edit('s0', 'more', 'K')} END) AS n1,
+             least({_edit('s2', '4', 'D')}, {', '.join(f"CASE WHEN free THEN {_edit(q, '3 + more', 'R')} END, CASE WHEN free AND ini = 'u' THEN {_edit(q, 'more', 'K')} END" for q in ('s0', 's1', 's3'))}) AS n2,
+             least({_edit('s3', '4', 'D')}, CASE WHEN free THEN {_edit('s2', '3 + more', 'R')} END,
+                   CASE WHEN free AND ini = 'a' THEN {_edit('s2', 'more', 'K')} END) AS n3
+      FROM dp JOIN e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.i = dp.i + 1))),
+best AS (SELECT conv_id, arg_max(least(s0, s3), i) AS b FROM dp GROUP BY conv_id),
+l AS (SELECT conv_id, p, substr(b, p + 9, 1) AS c FROM (SELECT conv_id, b, unnest(range(1, length(b) - 8)) AS p FROM best)),
+m AS (SELECT *, sum((c <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY p) AS i,
+             sum((c <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY p) AS o FROM l),
+r AS (SELECT m.*, k.role, k.text, k.ini FROM m LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM m.conv_id AND k.i = m.i AND m.c <> 'I'
+      WHERE m.c <> 'D'),
+w AS (SELECT *, o - max((o = 1 AND c = 'K' AND ini = 's')::INT) OVER (PARTITION BY conv_id) AS spot FROM r),
+lines AS (SELECT conv_id, p, CASE WHEN c = 'K' THEN role WHEN spot % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                 || coalesce(text, '') AS line FROM w),
+done AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY p)) AS sha FROM lines GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+             count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+             count(*) FILTER (WHERE before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(b, 9)::BIGINT, 0) AS cost,
+       coalesce(substr(b, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id"""
