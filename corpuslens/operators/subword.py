@@ -1,13 +1,11 @@
 """Subword statistics, byte-pair merges and fixed-vocabulary encoding.
 
 Merges are learned in exactly the order of a learner that makes one at a time: the most frequent pair first,
-of equal ones the lexicographically smallest. The words stay in Spark. A round counts all pairs, takes the most
-frequent as candidates, cuts the words that hold a candidate to these pairs and a few symbols round them, and
-adds up equal pieces; at most ``CONTEXTS`` pieces travel to the driver. On these the driver can go on merging
-for as long as it can prove its counts: the pieces hold every occurrence of a candidate and of any pair that
-a merge of this round makes, so the round ends only when the next pair is not ahead of the best pair that
-was no candidate, when a merge reaches the cut end of a piece, or when it makes a symbol that is there
-already. Spark then replays the round's merges on the words that hold a candidate.
+of equal ones the lexicographically smallest. The words stay in Spark, as rows of symbol numbers. The driver holds the
+counts of the most frequent pairs and a bounded number of frequent words, and guesses by these a run of merges. One job makes
+them on all words and returns by how much each one changes which counts. The driver then takes the guessed merges for
+as long as the next one is the best pair by the exact counts; the first always is. Pairs that are not held come
+no earlier than the last pair held when the counts were read; where that proves nothing, they are read again.
 
 Texts are encoded by joining their words to a table of segmented distinct words; Python sees each distinct
 word once.
@@ -18,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,75 +167,317 @@ def merge_round(found: list[tuple[list[str], bool, bool, int]], wanted: dict[tup
     return made
 
 
-CANDIDATES, AROUND = 2_000, 4  # pairs looked at in a round, and symbols kept on either side of them
-CONTEXTS = 50_000  # pieces that may travel to the driver
+class Stretch:
+    """Words as one array of symbol numbers with 0 between them and a weight per place; merges change it in place in
+    time of their occurrences. Only pairs in ``wanted`` (codes) are indexed; without it a merge looks through all."""
+
+    def __init__(self, sym: np.ndarray, weight: np.ndarray, wanted: np.ndarray | None = None):
+        self.sym, self.weight = sym.copy(), weight
+        at = np.arange(len(sym), dtype=np.int32)
+        self.nxt, self.prv = np.minimum(at + 1, len(sym) - 1), np.maximum(at - 1, 0)
+        self.wanted = None if wanted is None else np.unique(wanted)
+        self.places: dict[int, list[np.ndarray]] = {}
+        if wanted is not None and len(wanted):
+            top = max(int(sym.max(initial=0)), int(self.wanted.max() >> SHIFT), int((self.wanted & MASK).max())) + 1
+            left, right = np.zeros(top, bool), np.zeros(top, bool)
+            left[self.wanted >> SHIFT], right[self.wanted & MASK] = True, True
+            self._index(np.flatnonzero(left[sym[:-1]] & right[sym[1:]]).astype(np.int32))
+
+    def copy(self) -> Stretch:
+        other = Stretch.__new__(Stretch)
+        other.sym, other.nxt, other.prv = self.sym.copy(), self.nxt.copy(), self.prv.copy()
+        other.weight, other.wanted, other.places = self.weight, self.wanted, {c: list(x) for c, x in self.places.items()}
+        return other
+
+    def _codes(self, at: np.ndarray) -> np.ndarray:
+        return (self.sym[at].astype(np.int64) << SHIFT) | self.sym[self.nxt[at]]
+
+    def _index(self, at: np.ndarray) -> None:
+        codes = self._codes(at)
+        spot = np.minimum(np.searchsorted(self.wanted, codes), len(self.wanted) - 1)
+        there = self.wanted[spot] == codes
+        at, spot = at[there], spot[there]
+        order = np.argsort(spot, kind="stable")
+        at, spot = at[order], spot[order]
+        starts = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]]) if len(spot) else []
+        for lo, hi in zip(starts, [*starts[1:], len(spot)]):
+            self.places.setdefault(int(self.wanted[spot[lo]]), []).append(at[lo:hi])
+
+    def merge(self, a: int, b: int, ab: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merges ``a b`` from left to right; the codes of the pairs whose counts change, and by how much."""
+        if self.wanted is None:
+            at = np.flatnonzero(self.sym == a).astype(np.int32)
+        else:
+            found = self.places.pop((a << SHIFT) | b, [])
+            at = np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
+        at = at[(self.sym[at] == a) & (self.sym[self.nxt[at]] == b)]
+        if a == b and len(at):  # of a run every other one
+            i = np.arange(len(at))
+            start = np.r_[True, self.nxt[at[:-1]] != at[1:]]
+            at = at[(i - np.maximum.accumulate(np.where(start, i, 0))) % 2 == 0]
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        second = self.nxt[at]
+        lost = np.unique(np.concatenate([self.prv[at], at, second]))
+        codes, sums = [self._codes(lost)], [-self._weights(lost)]
+        after = self.nxt[second]
+        self.sym[at], self.sym[second] = ab, GONE
+        self.nxt[at], self.prv[after] = after, at
+        won = np.unique(np.concatenate([self.prv[at], at]))
+        codes.append(self._codes(won))
+        sums.append(self._weights(won))
+        if self.wanted is not None:
+            self._index(won)
+        return summed(np.concatenate(codes), np.concatenate(sums))
+
+    def _weights(self, at: np.ndarray) -> np.ndarray:
+        return np.where((self.sym[at] > 0) & (self.sym[self.nxt[at]] > 0), self.weight[at], 0)
+
+    def left(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and weights of the words that still have a pair."""
+        keep = self.sym != GONE
+        sym, weight = self.sym[keep], self.weight[keep]
+        word = np.cumsum(sym == 0)
+        long = np.bincount(word, minlength=1)[word] > 2  # its symbols and the 0 before them
+        return np.append(sym[long], np.int32(0)), np.append(weight[long], 0)
+
+
+SHIFT, MASK, GONE = 21, (1 << 21) - 1, -1  # a pair's code is left symbol << SHIFT | right symbol
+
+
+def summed(codes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their sums, without those that add up to nothing."""
+    if not len(codes):
+        return codes, sums
+    order = np.argsort(codes, kind="stable")
+    codes, sums = codes[order], sums[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    codes, sums = codes[starts], np.add.reduceat(sums, starts)
+    return codes[sums != 0], sums[sums != 0]
+
+
+PAIRS, SAMPLE = 200_000, 50_000  # most frequent pairs counted and most frequent words held by the driver
+GUESSES = 256  # merges tried in a round
+REPLAYED = 256  # merges after which the words are written anew
+ROW_WORDS = 200_000  # words in a row of the stored words at most
+_STATE = "sym binary, weight binary"
+
+
+def _packed(words: list[str], counts: list[int], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    sym, weight = [], []
+    for word, n in zip(words, counts):
+        sym += [0, numbers[BOUNDARY], *map(numbers.__getitem__, word)]
+        weight += [n] * (len(word) + 2)
+    return np.array([*sym, 0], dtype=np.int32), np.array([*weight, 0], dtype=np.int64)
+
+
+def _state(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for sym, weight in zip(batch["sym"], batch["weight"]):
+        yield np.frombuffer(sym, np.int32), np.frombuffer(weight, np.int64)
+
+
+def _store(words: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
 
+        def row() -> pd.DataFrame:
+            sym, weight = (np.concatenate(x) for x in zip(*held))
+            return pd.DataFrame({"sym": [sym.tobytes()], "weight": [weight.tobytes()]})
+
+        for batch in batches:
+            held.append(_packed(list(batch["word"]), list(batch["n"]), numbers))
+            many += len(batch)
+            if many >= ROW_WORDS:
+                yield row()
+                held, many = [], 0
+        if held:
+            yield row()
 
-def _hold(sym: Column, wanted: list[tuple[str, str]]) -> Column:
-    """Does a word hold one of the pairs?"""
-    after = F.slice(sym, 2, F.greatest(F.size(sym), F.lit(1)))
-    pairs = F.zip_with(F.slice(sym, 1, F.greatest(F.size(sym) - 1, F.lit(0))), after, lambda a, b: F.concat_ws("\x00", a, b))
-    return F.exists(pairs, lambda p: p.isin([f"{a}\x00{b}" for a, b in wanted]))
+    return written(words.select("word", "n").mapInPandas(run, _STATE), "bpe")
 
 
-def _pieces_of(words: DataFrame, wanted: dict[tuple[str, str], int], around: int, most: int) -> list[tuple] | None:
-    """The counted pieces round the wanted pairs, None if there are more than ``most``."""
-    names = set(wanted)
+def _replayed(state: DataFrame, done: list[tuple[int, int, int]]) -> DataFrame:
+    """The stored words after these merges."""
+    wanted = np.array([(a << SHIFT) | b for a, b, _ in done], dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(list(piece), left, right, n) for sym, n in zip(batch["sym"], batch["n"])
-                    for piece, left, right in pieces(list(sym), names, around)]
-            yield pd.DataFrame(rows, columns=["sym", "cut_left", "cut_right", "n"])
+            for sym, weight in _state(batch):
+                stretch = Stretch(sym, weight, wanted)
+                for m in done:
+                    stretch.merge(*m)
+                sym, weight = stretch.left()
+                yield pd.DataFrame({"sym": [sym.tobytes()], "weight": [weight.tobytes()]})
 
-    cut = words.where(_hold(F.col("sym"), list(wanted))).select("sym", "n").mapInPandas(
-        run, "sym array<string>, cut_left boolean, cut_right boolean, n long")
-    counted = cut.groupBy("sym", "cut_left", "cut_right").agg(F.sum("n").alias("n")).limit(most + 1).collect()
-    return None if len(counted) > most else [(r.sym, r.cut_left, r.cut_right, r.n) for r in counted]
+    return written(state.mapInPandas(run, _STATE), "bpe")
+
+
+def _changes(state: DataFrame, done: list[tuple[int, int, int]], tried: list[tuple[int, int, int]]) -> list[dict[int, int]]:
+    """By how much each tried merge, made after ``done`` and those before it, changes which pairs' counts."""
+    wanted = np.array([(a << SHIFT) | b for a, b, _ in done + tried], dtype=np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[list] = [[] for _ in tried]
+        for batch in batches:
+            for sym, weight in _state(batch):
+                stretch = Stretch(sym, weight, wanted)
+                for m in done:
+                    stretch.merge(*m)
+                for i, m in enumerate(tried):
+                    found[i].append(stretch.merge(*m))
+        for i, parts in enumerate(found):
+            if parts:
+                codes, sums = summed(*(np.concatenate(x) for x in zip(*parts)))
+                if len(codes):
+                    yield pd.DataFrame({"step": [i], "codes": [codes.tobytes()], "sums": [sums.tobytes()]})
+
+    out: list[dict[int, int]] = [{} for _ in tried]
+    for r in state.mapInPandas(run, "step int, codes binary, sums binary").collect():
+        step = out[r.step]
+        for c, n in zip(np.frombuffer(r.codes, np.int64).tolist(), np.frombuffer(r.sums, np.int64).tolist()):
+            step[c] = step.get(c, 0) + n
+    return out
 
 
-def learn_merges(words: DataFrame, num_merges: int, candidates: int = CANDIDATES, contexts: int = CONTEXTS,
-                 around: int = AROUND) -> list[tuple[str, str, int]]:
+def _ranked(state: DataFrame, names: list[str], most: int) -> list[tuple[int, str, str, int]]:
+    """(-count, a, b, code) of the ``most`` best pairs in order."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sym, weight in _state(batch):
+                both = (sym[:-1] > 0) & (sym[1:] > 0)
+                codes, sums = summed((sym[:-1].astype(np.int64)[both] << SHIFT) | sym[1:][both], weight[:-1][both])
+                yield pd.DataFrame({"code": codes, "n": sums})
+
+    counts = state.mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    table = state.sparkSession.createDataFrame(pd.DataFrame({"id": range(len(names)), "name": names}), "id long, name string")
+    a = F.broadcast(table.withColumnsRenamed({"id": "ia", "name": "a"}))  # characters and merged symbols
+    b = F.broadcast(table.withColumnsRenamed({"id": "ib", "name": "b"}))
+    named = (counts.withColumns({"ia": F.shiftright("code", SHIFT), "ib": F.col("code").bitwiseAND(F.lit(MASK))})
+             .join(a, "ia").join(b, "ib").select("n", "a", "b", "code"))
+    return [(-r.n, r.a, r.b, r.code) for r in named.orderBy(F.col("n").desc(), "a", "b").limit(most).collect()]
+
+
+class _Counts:
+    """Counts of the best pairs, and the best of them in order."""
+
+    def __init__(self, ranked: list[tuple[int, str, str, int]], most: int, names: list[str], old: set[int]):
+        self.names, self.old = names, old  # pairs of symbols made later than these are all held
+        self.beyond = ranked[most] if len(ranked) > most else None  # all pairs that are not held come no earlier
+        self.heap = ranked[:most]
+        self.n = {code: -n for n, _, _, code in self.heap}
+        self.more: dict[int, int] = {}  # what pairs not held have won
+        self.won = 0  # the largest of these
+        heapq.heapify(self.heap)
+
+    def key(self, code: int, n: int) -> tuple[int, str, str, int]:
+        return -n, self.names[code >> SHIFT], self.names[code & MASK], code
+
+    def best(self) -> tuple[int, str, str, int] | None:
+        while self.heap and self.n.get(self.heap[0][3], 0) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return self.heap[0] if self.heap else None
+
+    def proven(self, best: tuple[int, str, str, int]) -> bool:
+        if self.beyond is None:
+            return True
+        return best[:3] < self.beyond[:3] if not self.won else best[0] < self.beyond[0] - self.won
+
+    def change(self, deltas: dict[int, int]) -> None:
+        for code, d in deltas.items():
+            if self.beyond is None or code in self.n or not {code >> SHIFT, code & MASK} <= self.old:
+                self.n[code] = n = self.n.get(code, 0) + d
+                if n > 0:
+                    heapq.heappush(self.heap, self.key(code, n))
+            else:
+                self.more[code] = self.more.get(code, 0) + d
+                self.won = max(self.won, self.more[code])
+
+    def guess(self, sample: Stretch, number, most: int) -> list[tuple[int, int, int]]:
+        """Merges likely to come next, the first one certain: made on a copy of the sample, whose changes are
+        scaled to the counts."""
+        sample, aside, likely, own, out = sample.copy(), [], {}, [], []
+        while len(out) < most:
+            best = self.best()
+            while best is not None and best[3] in likely:
+                aside.append(heapq.heappop(self.heap))
+                best = self.best()
+            while own and likely[own[0][3]] != -own[0][0]:
+                heapq.heappop(own)
+            if own and (best is None or own[0] < best):
+                best = own[0]
+            if best is None:
+                break
+            a, b = best[3] >> SHIFT, best[3] & MASK
+            out.append((a, b, number(a, b)))
+            codes, sums = sample.merge(*out[-1])
+            change = dict(zip(codes.tolist(), sums.tolist()))
+            seen = -change.pop(best[3], 0)
+            likely[best[3]] = 0
+            for code, d in change.items():
+                n = round(likely.get(code, self.n.get(code, 0)) + d * (-best[0] / max(seen, 1)))
+                likely[code] = n = max(n, 0)
+                if n > 0:
+                    heapq.heappush(own, self.key(code, n))
+        for entry in aside:
+            heapq.heappush(self.heap, entry)
+        return out
+
+
+def learn_merges(words: DataFrame, num_merges: int, candidates: int = PAIRS, contexts: int = SAMPLE,
+                 around: int | None = None) -> list[tuple[str, str, int]]:
     """Byte-pair merges ``(a, b, count when made)`` of ``words(word, n)`` in the exact greedy order (ties →
     lexicographically smallest), until ``num_merges`` different symbols were made or no pair is left.
 
-    If a round's pieces are too many, it looks at fewer candidates, at last at the best pair alone with one symbol
-    round it, whose pieces are bounded by the square of the number of symbols."""
+    The driver holds the counts of the ``candidates`` best pairs and, to guess by, the ``contexts`` most frequent
+    words. ``around`` is without effect."""
     spark = words.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    cur = written(words.select("n", symbols(F.col("word")).alias("sym")).where(F.size("sym") > 1), "bpe")
+    letters = [r["s"] for r in words.select(F.explode(symbols(F.col("word"))).alias("s")).distinct().collect()]
+    names = ["", *sorted(letters)]  # the alphabet
+    numbers = {s: i for i, s in enumerate(names)}
+    alphabet, there = len(letters), set(letters)
+    spread = max(spark.sparkContext.defaultParallelism, words.count() // ROW_WORDS)
+    state = _store(words.repartition(spread, "word"), numbers)
+    often = words.orderBy(F.col("n").desc(), "word").limit(contexts).collect() if letters else []
+    sample = Stretch(*_packed([r["word"] for r in often], [r["n"] for r in often], numbers)) if often else None
+
+    def number(a: int, b: int) -> int:
+        s = names[a] + names[b]
+        if s not in numbers:
+            numbers[s] = len(names)
+            names.append(s)
+        return numbers[s]
+
     made: list[tuple[str, str, int]] = []
-    there = {r["s"] for r in cur.select(F.explode("sym").alias("s")).distinct().collect()}  # the alphabet
-    alphabet = len(there)
-    width = candidates
-    while len(there) - alphabet < num_merges:
-        ranked = [(-r["n"], r["a"], r["b"]) for r in
-                  pair_counts(cur).orderBy(F.col("n").desc(), "a", "b").limit(candidates + 1).collect()]
-        if not ranked:
+    done: list[tuple[int, int, int]] = []  # merges not yet in the stored words
+    counts, tries = None, 8
+    while letters and len(there) - alphabet < num_merges:
+        best = counts.best() if counts else None
+        if counts is None or (best is None or not counts.proven(best)) and counts.beyond is not None or len(done) > REPLAYED:
+            state, done = (_replayed(state, done) if done else state), []
+            sample = Stretch(*sample.left())
+            if counts is None or best is None or not counts.proven(best):
+                counts = _Counts(_ranked(state, names, candidates + 1), candidates, names, {numbers[t] for t in there})
+            best = counts.best()
+        if best is None:
             break
-        while True:
-            wanted = {(a, b): -n for n, a, b in ranked[:width]}
-            found = _pieces_of(cur, wanted, around if width > 1 else 1, contexts if width > 1 else (1 << 31) - 2)
-            if found is not None:
+        tried = counts.guess(sample, number, min(tries, num_merges - (len(there) - alphabet)))
+        right = 0
+        for step, deltas in zip(tried, _changes(state, done, tried)):
+            best = counts.best()
+            if best is None or best[3] != (step[0] << SHIFT) | step[1] or not counts.proven(best):
+                break
+            made.append((best[1], best[2], -best[0]))
+            there.add(names[step[2]])
+            counts.change(deltas)
+            sample.merge(*step)
+            done.append(step)
+            right += 1
+            if len(there) - alphabet >= num_merges:
                 break
-            width = max(width // 4, 1)
-        beyond = ranked[width] if len(ranked) > width else None
-        more = merge_round(found, wanted, beyond, there, num_merges - (len(there) - alphabet))
-        made += more
-        there |= {a + b for a, b, _ in more}
-        ranks: dict[tuple[str, str], int] = {}
-        for i, (a, b, _) in enumerate(more):
-            ranks.setdefault((a, b), i)
-
-        def run(batches: Iterator[pd.DataFrame], ranks=ranks) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.assign(sym=[replay(list(s), ranks) for s in batch["sym"]])
-
-        hold = _hold(F.col("sym"), list(wanted))
-        cur = written(cur.where(hold).mapInPandas(run, cur.schema).unionByName(cur.where(~hold))
-                      .where(F.size("sym") > 1), "bpe")
-        width = min(width * 4, candidates)
+        tries = min(max(2 * right, 8), GUESSES)
     return made
 
 
