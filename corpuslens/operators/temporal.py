@@ -82,6 +82,24 @@ def phase_join(events: DataFrame, phases: DataFrame, ts: str, cell_days: int = P
     return found.select(*[F.col(f"`{c}`") for c in events.columns], F.col("_phase").alias("phase"))
 
 
+def phase_volumes(events: DataFrame, phases: DataFrame, ts: str, value: str, cell_days: int = PHASE_CELL_DAYS) -> DataFrame:
+    """``phase, n, avg_value`` of the events in each row of ``phases(phase, start, end)``; phases without events are left out.
+
+    An event counts in as many phases as hold its day, so events times phases would be joined one by one. They are
+    added up by day first; the days join the distinct spans, and the spans' sums go to all phases that have them.
+    So the work is that of the events, of the phases, and of the pairs of day and span in the calendar."""
+    daily = events.groupBy(F.to_date(F.col(ts)).alias("_at")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(value).alias("_m"), F.sum(value).alias("_v"))
+    spans = phases.select("phase", F.to_date("start").alias("_s"), F.to_date("end").alias("_e"))
+    distinct = spans.select(F.struct("_s", "_e").alias("phase"), F.col("_s").alias("start"), F.col("_e").alias("end")).distinct()
+    sums = (phase_join(written(daily, "days"), distinct, "_at", cell_days).groupBy("phase")
+            .agg(*[F.sum(c).alias(c) for c in ("_n", "_m", "_v")]).select("phase._s", "phase._e", "_n", "_m", "_v"))
+    hot = spans.groupBy("_s", "_e").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT_CELL).select("_s", "_e")
+    found = salted_join(spans, sums, ["_s", "_e"], hot, 64, F.xxhash64("phase"))
+    return (found.groupBy("phase").agg(*[F.sum(c).alias(c) for c in ("_n", "_m", "_v")])
+            .select("phase", F.col("_n").alias("n"), F.try_divide("_v", "_m").alias("avg_value")))
+
+
 def nearest_join(left: DataFrame, right: DataFrame, by: str, ts: str, id_col: str,
                  num_partitions: int | None = None) -> DataFrame:
     """For each left row the right row (same ``by``) with the least |Δts|; ties → earlier right

@@ -116,8 +116,8 @@ def phase_overlaps(spark, sf):
     day = F.to_date("ts")
     spans = (ev.where(F.col("event_id") % 7 == 0).groupBy(F.col("user_id").alias("phase"))
              .agg(F.min(day).alias("start"), F.date_add(F.max(day), 1).alias("end")))
-    found = TM.phase_join(ev, spans, "ts")
-    return found.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+    found = TM.phase_volumes(ev, spans, "ts", "value")
+    return found.select("phase", "n", F.round("avg_value", 6).alias("avg_value"))
 
 
 @register("session_bursts", SX + """
