@@ -32,9 +32,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame,
     counted for this only where there are vertices enough for a hot one.
     """
     ensure_checkpoint_dir(vertices.sparkSession)
-    und = reliable_checkpoint(edges.select("src", "dst")
-                              .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-                              .distinct())
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    und = reliable_checkpoint(edges.select(both.alias("e")).select("e.src", "e.dst").distinct())
     hot_src = reliable_checkpoint(und.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
                                   .where(F.col("_n") > hot_rows).select("src"))
     n_hot = hot_src.count()

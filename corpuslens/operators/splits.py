@@ -15,6 +15,7 @@ from corpuslens.operators import components as C
 from corpuslens.operators import minhash as M
 from corpuslens.operators.ranking import row_index, running_sum
 from corpuslens.session import reliable_checkpoint
+from corpuslens.sources.sinks import written
 
 
 def target_size(total: int, ratio: float) -> int:
@@ -37,9 +38,9 @@ def near_dup_components(df: DataFrame, id_col: str, text_col: str, bands: int =
     """
     vertices = df.select(F.col(id_col).alias("id"))
     if not verify:
-        sigs = reliable_checkpoint(M.with_signatures(df, id_col, text_col, max_chars=max_chars))
-        return C.connected_components(vertices, M.star_edges(M.band_keys(sigs, bands, rows)))
-    sets = reliable_checkpoint(M.shingle_table(M.shingle_rows(df, id_col, text_col, max_chars=max_chars)))
+        keys = written(M.band_keys(M.with_signatures(df, id_col, text_col, max_chars=max_chars), bands, rows), "bands")
+        return C.connected_components(vertices, M.star_edges(keys))
+    sets = written(M.shingle_sets(df, id_col, text_col, max_chars=max_chars), "sets")
     classes = reliable_checkpoint(M.set_classes(sets))
     own, buckets = M.class_buckets(sets, classes, bands, rows)
     buckets = reliable_checkpoint(buckets)

@@ -251,7 +251,7 @@ def leakage_audit(spark, sf):
     spans = (s.where(F.col("root").isNotNull()).groupBy("root").agg(F.count_distinct("split").alias("k"))
              .where(F.col("k") > 1).agg(F.count(F.lit(1)).alias("value"))
              .select(F.lit("clusters_spanning_splits").alias("metric"), "value"))
-    bands = M.band_keys(M.with_signatures(labeled_fx(spark, sf), "doc_id", "text"))
+    bands = W.written(M.band_keys(M.with_signatures(labeled_fx(spark, sf), "doc_id", "text")), "bands")
     role = s.select(F.col("doc_id").alias("id"),
                     F.when((F.col("split") == "train") & (F.col("is_synth") == 1), "synth")
                     .when(F.col("split").isin("val", "test"), "eval").alias("role"))
@@ -280,7 +280,7 @@ FROM near WHERE jaccard >= {M.DEFAULT_THRESHOLD} GROUP BY id"""
 def leakage_rows(spark, sf):
     """Train rows, synthetic ones among them, with a near copy in val or test: verified similarity and the copy."""
     s = reliable_checkpoint(_split(spark, sf).select(F.col("doc_id").alias("id"), "split"))
-    sets = reliable_checkpoint(M.shingle_table(M.shingle_rows(labeled_fx(spark, sf), "doc_id", "text")))
+    sets = W.written(M.shingle_sets(labeled_fx(spark, sf), "doc_id", "text"), "sets")
     found = M.nearest_across(sets, s.where(F.col("split") == "train"), s.where(F.col("split").isin("val", "test")))
     return found.select(F.col("id").alias("doc_id"), "near_id", F.round("jaccard", 6).alias("jaccard"))
 
