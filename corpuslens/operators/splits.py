@@ -27,18 +27,22 @@ def target_size(total: int, ratio: float) -> int:
 
 def near_dup_components(df: DataFrame, id_col: str, text_col: str, bands: int = M.COMPAT_BANDS,
                         rows: int = M.COMPAT_ROWS, max_chars: int | None = None,
-                        verify: bool = False, threshold: float = M.DEFAULT_THRESHOLD) -> DataFrame:
+                        verify: bool = False, threshold: float = M.DEFAULT_THRESHOLD,
+                        signatures: DataFrame | None = None) -> DataFrame:
     """``(id, root)`` over LSH star edges.
 
     ``verify=False`` is the reference behaviour (every bucket member joins the bucket). With
     ``verify=True`` the components are those of all in-bucket pairs whose exact Jaccard reaches
     ``threshold`` (use ``RECALL_BANDS``, ``RECALL_ROWS``): documents with equal sets count as one,
     each is verified against its bucket's minimum, and buckets that still span several components
-    have all pairs across these verified.
+    have all pairs across these verified. ``signatures(id, sig)`` of these rows, where they are written
+    already, spare a reading of the texts (for ``verify=False``).
     """
     vertices = df.select(F.col(id_col).alias("id"))
     if not verify:
-        keys = written(M.band_keys(M.with_signatures(df, id_col, text_col, max_chars=max_chars), bands, rows), "bands")
+        if signatures is None:
+            signatures = M.with_signatures(df, id_col, text_col, max_chars=max_chars)
+        keys = written(M.band_keys(signatures.select("id", "sig"), bands, rows), "bands")
         return C.connected_components(vertices, M.star_edges(keys))
     sets = written(M.shingle_sets(df, id_col, text_col, max_chars=max_chars), "sets")
     classes = reliable_checkpoint(M.set_classes(sets))
@@ -75,12 +79,14 @@ class SplitError(ValueError):
 
 def split_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", test: float = 0.10,
                  val: float = 0.10, seed: int = 42, synth_keep: float = 1.0,
-                 max_chars: int | None = None, unit: str = "groups", verify: bool = False) -> DataFrame:
+                 max_chars: int | None = None, unit: str = "groups", verify: bool = False,
+                 signatures: DataFrame | None = None) -> DataFrame:
     """Assign ``split`` in {train, val, test}: val/test from real rows only, whole clusters each.
 
     Targets are derived from the total row count as in the reference and count clusters
     (``unit="groups"``, compatible) or rows (``unit="rows"``: whole clusters until the row
     target is reached). Synthetic rows go to train (optionally an exact seeded sample).
+    ``signatures(id, sig)`` of the real rows may be given, see ``near_dup_components``.
     """
     real = df.where(F.col("is_synth") == 0)
     synth = df.where(F.col("is_synth") == 1)
@@ -90,7 +96,8 @@ def split_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if counts["bad"]:
         raise SplitError(f"{counts['bad']} rows have is_synth outside {{0, 1}}")
     test_n, val_n = target_size(counts["n"], test), target_size(counts["n"], val)
-    comps = reliable_checkpoint(near_dup_components(real, id_col, text_col, max_chars=max_chars, verify=verify))
+    comps = reliable_checkpoint(near_dup_components(real, id_col, text_col, max_chars=max_chars, verify=verify,
+                                                    signatures=signatures))
     roots = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     n_clusters = roots.count()
     capacity = n_clusters if unit == "groups" else counts["real"]

@@ -175,8 +175,8 @@ asg AS (SELECT f.doc_id, f.label, c.root,
 SPLIT_SQL = S.with_(*SPLIT_CTES)
 
 
-def _split(spark, sf):
-    return SP.split_groups(labeled_fx(spark, sf), "doc_id", "text", 0.10, 0.10, 42)
+def _split(spark, sf, signatures=None):
+    return SP.split_groups(labeled_fx(spark, sf), "doc_id", "text", 0.10, 0.10, 42, signatures=signatures)
 
 
 @register("split_groups", SPLIT_SQL + "SELECT doc_id, split, label, is_synth FROM asg")
@@ -247,11 +247,12 @@ SELECT 'synth_rows_near_eval', count(DISTINCT id) FROM b WHERE role = 'synth' AN
 def leakage_audit(spark, sf):
     """Clusters spanning two splits, and synthetic train rows sharing an LSH bucket with val/test
     (the reference clusters real rows only, so such synthetic near-copies can leak)."""
-    s = reliable_checkpoint(_split(spark, sf))
+    sigs = W.written(M.with_signatures(labeled_fx(spark, sf), "doc_id", "text", keep=("is_synth",)), "signatures")
+    s = reliable_checkpoint(_split(spark, sf, sigs.where("is_synth = 0")).drop("text"))
     spans = (s.where(F.col("root").isNotNull()).groupBy("root").agg(F.count_distinct("split").alias("k"))
              .where(F.col("k") > 1).agg(F.count(F.lit(1)).alias("value"))
              .select(F.lit("clusters_spanning_splits").alias("metric"), "value"))
-    bands = W.written(M.band_keys(M.with_signatures(labeled_fx(spark, sf), "doc_id", "text")), "bands")
+    bands = W.written(M.band_keys(sigs.select("id", "sig")), "bands")
     role = s.select(F.col("doc_id").alias("id"),
                     F.when((F.col("split") == "train") & (F.col("is_synth") == 1), "synth")
                     .when(F.col("split").isin("val", "test"), "eval").alias("role"))
@@ -279,8 +280,8 @@ FROM near WHERE jaccard >= {M.DEFAULT_THRESHOLD} GROUP BY id"""
 @register("leakage_rows", LEAK_ROWS_SQL)
 def leakage_rows(spark, sf):
     """Train rows, synthetic ones among them, with a near copy in val or test: verified similarity and the copy."""
-    s = reliable_checkpoint(_split(spark, sf).select(F.col("doc_id").alias("id"), "split"))
-    sets = W.written(M.shingle_sets(labeled_fx(spark, sf), "doc_id", "text"), "sets")
+    sets = W.written(M.shingle_sets(labeled_fx(spark, sf), "doc_id", "text", keep=("is_synth",)), "sets")
+    s = reliable_checkpoint(_split(spark, sf, sets.where("is_synth = 0")).select(F.col("doc_id").alias("id"), "split"))
     found = M.nearest_across(sets, s.where(F.col("split") == "train"), s.where(F.col("split").isin("val", "test")))
     return found.select(F.col("id").alias("doc_id"), "near_id", F.round("jaccard", 6).alias("jaccard"))
 
