@@ -37,6 +37,19 @@ def word_frequencies(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return w.where(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def alphabet_of(words: DataFrame) -> list[str]:
+    """The different symbols of ``words(word)``, the boundary marker among them where there are words."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        for f in frames:
+            seen.update(BOUNDARY if len(f) else "", *f["word"])
+        if seen:
+            yield pd.DataFrame({"s": np.array(list(seen), dtype=object)})
+
+    ship_package(words.sparkSession)
+    return sorted(r["s"] for r in words.select("word").mapInPandas(run, "s string").distinct().collect())
+
+
 def symbols(word: Column) -> Column:
     """Boundary marker followed by the word's characters (code points)."""
     m = F.concat(F.lit(BOUNDARY), word)
@@ -257,7 +270,7 @@ def summed(codes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 PAIRS, SAMPLE = 200_000, 50_000  # most frequent pairs counted and most frequent words held by the driver
-GUESSES = 256  # merges tried in a round
+FIRST_GUESSES, GUESSES = 32, 256  # merges tried in the first round and in any round
 REPLAYED = 256  # merges after which the words are written anew
 ROW_WORDS = 200_000  # words in a row of the stored words at most
 _STATE = "sym binary, weight binary"
@@ -434,8 +447,8 @@ def learn_merges(words: DataFrame, num_merges: int, candidates: int = PAIRS, con
     spark = words.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    letters = [r["s"] for r in words.select(F.explode(symbols(F.col("word"))).alias("s")).distinct().collect()]
-    names = ["", *sorted(letters)]  # the alphabet
+    letters = alphabet_of(words)
+    names = ["", *letters]
     numbers = {s: i for i, s in enumerate(names)}
     alphabet, there = len(letters), set(letters)
     spread = max(spark.sparkContext.defaultParallelism, words.count() // ROW_WORDS)
@@ -452,7 +465,7 @@ def learn_merges(words: DataFrame, num_merges: int, candidates: int = PAIRS, con
 
     made: list[tuple[str, str, int]] = []
     done: list[tuple[int, int, int]] = []  # merges not yet in the stored words
-    counts, tries = None, 8
+    counts, tries = None, FIRST_GUESSES
     while letters and len(there) - alphabet < num_merges:
         best = counts.best() if counts else None
         if counts is None or (best is None or not counts.proven(best)) and counts.beyond is not None or len(done) > REPLAYED:

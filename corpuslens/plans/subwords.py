@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpuslens.functions.arrays import pad_sequence
@@ -64,11 +65,14 @@ def _merges(wf):
     return SW.learn_merges(wf, VOCAB_SIZE - len(SW.vocabulary(wf, [])))
 
 
+def _merge_rows(spark, merges):
+    rows = [(i, a, b, n) for i, (a, b, n) in enumerate(merges)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["rank", "a", "b", "n"]), "rank int, a string, b string, n long")
+
+
 @register("bpe_merges")
 def bpe_merges(spark, sf):
-    merges = _merges(reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf))))
-    return spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(merges)],
-                                 "rank int, a string, b string, n long")
+    return _merge_rows(spark, _merges(reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf)))))
 
 
 FIRST = 25  # merges, few enough for SQL to make one after the other
@@ -89,8 +93,7 @@ mg AS (SELECT DISTINCT step - 1 AS rank, a, b, c AS n FROM bpe WHERE step > 0)""
 
 @register("bpe_first_merges", FIRST_MERGES_SQL + " SELECT rank, a, b, n FROM mg")
 def bpe_first_merges(spark, sf):
-    merges = SW.learn_merges(reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf))), FIRST)
-    return spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(merges)], "rank int, a string, b string, n long")
+    return _merge_rows(spark, SW.learn_merges(reliable_checkpoint(SW.word_frequencies(_train_texts(spark, sf))), FIRST))
 
 
 @register("subword_encode_first", FIRST_MERGES_SQL + f"""
