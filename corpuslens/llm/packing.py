@@ -42,7 +42,8 @@ class WordEncoder:
 
     The tokenizer drops white space, and none of its normalising or splitting steps looks across
     ASCII white space, so the ids of a text are those of its chunks in order. Chunks repeat far more
-    often than texts, hence each is encoded once and remembered.
+    often than texts, hence each is encoded once and remembered. The tokenizer lower-cases too, so chunks that differ in
+    the case of A-Z only are one; a text that may hold a special token, in whatever case, is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -83,38 +84,44 @@ class WordEncoder:
         return out
 
     def _learn(self, chunks: set[bytes]) -> None:
-        """The tokenizer lower-cases, and parts a letter or digit from punctuation after it, so a chunk is
-        its lower-cased stem and the ASCII punctuation that ends it; stems repeat more often than chunks."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        """The tokenizer parts a letter or digit from punctuation after it, so a lower-cased chunk is its
+        stem and the ASCII punctuation that ends it; stems repeat more often than chunks."""
+        letters, rest, parted = [], [], []
+        pieces: set[bytes] = set()
         for c in chunks:
-            low = c.lower()  # A-Z only
-            stem = low.rstrip(PUNCTUATION)
-            if self.special.search(low):
-                self.known[c] = np.array(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids,
-                                         dtype="<u4").tobytes()
-            elif stem[-1:].isalnum():  # ASCII letters and digits only
-                parts[c] = stem, low[len(stem):]
+            if c.isalpha():  # ASCII only
+                letters.append(c)
+                continue
+            stem = c.rstrip(PUNCTUATION)
+            if len(stem) < len(c) and stem[-1:].isalnum():  # ASCII letters and digits only
+                tail = c[len(stem):]
+                parted.append((c, stem, tail))
+                pieces.update((stem, tail))
             else:
-                parts[c] = low, b""
-        new = self._recall({p for both in parts.values() for p in both if p}.difference(self.known))
-        letters = [p for p in new if p.isalpha()]  # ASCII only
-        rest = [p for p in new if not p.isalpha()]
+                rest.append(c)
+        for p in self._recall(pieces.difference(self.known, chunks)):
+            (letters if p.isalpha() else rest).append(p)
         self.known.update(zip(letters, self._letter_ids([p.decode() for p in letters])))
         self.known.update(zip(rest, self._ids([p.decode("utf-8", "replace") for p in rest])))
-        self.known[b""] = b""
-        for c, (stem, tail) in parts.items():
-            self.known[c] = self.known[stem] + self.known[tail]
+        self.known.update([(c, self.known[stem] + self.known[tail]) for c, stem, tail in parted])
+
+    def _whole(self, text: bytes) -> bytes:
+        found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers, the end id last."""
-        chunks = [t.split() for t in texts]
+        low = [t.lower() for t in texts]  # A-Z only
+        whole = {i for i, t in enumerate(low) if self.special.search(t)}
+        chunks = [[] if i in whole else t.split() for i, t in enumerate(low)]
         new = set(chain.from_iterable(chunks)).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.before, self.known = self.known, {}
             new = set(chain.from_iterable(chunks))
         self._learn(self._recall(new))
         end = END_ID.to_bytes(4, "little")
-        return [b"".join(map(self.known.__getitem__, row)) + end for row in chunks]
+        return [(self._whole(texts[i]) if i in whole else b"".join(map(self.known.__getitem__, row))) + end
+                for i, row in enumerate(chunks)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

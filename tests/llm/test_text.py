@@ -587,3 +587,13 @@ def test_blocks_hold_every_pair_within_the_radius(spark):
     df = spark.createDataFrame(rows, "a long, b long")
     both = F.arrays_overlap(decontaminate.hamming_blocks(F.col("a")), decontaminate.hamming_blocks(F.col("b")))
     assert df.where(both).count() == 200
+
+
+def test_words_that_differ_in_case_are_encoded_once():
+    """Chunks are known lower-cased; texts with special tokens have the tokenizer's own ids (op4, CPU seconds)."""
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    texts = ["Word WORD word, wORD. wordy", "a <|endoftext|> B<|ENDOFTEXT|>c Word", "İX ſ K! é ­-x 3,5%", ""]
+    own = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+    got = encoder.encode([t.encode() for t in texts])
+    assert [[int.from_bytes(g[i:i + 4], "little") for i in range(0, len(g), 4)] for g in got] == own
+    assert not {b"Word", b"WORD", b"wORD."} & set(encoder.known) and b"word" in encoder.known
