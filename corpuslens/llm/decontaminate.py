@@ -72,6 +72,15 @@ def hamming_blocks(fp: Column, radius: int = RADIUS) -> Column:
         F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
+def _laid(starts: DataFrame, body: DataFrame, width: int) -> DataFrame:
+    """``key, n_words, start, grams`` of each distinct window; the last one ends with its document. Repeated windows
+    go by their numbers alone: a document's shingles meet its distinct windows in a join, which cuts them at once."""
+    placed = starts.join(body.select("key", "size"), "key").withColumn("start", F.greatest(
+        F.least("start", F.col("size") + (width - 1) - F.col("n_words")), F.lit(0)))
+    return (placed.select("key", "n_words", "start").distinct().join(body.select("key", "grams"), "key")
+            .select("key", "n_words", "start", F.slice("grams", F.col("start") + 1, F.col("n_words") - (width - 1)).alias("grams")))
+
+
 def _matches(docs: DataFrame, items: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
     """``key, item, start, window_words, inter, total`` of verified windows; ``items`` share a shingle width."""
     parts = items.select("item", "n_words", F.explode("grams").alias("g"))
@@ -99,14 +108,11 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, percent: int, radius
     # other text is shuffled
     leaking = F.broadcast(leaking) if leaking.count() <= SMALL_ROWS else leaking
     bodies = docs.join(leaking, "key", "left_semi").select("key", _words(F.col("text")).alias("w"))
-    body = stored(bodies.select("key", _grams(F.col("w"), width).alias("grams")).dropDuplicates(["key"]), "bodies")
-    # the last window ends with the document
-    laid = (starts.join(body, "key").withColumn("start", F.greatest(
-        F.least("start", F.size("grams") + (width - 1) - F.col("n_words")), F.lit(0)))
-        .dropDuplicates(["key", "n_words", "start"])
-        .select("key", "n_words", "start", F.slice("grams", F.col("start") + 1, F.col("n_words") - (width - 1)).alias("grams")))
+    body = (bodies.select("key", _grams(F.col("w"), width).alias("grams")).dropDuplicates(["key"])
+            .withColumn("size", F.size("grams")))
+    body = stored(body, "bodies")
     window = ["key", "n_words", "start"]
-    laid = stored(laid, "laid")
+    laid = stored(_laid(starts, body, width), "laid")
     prints = simhash(laid.select(*window, F.explode("grams").alias("g")), window, "g")
     target = simhash(parts.select("item", "n_words", "g"), ["item", "n_words"], "g")
     mine = prints.select(*window, "fp", F.explode(hamming_blocks(F.col("fp"), radius)).alias("b")).select(*window, "fp", "b.*")

@@ -124,6 +124,11 @@ class Model:
         self.piece_row: dict[str, int] = {}
         self.piece_scores = np.zeros((1024, len(self.langs)))
 
+    def forget(self) -> None:
+        """Lookup tables and caches are given up; the next text builds them again."""
+        self.row = None
+        self.gram_row, self.piece_row, self.scores, self.piece_scores = {}, {}, None, None
+
     def _backoff(self, piece: str, depth: int) -> np.ndarray:
         """Log frequency of a piece, or of the shorter pieces in it if it is unknown."""
         known = self.gram_row.get(piece)
@@ -230,10 +235,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for part in texts:
-            for piece in by_bytes(iter([part.to_frame("text")]), "text"):
-                names, scores = own.predict(piece["text"].tolist())
-                yield pd.DataFrame({"lang_pred": names, "score": scores})
+        try:
+            for part in texts:
+                for piece in by_bytes(iter([part.to_frame("text")]), "text"):
+                    names, scores = own.predict(piece["text"].tolist())
+                    yield pd.DataFrame({"lang_pred": names, "score": scores})
+        finally:  # the worker and its broadcast values outlive the task
+            own.forget()
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return (docs.select(*keep, judge(F.col(text).cast("string")).alias("_judged"))

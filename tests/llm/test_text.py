@@ -597,3 +597,25 @@ def test_words_that_differ_in_case_are_encoded_once():
     got = encoder.encode([t.encode() for t in texts])
     assert [[int.from_bytes(g[i:i + 4], "little") for i in range(0, len(g), 4)] for g in got] == own
     assert not {b"Word", b"WORD", b"wORD."} & set(encoder.known) and b"word" in encoder.known
+
+
+def test_windows_are_told_apart_without_their_shingles(spark):
+    """Many starts of one document repeat a window: only numbers are grouped, and shingles are cut in the join."""
+    starts = spark.createDataFrame([(1, 6, s) for s in (0, 0, 1, 3, 4, 9)] + [(2, 6, 0)], "key long, n_words int, start int")
+    body = spark.createDataFrame([(1, list(range(10, 15)), 5), (2, [7, 8], 2)], "key long, grams array<long>, size int")
+    out = decontaminate._laid(starts, body, 5)
+    assert sorted(map(tuple, out.collect())) == [
+        (1, 6, 0, [10, 11]), (1, 6, 1, [11, 12]), (1, 6, 3, [13, 14]), (2, 6, 0, [7, 8])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and not any("grams" in line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_language_model_gives_up_its_caches():
+    counts = np.array([[9.0, 1.0], [1.0, 9.0]])
+    table = lang_id.Table(["haus", "house"], np.zeros(2), counts, {0: counts.sum(axis=0)})
+    model = lang_id.Model(table, lang_id.Table(["a", "e"], np.ones(2), counts, {1: counts.sum(axis=0)}), ["de", "en"])
+    first = model.predict(["haus anders", "house"])
+    model.forget()
+    assert model.row is None and not model.piece_row and model.scores is None
+    again = model.predict(["haus anders", "house"])
+    assert first[0] == again[0] and list(first[1]) == list(again[1])
