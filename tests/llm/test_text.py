@@ -619,3 +619,13 @@ def test_language_model_gives_up_its_caches():
     assert model.row is None and not model.piece_row and model.scores is None
     again = model.predict(["haus anders", "house"])
     assert first[0] == again[0] and list(first[1]) == list(again[1])
+
+
+def test_plain_words_need_the_merges_only(monkeypatch):
+    own, seen = packing.WordEncoder(packing.tokenizer_path()), []
+    ids = own._ids
+    monkeypatch.setattr(own, "_ids", lambda words: seen.extend(words) or ids(words))
+    texts = [f"a{chr(c)}b {chr(c)}, x{chr(c)}." for c in range(0x21, 0x600)] + ["élève Ünï привет, ciónraezos. été..."]
+    found = own.encode([t.encode() for t in texts])
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in found] == encode(texts)
+    assert not {"élève", "привет", "ciónraezos", "ciónraezos.", "été", "été..."} & set(seen)
