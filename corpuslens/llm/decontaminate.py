@@ -113,7 +113,7 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, percent: int, radius
     body = stored(body, "bodies")
     window = ["key", "n_words", "start"]
     laid = stored(_laid(starts, body, width), "laid")
-    prints = simhash(laid.select(*window, F.explode("grams").alias("g")), window, "g")
+    prints = stored(simhash(laid.select(*window, F.explode("grams").alias("g")), window, "g"), "prints")
     target = simhash(parts.select("item", "n_words", "g"), ["item", "n_words"], "g")
     mine = prints.select(*window, "fp", F.explode(hamming_blocks(F.col("fp"), radius)).alias("b")).select(*window, "fp", "b.*")
     theirs = target.select("item", "n_words", F.col("fp").alias("fp2"), F.explode(hamming_blocks(F.col("fp"), radius)).alias("b")
@@ -143,7 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     found = None
     for width in sorted(r.width for r in distinct.select("width").distinct().collect()):  # at most five
         items = distinct.where(F.col("width") == width).select("item", "n_words", _grams(F.col("w"), width).alias("grams"))
-        part = _matches(source.select("key", "text"), stored(items, "grams"), width, percent, radius)
+        part = stored(_matches(source.select("key", "text"), stored(items, "grams"), width, percent, radius), "found")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return source.where(F.lit(False)).select(
@@ -161,5 +161,6 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     keyed = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     ident, body = (f"_c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     bad = leaks(docs.select("doc_id", "text"), benchmark, **options).select("key").distinct()
+    bad = stored(bad, "bad")
     keep = keyed.withColumn("key", row_key(ident, body)).join(bad, "key", "left_anti").drop("key")
     return keep.toDF(*docs.columns)

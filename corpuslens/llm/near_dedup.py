@@ -178,8 +178,8 @@ def _ordered(rows: DataFrame) -> DataFrame:
 def _still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets with their component; buckets inside one component are left out."""
     now = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    bounds = with_group_stats(now.select("band", "id", "root"), ["band"], {"_lo": ("min", "root"), "_hi": ("max", "root")},
-                              F.xxhash64("id"))
+    now = stored(now.select("band", "id", "root"), "placed")
+    bounds = with_group_stats(now, ["band"], {"_lo": ("min", "root"), "_hi": ("max", "root")}, F.xxhash64("id"))
     return bounds.where("_lo < _hi").drop("_lo", "_hi")
 
 
@@ -202,7 +202,8 @@ def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("_big"),
                                         F.ceil(F.sum("m") / PART).cast("long").alias("_parts"))
-    placed = join_back(rows, largest, ["band"], F.xxhash64("id")).withColumn("_out", F.col("root") != F.col("_big"))
+    placed = join_back(rows, stored(largest, "largest"), ["band"], F.xxhash64("id"))
+    placed = placed.withColumn("_out", F.col("root") != F.col("_big"))
     part = F.pmod(F.xxhash64("id"), F.col("_parts"))
     a = _named(placed.where("_out").withColumn("part", part), "_a", "id", "root", plain=["band", "part"])
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
@@ -235,13 +236,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     vertices = stored(vertices.select("id", *INFO).join(near, "id", "left_semi"), "vertices")
 
     first = members.where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
-    roots = star_components(_confirmed(_passing(first, vertices, percent), sets, percent))
-    open_rows = stored(_still_open(members.select("band", "id"), roots).join(vertices, "id"), "open")
-    stars = roots.select(F.col("id").alias("src"), F.col("root").alias("dst"))
-    roots = star_components(stars.unionByName(_confirmed(_hub_pairs(open_rows, percent), sets, percent)))
-    open_rows = stored(_still_open(open_rows.select("band", "id"), roots).join(vertices, "id"), "open")
-    stars = roots.select(F.col("id").alias("src"), F.col("root").alias("dst"))
-    roots = star_components(stars.unionByName(_confirmed(_rest_pairs(open_rows, percent), sets, percent)))
+    # pairs are written before they are confirmed, two numbers each: one plan of both steps is several times as long
+    roots = star_components(_confirmed(stored(_passing(first, vertices, percent), "pairs"), sets, percent))
+    for more in (_hub_pairs, _rest_pairs):
+        members = stored(_still_open(members.select("band", "id"), roots).join(vertices, "id"), "open")
+        pairs = stored(more(members, percent), "pairs")
+        stars = roots.select(F.col("id").alias("src"), F.col("root").alias("dst"))
+        roots = star_components(stars.unionByName(_confirmed(pairs, sets, percent)))
 
     whole = same.select("rep").distinct().join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     found = (join_back(same, whole, ["rep"], F.xxhash64("id"))
@@ -256,7 +257,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
                percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id."""
     dropped = near_components(docs.select(id_col, text), id_col, text, k, percent).where(~F.col("kept"))
+    dropped = stored(dropped.select(id_col).distinct(), "dropped")
     names = [f"_c{i}" for i in range(len(docs.columns))]  # columns of any name cannot clash with the key
     ident = names[docs.columns.index(id_col)]
-    rows = docs.toDF(*names).join(dropped.select(F.col(id_col).alias(ident)).distinct(), ident, "left_anti")
+    rows = docs.toDF(*names).join(dropped.select(F.col(id_col).alias(ident)), ident, "left_anti")
     return rows.select(*names).toDF(*docs.columns)

@@ -244,3 +244,22 @@ def test_no_text_is_shuffled_to_find_exact_copies(spark, monkeypatch):
         for digests in (True, False):
             shuffles = exchanged(exact_dedup.exact_groups(docs, all_digests=digests))
             assert shuffles and not any(c & {"text", "_text"} for c in shuffles)
+
+
+def test_near_dedup_writes_no_long_plan(docs_of, monkeypatch):
+    """The driver keeps several texts of a plan at each adaptive step: each table is made from few readings of others."""
+    from corpuslens.llm import common, components
+    read = {}
+
+    def counting(df, name):
+        read[name] = max(read.get(name, 0), df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return common.stored(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", counting)
+    monkeypatch.setattr(components, "stored", counting)
+    docs = docs_of(common_base(3, 60) + common_base(4, 30, edits=40))
+    out = near_dedup.near_dedup(docs, k=2)
+    read["result"] = out._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert {r.doc_id for r in out.collect()} == {r[0] for r in brute_components(common_base(3, 60) + common_base(4, 30, edits=40)) if r[3]}
+    assert {"edges", "roots", "open", "pairs"} <= set(read)
+    assert max(read.values()) <= 9 and read["edges"] <= 4, read
