@@ -20,10 +20,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_KEPT: dict[tuple[str, str], object] = {}  # of a Python worker: what a task leaves for the next of the same operator
+
+
+def kept_in_worker(key: tuple[str, str], make: Callable[[], object]) -> object:
+    """The worker's value of ``key``, made by its first task. Values of other keys are given up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_up_kept() -> None:
+    """Called by tasks that keep nothing: a worker serves all operators of a session and outlives each of them."""
+    _KEPT.clear()
+
+
 def in_python(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """``df.mapInPandas`` with this package sent to the workers, wherever the driver was started."""
     ship_package(df.sparkSession)
-    return df.mapInPandas(run, schema)
+
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_up_kept()
+        return run(frames)
+
+    return df.mapInPandas(alone, schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import SALTS, by_bytes, in_python, stored
+from corpuslens.llm.common import SALTS, by_bytes, give_up_kept, in_python, stored
 from corpuslens.session import ship_package
 
 UNDECIDED = "und"
@@ -234,6 +234,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_up_kept()
         own = shared.value
         try:
             for part in texts:

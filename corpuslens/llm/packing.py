@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import stored
+from corpuslens.llm.common import kept_in_worker, stored
 from corpuslens.session import ship_package
 
 MAX_LENGTH = 2048
@@ -160,14 +160,9 @@ class WordEncoder:
         return [ids[i:j].tobytes() for i, j in pairwise(np.concatenate([[0], np.cumsum(totals)]))]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
-    """One encoder per Python worker: the next task it runs finds the words of the last."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker: the next task it runs finds the words of the last, unless another operator's was between."""
+    return kept_in_worker(("packing", path), lambda: WordEncoder(path))
 
 
 def cut(totals: np.ndarray, longest: int = MAX_LENGTH) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 import corpus_pipeline
 import __spark_entry__ as entry
-from corpuslens.llm import decontaminate, exact_dedup, lang_id
+from corpuslens.llm import decontaminate, exact_dedup, lang_id, packing
+from corpuslens.llm.common import in_python
 
 from .conftest import SMALL, hard_rows
 from .test_dedup import LOWER, brute_components
@@ -39,3 +40,19 @@ def test_stages_keep_columns_and_take_hard_rows(spark, docs_of):
             assert out.schema.names == docs.schema.names, name
             assert {r.doc_id for r in out.collect()} <= {i for i, _ in rows}
         corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+
+
+def test_workers_give_up_the_words_of_packing(spark, docs_of):
+    """A Python worker outlives the packing stage; tasks of other operators find no encoder in it."""
+    docs = docs_of([(i, f"word{i} and some more") for i in range(60)])
+
+    def encoders(frames):
+        import gc
+
+        import pandas as pd
+        for _ in frames:
+            yield pd.DataFrame({"n": [sum(type(o).__name__ == "WordEncoder" for o in gc.get_objects())]})
+
+    for _ in range(2):
+        assert packing.pieces(docs).count() >= 60
+        assert {r.n for r in in_python(docs, encoders, "n long").collect()} == {0}
