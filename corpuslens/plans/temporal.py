@@ -107,14 +107,15 @@ def phase_comparison(spark, sf):
 
 
 @register("phase_overlaps", SX + """
-, u AS (SELECT user_id, event_id, CAST(CAST(ts AS TIMESTAMP) AS DATE) AS day, value FROM events),
-ph AS (SELECT user_id AS phase, min(day) AS s, max(day) + 1 AS e FROM u WHERE event_id % 7 = 0 GROUP BY user_id)
+, u AS (SELECT user_id, CAST(CAST(ts AS TIMESTAMP) AS DATE) AS day, value FROM events),
+ph AS (SELECT user_id AS phase, min(day) AS s, max(day) + 1 AS e FROM u GROUP BY user_id)
 SELECT phase, count(*) AS n, round(avg(value), 6) AS avg_value FROM u JOIN ph ON u.day >= ph.s AND u.day < ph.e GROUP BY phase""")
 def phase_overlaps(spark, sf):
-    """Volume in each user's own span of days: as many overlapping phases as there are users."""
-    ev = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    """Volume in each user's own span of days, from the first to the last of all their events: as many overlapping
+    phases as there are users."""
+    ev = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     day = F.to_date("ts")
-    spans = (ev.where(F.col("event_id") % 7 == 0).groupBy(F.col("user_id").alias("phase"))
+    spans = (ev.groupBy(F.col("user_id").alias("phase"))
              .agg(F.min(day).alias("start"), F.date_add(F.max(day), 1).alias("end")))
     found = TM.phase_volumes(ev, spans, "ts", "value")
     return found.select("phase", "n", F.round("avg_value", 6).alias("avg_value"))
